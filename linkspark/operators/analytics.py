@@ -40,7 +40,7 @@ def win_loss(rows: DataFrame, method_a: str, method_b: str, tier: str) -> DataFr
 
 
 def crosstab(rows: DataFrame, a: str, b: str, domain: Sequence) -> DataFrame:
-    return rows.groupBy(a).pivot(b, list(domain)).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(a).pivot(b, list(domain)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def bucket_means(rows: DataFrame, by: str, bucket: str, domain: Sequence[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Fixed value: the number of LIKE among the operators of a condition.
 LIKE = 9
@@ -42,7 +43,7 @@ def counts(sql: dict) -> tuple[int, int, int]:
     return clauses, nested, extras
 
 
-@F.pandas_udf("clauses bigint, nested bigint, extras bigint")
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("clauses", "nested", "extras")]))
 def _counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
         yield pd.DataFrame([counts(json.loads(x)) for x in part], columns=["clauses", "nested", "extras"])
