@@ -122,7 +122,7 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(fps: np.ndarray, ids: np.ndarray, out: list) -> None:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
+    """Edges of a spanning forest of the links among distinct fingerprints, unsigned (bits of a negative number would not be counted)."""
     left = np.arange(len(fps))
     while len(left):
         stack, left = [left[0]], left[1:]
@@ -139,9 +139,8 @@ def _search(fps: np.ndarray, ids: np.ndarray, out: list) -> None:
 def bucket_edges(fps: np.ndarray, ids: np.ndarray, out: list) -> None:
     if len(fps) <= LARGE_BUCKET:
         return _search(fps, ids, out)
-    u = fps.view(np.uint64)
     for block in range(5):
-        value = (u >> np.uint64(13 * block)) & np.uint64(0x1FFF)
+        value = (fps >> np.uint64(13 * block)) & np.uint64(0x1FFF)
         order = np.argsort(value, kind="stable")
         cuts = np.flatnonzero(np.diff(value[order])) + 1
         for part in np.split(order, cuts):
@@ -157,6 +156,7 @@ def _edges(batches):
         out: list = []
         if len(key) < 2:
             return out
+        fp = fp.view(np.uint64)
         cut = np.flatnonzero(np.diff(key)) + 1
         start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         size = stop - start
