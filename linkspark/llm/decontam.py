@@ -59,7 +59,7 @@ def neighbours() -> list[int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, window_start (in words): pairs with a window of at least ``threshold``, at its best window.
 
-    ``benchmark``: item_id, text.  Texts without words match nothing.  Of equally similar windows the first counts.  A null
+    ``benchmark``: item_id, text.  Texts without words match nothing.  Of equally similar windows that a shared shingle places, the first counts.  A null
     doc_id is one like any other, null item ids too; rows that share a doc_id are read as one document each and give one row.
     Other columns are not read; an empty table on either side gives an empty result.
     """

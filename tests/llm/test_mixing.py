@@ -1,0 +1,77 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from linkspark.llm import mixing as X
+
+
+def level_targets(sizes, weights, share, most):
+    """Reshares what is above the limits, round by round."""
+    left, target, open_ = share * sum(sizes.values()), {s: 0.0 for s in sizes}, set(sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    while open_ and left > 1e-9:
+        total = sum(w[s] for s in open_)
+        part = {s: left * w[s] / total for s in open_}
+        left = 0.0
+        for s in list(open_):
+            target[s] += part[s]
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def _docs(rng, n=300):
+    rows = []
+    for i in range(n):
+        s = rng.choice(["a", "b", "c", "d", None, "é"])
+        size = rng.choice([0, 1, 3, 40, 200]) if s != "b" else rng.choice([0, 1])
+        rows.append((i, " \t".join(f"w{j}" for j in range(size)) or None, s))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix(spark, documents, seed):
+    rows = _docs(random.Random(seed)) + [(5000, "one two", "a"), (5000, "one two", "a"), (None, "x y z", "c")]
+    got = X.mix(documents(rows), bins=8).collect()
+    size = lambda t: len((t or "").split())
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, size(t)) for d, t, _ in rows)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    want = level_targets(dict(sizes), (3.0, 1.0, 2.0), 1.5, 2.0)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert {s: taken[s] for s in sizes} == {s: round(want[s]) for s in sizes}
+    assert sorted(map(str, X.mix(documents(rows).repartition(3), bins=64).collect())) == sorted(map(str, got))
+    # the fraction is taken in the order of keys
+    for s in sizes:
+        part = sorted((r.key, r.doc_id or 0, r.size, r.taken - (round(want[s]) // sizes[s] if sizes[s] else 0) * r.size) for r in got if r.source == s and r.size)
+        full = [x[3] == x[2] for x in part]
+        assert full == sorted(full, reverse=True)
+
+
+def test_whole_rows(spark, documents):
+    rows = _docs(random.Random(4), 200)
+    docs = documents(rows)
+    got = X.mixed_rows(docs)
+    assert got.columns == docs.columns
+    n = Counter(r.doc_id for r in got.collect())
+    taken = {r.doc_id: r for r in X.mix(docs, cut=False).collect()}
+    assert all(n[d] * r.size == r.taken for d, r in taken.items())
+    by = defaultdict(int)
+    for r in taken.values():
+        by[r.source] += r.taken
+    assert all(abs(by[r.source] - r.target) <= 101 for r in taken.values())
+
+
+def test_edges(spark, documents):
+    assert X.mix(documents([])).count() == 0 and X.mixed_rows(documents([])).count() == 0
+    r = X.mix(documents([(1, None, None), (2, "", None)])).collect()
+    assert len(r) == 2 and all((x.size, x.source_size, x.target, x.taken) == (0, 0, 0.0, 0) for x in r)
+    one = X.mix(documents([(1, "a b c d", "s")])).first()
+    assert (one.target, one.taken) == (6.0, 6)

@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline as P
+from linkspark.llm import decontam, mixing, neardup, packing, toxicity
+
+
+def test_stages_take_effect(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(30)) for i in range(4)]
+    rows, labels = [], []
+    for i in range(300):
+        t = text(rng.randint(40, 90))
+        if i % 6 == 0:
+            t = " ".join(w if k % 12 else rng.choice(["grobian", "schuft"]) for k, w in enumerate(t.split()))
+            labels.append((i, 1, 1))
+        else:
+            labels.append((i, 1, 0))
+        if i % 25 == 1:
+            t = f"{t} {items[i % 4][1]} {text(5)}"
+        rows.append((i, t, "en", f"src{i % 3}", len(t)))
+    rows += [(500 + i, rows[i][1], "en", "src1", rows[i][4]) for i in range(2, 40, 4)]
+    rows += [(900, None, None, None, None)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert [k for k, _ in P.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "source mixing", "token packing"]
+    kept = {}
+    for i, (name, stage) in enumerate(P.STAGES):
+        before = docs
+        out = stage(spark, docs, d)
+        if i < 4:
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out.write.parquet(f"{d}/stage{i}")
+        docs = spark.read.parquet(f"{d}/stage{i}")
+        if i < 4:
+            kept[name] = [r.doc_id for r in docs.collect()]
+        if i == 0:
+            scored = toxicity.score(before, toxicity.fit(before, spark.read.parquet(f"{d}/labels.parquet")))
+            assert set(kept[name]) == {r.doc_id for r in scored.collect() if not r.predicted}
+            assert len([x for x in kept[name] if x < 300 and x % 6 == 0]) <= 2 and len([x for x in kept[name] if x < 300 and x % 6]) >= 245
+        elif i == 1:
+            assert sorted(kept[name]) == sorted({r.component_id for r in neardup.near_duplicates(before).collect()})
+            assert not [x for x in kept[name] if 500 <= x < 900 and x - 500 in kept[name]]
+        elif i == 2:
+            assert not [x for x in kept[name] if x < 300 and x % 25 == 1]
+            bad = {r.doc_id for r in decontam.contaminated(before, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
+            assert set(kept[name]) == set(kept["simhash near-dedup"]) - bad
+        elif i == 3:
+            taken = {r.doc_id: r for r in mixing.mix(before, cut=False).collect()}
+            assert all(kept[name].count(x) * r.size == r.taken for x, r in taken.items())
+        else:
+            total = sum(r.n_tokens for r in docs.collect())
+            t = packing.Tokenizer(packing.default_tokenizer())
+            assert total == sum(len(t.encode(r.text)) + 1 for r in before.collect())
+    assert P.run(spark, d).agg({"n_tokens": "sum"}).first()[0] == total
