@@ -1,0 +1,181 @@
+import datetime
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from linkspark.config import TunedVector
+from linkspark.operators import analytics, difficulty, ledger, linkers, prompts, providers, tuning, vector, votes
+from linkspark.plans import star
+from linkspark.streaming import ledger as stream
+
+PAIRS = "array<struct<t:string,c:string>>"
+
+
+def base(**changes):
+    sql = {"select": [False, [[0, [0, [0, 0, False], None]]]], "from": {"table_units": [["table_unit", 0]], "conds": []}, "where": [], "groupBy": [], "having": [], "orderBy": [], "limit": None, "intersect": None, "union": None, "except": None}
+    return {**sql, **changes}
+
+
+COND = [False, 2, [0, [0, 1, False], None], 5, None]
+
+
+@pytest.mark.parametrize(
+    "sql, counts, label",
+    [
+        (base(), (0, 0, 0), "easy"), (base(where=[COND], groupBy=[[0, 2, False]]), (2, 0, 0), "medium"), (base(where=[COND], groupBy=[[0, 2, False]], orderBy=["asc", [[0, [0, 3, False], None]]]), (3, 0, 0), "hard"),
+        (base(intersect=base(), union=base()), (0, 2, 0), "extra"), (base(select=[False, [[3, [0, [0, 0, False], None]]]]), (0, 0, 0), "easy"),
+        (base(**{"from": {"table_units": [["table_unit", i] for i in range(3)], "conds": []}}), (2, 0, 0), "medium"), (base(where=[[True, 9, [0, [0, 1, False], None], "x", None], "or", COND]), (3, 0, 1), "hard"),
+        (base(where=[[False, 8, [0, [0, 1, False], None], base(), None]]), (1, 1, 0), "hard"), (base(having=[COND, "and", COND]), (0, 0, 0), "easy"), (base(limit=3), (1, 0, 0), "easy"),
+    ],
+)
+def test_hardness(spark, sql, counts, label):
+    assert difficulty.counts(sql) == counts
+    q = spark.createDataFrame([(json.dumps(sql),)], "sql string")
+    assert difficulty.with_hardness(q).first().hardness == label
+    row = difficulty.clause_presence(q, "where", "limit", "union").first()
+    assert (row.has_where, row.has_limit, row.has_union) == (bool(sql["where"]), sql["limit"] is not None, sql["union"] is not None)
+
+
+def test_votes(spark):
+    rows = [(1, 0, ["singer"], [("singer", "name")]), (1, 1, ["singer"], []), (1, 2, [], [])]
+    s = spark.createDataFrame(rows, f"question_id bigint, sample_idx int, tables array<string>, columns {PAIRS}")
+    got = {rule: votes.voted_links(s, 3, rule).first() for rule in votes.RULES}
+    assert (got["union"].tables, len(got["union"].columns)) == (["singer"], 1)
+    assert (got["majority"].tables, got["majority"].columns) == (["singer"], [])
+    assert got["intersection"].tables == []
+    assert votes.ablation(s, 3).count() == 4
+    with pytest.raises(ValueError):
+        votes.needed("most", 3)
+
+
+def test_union(spark):
+    links = lambda rows: spark.createDataFrame(rows, f"question_id bigint, db_id string, tables array<string>, columns {PAIRS}")
+    u = votes.union(links([(1, "d", ["b", "a"], []), (3, "d", ["x"], [])]), links([(1, "d", ["b", "c"], []), (2, "d", ["y"], [])]))
+    got = {r.question_id: r for r in u.collect()}
+    assert got[1].tables == ["a", "b", "c"] and (got[1].tables_both, got[1].tables_forward_only, got[1].tables_backward_only) == (1, 1, 1)
+    assert got[2].tables == ["y"] and not got[2].has_forward and got[3].tables == ["x"]
+    q = spark.createDataFrame([(1, "d"), (8, "d")], "question_id bigint, db_id string")
+    out = {r.question_id: r.tables for r in linkers.bidirectional_linker(links([(1, "d", ["a"], [])]), links([]))(q, None).collect()}
+    assert out == {1: ["a"], 8: []}
+
+
+def test_vectors(spark):
+    e = spark.createDataFrame([("d", "table", i, t, None, v) for i, (t, v) in enumerate((("A", [1.0, 0.0, 0.0]), ("B", [0.0, 1.0, 0.0]), ("C", [0.0, 0.0, 1.0])))], "db_id string, level string, ord int, t string, c string, vec array<float>")
+
+    def top(v, k, thr):
+        q = spark.createDataFrame([(1, "d", v)], "question_id bigint, db_id string, vec array<float>")
+        return [r.t for r in vector.top_k(vector.similarity(q, e), {"table": k}, {"table": thr}).orderBy("rank").collect()]
+
+    assert top([1.0, 0.0, 0.0], 3, 0.5) == ["A"] and top([0.9, 0.8, 0.7], 1, 0.0) == ["A"] and top([0.9, 0.8, 0.7], 3, 0.99) == [] and top([0.5, 0.5, 0.5], 2, 0.0) == ["A", "B"]
+    enc = vector.hashing_encoder(16)
+    rows = spark.createDataFrame([(1, "song name"), (2, "song name"), (3, "age")], "id bigint, text string")
+    none = spark.createDataFrame([], "cache_key string, vec array<float>")
+    out, fresh = vector.with_cache(rows, none, enc, "m", "1")
+    assert fresh.count() == 2 and out.count() == 3
+    again, more = vector.with_cache(rows, fresh.cache(), enc, "m", "1")
+    assert more.count() == 0 and again.where("id = 1").first().vec == pytest.approx(enc(["song name"])[0].tolist())
+
+
+def test_vector_and_replay_linkers(spark):
+    catalog, questions = star.catalog(spark), star.questions(spark)
+    out = linkers.vector_linker(vector.hashing_encoder(), TunedVector(2, -1.0, 3, -1.0))(questions, catalog).collect()
+    assert len(out) == len(star.QUESTIONS) and all(len(r.tables) == 2 and len(r.columns) == 3 for r in out)
+    calls = []
+
+    def call(system, user):
+        if "How many customers" in user:
+            raise providers.Transient
+        calls.append(user)
+        return '{"core_tables": ["region", "customer"], "columns": [["nation", "n_name"]]}', 10, 5, "end_turn"
+
+    link = linkers.graph_linker(providers.remote(call, attempts=2, first_wait=0.0), with_keys=True)
+    got = {r.question_id: r for r in link(questions, catalog).collect()}
+    assert got[0].tables == ["region", "nation", "customer"] and ("customer", "c_nationkey") in [tuple(p) for p in got[0].columns] and got[0].failure is None
+    assert got[1].failure == "parse" and got[1].tables == []
+
+
+def test_ledger(spark):
+    price = ledger.prices(spark)
+    rows = spark.createDataFrame([("iteration", 0.01, 1000, 100, 500, 0), ("iteration", 0.02, 2000, 200, 0, 1000), ("dev_run", 5.0, 10000, 1000, 8000, 0)], "phase string, cost_usd double, input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint")
+    got = {r.phase: r for r in ledger.report(rows).collect()}
+    assert tuple(got["total"].asDict()) == ledger.REPORT
+    assert (got["iteration"].calls, got["iteration"].avg_input_tokens, got["iteration"].avg_output_tokens) == (2, 1500, 150) and got["iteration"].cost_usd == pytest.approx(0.03)
+    assert got["iteration"].cache_hit_rate == pytest.approx(500 / 4500) and got["dev_run"].cache_hit_rate == pytest.approx(8000 / 18000)
+    assert got["total"].calls == 3 and got["total"].avg_input_tokens == pytest.approx(13000 / 3) and got["total"].cache_hit_rate == pytest.approx(8500 / 22500)
+    calls = spark.createDataFrame([("claude-haiku-4-5", 200_000, 0, 0, 0)], "model string, input_tokens bigint, output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint")
+    assert ledger.with_cost(calls, price).first().cost_usd == 0.2
+    with pytest.raises(Exception, match="no price for model"):
+        ledger.with_cost(calls.withColumn("model", F.lit("x")), price).collect()
+    run = spark.createDataFrame([(1, 14.9), (2, 0.2), (3, 0.1)], "n bigint, cost_usd double")
+    assert [r.cap_state for r in ledger.running(run, 15.0, "n").orderBy("n").collect()] == ["ok", "exceeded", "blocked"]
+    assert ledger.total_cost(run.where("false")).first().cost_usd == 0 and ledger.raised_cap(run).first().cap_usd == pytest.approx(18.2)
+    assert ledger.projected(run.where("false"), 10).first().projected_usd == 0
+
+
+def test_ledger_rows(spark):
+    m = spark.createDataFrame([(1, "d", "s", "u1"), (2, "d", "s", "u2")], "question_id bigint, db_id string, system string, user string")
+    scripts = m.where("question_id = 1").select(F.sha2("user", 256).alias("user_hash"), F.lit(0).alias("turn"), F.lit("answer").alias("response"))
+    r = providers.replay(scripts)(providers.samples(m, 2))
+    assert {(x.question_id, x.response) for x in r.collect()} == {(1, "answer"), (2, None)}
+    rows = providers.ledger_rows(r, ledger.prices(spark), "claude-haiku-4-5", 0.3, "dev_run")
+    assert rows.count() == 2 and rows.first().metadata["phase"] == "dev_run" and len(rows.columns) == 13
+    bad = linkers.parse_failures(linkers.parsed_samples(r)).collect()
+    assert {(x.question_id, x.reason) for x in bad} == {(1, "json"), (2, "json")}
+
+
+def test_tuning_picks(spark):
+    t = spark.createDataFrame([(70, 0.7, 0.4), (75, 0.7, 0.5), (80, 0.7, 0.5), (85, 0.6, 0.9)], "fuzzy_threshold int, table_f1 double, column_f1 double")
+    assert tuning.pick_fuzzy(t).first().fuzzy_threshold == 75 and tuning.pick_fuzzy(t, "column").first().fuzzy_threshold == 85
+
+
+def test_analytics(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", 2.0)], "question_id bigint, k string, v double")
+    assert [r.n for r in analytics.value_counts(rows, "k", ["b", "z", "a"]).orderBy("ord").collect()] == [1, 0, 2]
+    d = analytics.describe(rows, "v").first()
+    assert (d["count"], d["mean"], d["q50"], d["std"]) == (3, 2.0, 2.0, 1.0)
+    assert analytics.dominant(rows, "k").count() == 0 and analytics.dominant(rows, "k", 2).first().k == "a"
+    h = {r.bin: r.n for r in analytics.histogram(rows, "v", 0.0, 3.0, 3).collect()}
+    assert h == {2: 1, 3: 2}
+    assert [r.question_id for r in analytics.sample(rows, 2, "question_id").collect()] == [r.question_id for r in analytics.sample(rows.repartition(3), 2, "question_id").collect()]
+    per = spark.createDataFrame([("A", "t", q, q % 2 == 0, True, 0.5, 0.5) for q in range(4)] + [("B", "t", q, q % 2 == 1, True, 0.5, 1.0) for q in range(4)], "method string, tier string, question_id bigint, table_srr_hit boolean, column_srr_hit boolean, table_f1 double, column_f1 double")
+    assert {r.quadrant for r in analytics.win_loss(per, "A", "B", "t").collect()} == {"a_only", "b_only"}
+    assert analytics.version_deltas(per.where("method = 'A'"), per.where("method = 'B'")).first().delta == 0.25
+    agg = spark.createDataFrame([(m, t, "tables", f, f, f, f, f) for m, t, f in (("C", "tier1", 0.5), ("C", "tier2", 0.6), ("D", "tier1", 0.4), ("D", "tier2", 0.9), ("E", "tier1", 0.7), ("E", "tier2", 0.8))], "method string, tier string, level string, precision double, recall double, f1 double, f6 double, srr double")
+    wide = analytics.compare_wide(agg, ["C", "D"], ["f1"]).where("tier = 'tier2'").first()
+    assert (wide["C"], wide["D"]) == (0.6, 0.9) if "C" in wide.asDict() else (wide["C_f1"], wide["D_f1"]) == (0.6, 0.9)
+    gaps = analytics.tier_asymmetry(agg)
+    assert analytics.asymmetry_ratio(gaps, "D", "C").first().ratio == pytest.approx(5.0)
+    u = {r.tier: r for r in analytics.union_against_parts(agg, ["C", "D"], "E").collect()}
+    assert u["tier1"].union_wins_f1 and not u["tier2"].union_wins_f1
+    costs = spark.createDataFrame([("C", 10.0), ("D", 20.0)], "method string, cost_usd double")
+    pd = analytics.per_dollar(agg, costs, 100)
+    assert pd.where("method = 'C' and tier = 'tier1'").first().f1_per_dollar == pytest.approx(5.0)
+    assert analytics.gain_per_dollar(pd.where("method = 'C'"), pd.where("method = 'D'")).where("tier = 'tier2'").first().gain_per_dollar == pytest.approx(3.0)
+
+
+def test_failure_categories(spark):
+    empty = ([], [])
+    kinds = "issues array<struct<kind:string,detail:string>>, pt array<string>, pc array<string>, t1 array<string>, c1 array<string>, c2 array<string>, bad_t array<string>, bad_c array<string>"
+    rows = [([("parse_error", "")], [], [], ["a"], [], [], [], []), ([], ["z"], [], ["a"], [], [], ["z"], []), ([], ["a"], ["z"], ["a"], [], [], [], ["z"]), ([], [], [], ["a"], [], [], [], []), ([], ["a"], [], ["a"], ["c"], ["c"], [], []), ([], ["a"], ["j"], ["a"], [], ["j"], [], []), ([], ["a"], [], ["a"], [], [], [], [])]
+    got = [r.category for r in analytics.failure_category(spark.createDataFrame(rows, kinds)).collect()]
+    assert got == ["parse", "hallucinated table", "hallucinated column", "missed table", "missed column", "excess join column", "other"] and empty
+
+
+def test_stream(spark, tmp_path):
+    src, out = tmp_path / "calls", tmp_path / "totals"
+    src.mkdir()
+    line = lambda h, c: json.dumps({"timestamp": datetime.datetime(2026, 1, 1, h).isoformat(), "model": "m", "cost_usd": c, "metadata": {"phase": "dev"}})
+    (src / "1.json").write_text("\n".join([line(1, 1.0), line(2, 2.0)]))
+    q = stream.keep_totals(stream.read(spark, str(src)), str(out), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    (src / "2.json").write_text(line(3, 4.0))
+    q.processAllAvailable()
+    q.stop()
+    row = spark.read.parquet(str(out)).collect()
+    assert [(r.phase, r.cost_usd, r.calls) for r in row] == [("dev", 7.0, 3)]
+    w = stream.windowed_cost(stream.read(spark, str(src))).writeStream.format("memory").queryName("windowed").outputMode("complete").start()
+    w.processAllAvailable()
+    w.stop()
+    assert spark.sql("select count(*) from windowed").first()[0] == 3
+    assert prompts.TEMPLATES
