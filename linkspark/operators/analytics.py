@@ -231,3 +231,22 @@ def clause_shares(rows: DataFrame, names: Sequence[str], by: str = "split") -> D
     """split, clause, n, percent from has_<clause> columns."""
     stack = F.explode(F.array(*[F.struct(F.lit(n).alias("clause"), F.col(f"has_{n}").alias("has")) for n in names]))
     return rows.select(by, stack.alias("x")).groupBy(by, F.col("x.clause").alias("clause")).agg(F.count_if("x.has").alias("n"), (100 * F.avg(F.col("x.has").cast("double"))).alias("percent"))
+
+
+def failures_by_hardness(failures: DataFrame, rows: DataFrame) -> DataFrame:
+    """hardness, reason, n of logged failures; rows: question_id, hardness, repeats allowed."""
+    labels = rows.select("question_id", "hardness").dropDuplicates(["question_id"])
+    return failures.join(labels, "question_id", "left").groupBy("hardness", "reason").agg(F.count("*").alias("n"))
+
+
+def common_questions(*links: DataFrame) -> DataFrame:
+    """question_id that all link sets have."""
+    out = links[0].select("question_id").distinct()
+    for other in links[1:]:
+        out = out.join(other, "question_id", "left_semi")
+    return out
+
+
+def strategy_means(rows: DataFrame) -> DataFrame:
+    """Mean F1 per strategy of the self-consistency ablation; rows: strategy and a per-query table's columns."""
+    return rows.groupBy("strategy").agg(F.avg("table_f1").alias("table_f1"), F.avg("column_f1").alias("column_f1"))
