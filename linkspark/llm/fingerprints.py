@@ -12,10 +12,10 @@ similarity of their spans.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import arrow_map, checkpoint, id_text, sha
+from linkspark.llm.common import arrow_map, id_text, sha
 
 P = (1 << 31) - 1
 #: Two bases.
@@ -163,58 +163,57 @@ def _row(doc_id, own: Sketch, following: Sketch) -> tuple:
     return doc_id, n, sha(text), own.hex, edited, likeness(own.hex, edited), likeness(own.hex, following.hex), own.prefix.extension(0, following.prefix, 0)
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def _bucket(cuts: list[float], block: int = 64) -> Column:
+    """How many of the falling ``cuts`` are above doc_id; null ids come after all.  Two levels, so many cuts take few comparisons."""
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+    above = lambda items: F.size(F.filter(items, lambda c: F.col("doc_id") < c))
+    blocks = [cuts[i : i + block] for i in range(0, len(cuts), block)]
+    k = above(F.array(*[F.lit(b[0]) for b in blocks]))
+    inside = above(F.element_at(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.greatest(k, F.lit(1))))
+    return F.when(F.col("doc_id").isNull(), len(cuts) + 1).when(k == 0, 0).otherwise((k - 1) * block + inside)
+
+
+def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Per document its fingerprint, that of the edited text, and their likeness; see FIELDS.
 
     The edited text replaces the last third of the code points by the first as many of the next document, by descending
     doc_id, null ids last, ties by text; after the last document comes the first.  same_prefix is the longest common
-    extension of both documents' starts.  A null text is empty; a single document is its own next.
+    extension of both documents' starts.  A null text is empty; a single document is its own next; other columns are not read;
+    an empty table gives an empty result.
 
-    Texts are dealt out by ranges of the order and each partition is read as a stream, one document ahead.  The last
-    document of a partition is resolved against the first of the next: two texts a partition.
+    Ids are cut at quantiles into ``parts`` ranges (by default the session's shuffle partitions).  The first document of a
+    range is added to the range before it as its end, one text a range; then texts are dealt out by range, once, and each
+    partition is read as a stream, one document ahead.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    dealt = id_text(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def rows(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        names = ("kind", "part", "text", *FIELDS)
-        blank = (None,) * (len(FIELDS) - 1)
+    spark = docs.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = id_text(docs)
+    cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    bucket = _bucket(sorted(set(cuts), reverse=True)).alias("bucket")
+    # one row a range: its greatest id
+    firsts = sorted((r["bucket"], r["first"]) for r in rows.select("doc_id", bucket).groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())
+    ends = [(b, first, firsts[i - 1][0]) for i, (b, first) in enumerate(firsts)]
+    heads = spark.createDataFrame(ends, "bucket int, first long, before int")
+    placed = rows.select(bucket, "doc_id", "text")
+    held = placed.join(F.broadcast(heads), "bucket").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    held = held.groupBy("before", "doc_id").agg(F.min("text").alias("text"))
+    every = placed.withColumn("end", F.lit(0)).unionByName(held.select(F.col("before").alias("bucket"), "doc_id", "text", F.lit(1).alias("end")))
+    dealt = every.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "end", F.col("doc_id").desc_nulls_last(), "text")
+
+    def stream(batches):
         last = None
-
-        def columns(done):
-            return dict(zip(names, map(list, zip(*done, strict=True)), strict=True))
-
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a in range(0, len(ids), 500):
+            columns = [b.column(dealt_names.index(n)).to_pylist() for n in ("doc_id", "text", "end")]
+            for a in range(0, b.num_rows, 500):
                 done = []
-                for doc_id, text in zip(ids[a : a + 500], texts[a : a + 500], strict=True):
+                for doc_id, text, end in zip(*(c[a : a + 500] for c in columns), strict=True):
                     own = Sketch(text)
-                    if last is None:
-                        done.append(("head", part, text, doc_id, *blank))
-                    else:
-                        done.append(("row", part, None, *_row(*last, own)))
-                    last = doc_id, own
-                yield columns(done)
-        if last is not None:
-            yield columns([("tail", part, last[1].text, last[0], *blank)])
-
-    found = checkpoint(arrow_map(dealt, rows, "kind string, part int, text string, " + _TYPES))
-    # numbers of the partitions that hold rows: one row a partition
-    heads = found.where("kind = 'head'").select("part")
-    first = Window.orderBy("part")
-    after = heads.select("part", F.lead("part").over(first).alias("following"), F.min("part").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("least"))
-    after = after.select("part", F.coalesce("following", "least").alias("following"))
-    tails = found.where("kind = 'tail'").select("part", "doc_id", "text").join(after, "part")
-    ends = tails.join(found.where("kind = 'head'").select(F.col("part").alias("following"), F.col("text").alias("next_text")), "following").select("doc_id", "text", "next_text")
-
-    def resolve(batches):
-        for b in batches:
-            done = [_row(d, Sketch(t), Sketch(x)) for d, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            if done:
-                yield dict(zip(FIELDS, map(list, zip(*done, strict=True)), strict=True))
-
-    return found.where("kind = 'row'").select(*FIELDS).unionByName(arrow_map(ends, resolve, _TYPES))
+                    if last is not None:
+                        done.append(_row(*last, own))
+                    last = None if end else (doc_id, own)
+                if done:
+                    yield dict(zip(FIELDS, map(list, zip(*done, strict=True)), strict=True))
+
+    dealt_names = dealt.columns
+    return arrow_map(dealt, stream, _TYPES)
