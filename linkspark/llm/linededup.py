@@ -1,6 +1,12 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by runs of lines that documents share, and by pairwise alignment.
 
-Documents are joined through hashes of lines.  A line's home is the first document (least doc_id) that has it; every later
+``copied_runs`` is what the query takes.  A line is deleted if it lies in a run of neighbouring non-empty lines, of LEAST_BLOCK
+code points together, that some document of a smaller id has too: every block that an alignment with any earlier document
+could give, repeated and moved lines with them.  Such a run is covered by its least windows, those that fall below the bound
+without their last or without their first line.  So each document is listed under the hashes of its windows, a window's home
+is its least doc_id, and the windows with an earlier home are found without a pair of documents: at most two rows a line.
+
+``deletions`` is the alignment with homes of single lines, which leaves more standing.  Documents are joined through hashes of lines.  A line's home is the first document (least doc_id) that has it; every later
 document that has it is paired with the home only, so a line that n documents share gives n - 1 rows and not n^2, and no
 frequency cap is needed.  A pair is aligned by patience diff: lines that are unique in both documents, in the longest run that
 rises in both.  Common blocks are deleted from the later document.
@@ -8,12 +14,12 @@ rises in both.  Common blocks are deleted from the later document.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import arrow_map, checkpoint, id_text
+from linkspark.llm.common import arrow_map, checkpoint, id_text, pieces
 
 #: Blocks with fewer code points (of trimmed lines) than this stay: a short line is no copied passage.
 LEAST_BLOCK = 24
@@ -130,6 +136,83 @@ def deletions(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     return arrow_map(dealt, align, "doc_id long, text_hash long, removed array<int>, homes array<long>")
 
 
+def lines_of(text: str) -> list[str]:
+    """The trimmed non-empty lines, by whose numbers lines are deleted."""
+    return [x for x in (y.strip() for y in text.split("\n")) if x]
+
+
+def least_windows(lines: list[str], least: int) -> list[tuple[int, int]]:
+    """(first, end) of all runs that reach ``least`` code points but not without their last, or not without their first line."""
+    found, sums = set(), [0]
+    for line in lines:
+        sums.append(sums[-1] + len(line))
+    for a in range(len(lines)):
+        b = bisect_left(sums, sums[a] + least, a + 1)
+        if b < len(sums):
+            found.add((a, b))
+    for b in range(1, len(sums)):
+        a = bisect_right(sums, sums[b] - least, 0, b) - 1
+        if a >= 0:
+            found.add((a, b))
+    return sorted(found)
+
+
+def window_hashes(text: str, least: int) -> list[tuple[int, int, int]]:
+    """(first, end, hash) of the least windows."""
+    import xxhash
+
+    lines = lines_of(text)
+    return [(a, b, xxhash.xxh3_64_intdigest("\n".join(lines[a:b])) - (1 << 63)) for a, b in least_windows(lines, least)]
+
+
+def copied_runs(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """doc_id, text_hash, copied array<struct<hash, home>>: a document's windows that a document of a smaller id has, with the
+    least such id.
+
+    Only documents that have any.  Rows without a doc_id take no part; rows that share a doc_id are not compared with each other.
+    """
+
+    def rows(batches):
+        for b in batches:
+            ids, texts, hashes = [], [], []
+            for doc_id, text, text_hash in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if doc_id is not None:
+                    own = {h for _, _, h in window_hashes(text, least)}
+                    ids += [doc_id] * len(own)
+                    texts += [text_hash] * len(own)
+                    hashes += own
+            yield {"doc_id": ids, "text_hash": texts, "hash": hashes}
+
+    windows = checkpoint(arrow_map(id_text(docs).withColumn("text_hash", F.xxhash64("text")), rows, "doc_id long, text_hash long, hash long"))
+    homes = windows.groupBy("hash").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last").select(F.col("hash").alias("h"), "home")
+    copied = windows.join(homes, F.col("hash") == F.col("h")).where("doc_id > home")
+    return copied.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "home")).alias("copied"))
+
+
+def dedup_runs(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """doc_id, text, n_removed, removed, homes: every document, without the runs of lines that documents of smaller ids have.
+
+    ``homes`` has the least doc_id of each window that is deleted.  A null text is empty and stays so; rows without a doc_id
+    stay as they are; repeated rows are treated alike.  Other columns are not read; an empty table gives an empty result.
+    """
+    gone = copied_runs(docs, least).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("copied.hash").alias("hashes"), F.col("copied.home").alias("homes"))
+    rows = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    joined = rows.join(gone, (rows["doc_id"] == gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left").select("doc_id", "text", "hashes", "homes")
+
+    def apply(batches):
+        for b in batches:
+            out = {"doc_id": [], "text": [], "n_removed": [], "removed": [], "homes": []}
+            for doc_id, text, hashes, homes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                known = set(hashes or ())
+                removed = sorted({k for a, e, h in window_hashes(text, least) if h in known for k in range(a, e)}) if known else []
+                for name, value in zip(out, (doc_id, strip(text, removed) if removed else text, len(removed), removed, sorted(set(homes or ()))), strict=True):
+                    out[name].append(value)
+            for part in pieces(list(out.values()), 1000):
+                yield dict(zip(out, part, strict=True))
+
+    return arrow_map(joined, apply, "doc_id long, text string, n_removed long, removed array<int>, homes array<long>")
+
+
 def strip(text: str, removed: list[int]) -> str:
     """``text`` without the given non-empty lines; blank lines stay."""
     gone, pos, out = set(removed), -1, []

@@ -23,7 +23,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+    return linededup.digest(linededup.dedup_runs(table(spark, sf_dir, "documents")))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,38 @@ def test_many_copies_stay_linear(spark, documents):
     rows = [(i, f"{A}\n{B}") for i in range(300)]
     shared = L.deletions(documents(rows))
     assert shared.count() == 299 and {tuple(r.homes) for r in shared.collect()} == {(0,)}
+
+
+def brute_runs(rows, least=L.LEAST_BLOCK):
+    """Every document against all of smaller ids: all common runs of lines that reach the bound."""
+    lines = {d: L.lines_of(t or "") for d, t in rows}
+    out = {}
+    for d, own in lines.items():
+        gone = set()
+        for other in (x for o, x in lines.items() if o < d):
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if sum(map(len, own[i : i + n])) >= least:
+                        gone |= set(range(i, i + n))
+        out[d] = sorted(gone)
+    return out
+
+
+def test_runs_against_all_earlier_documents(spark, documents):
+    rng = random.Random(5)
+    pool = [f"shared line number {i} with some words" for i in range(3)] + ["short", "tiny", "ten chars.", "eleven char", "twelve chars"]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 7)))) for d in range(60)]
+    got = {r.doc_id: list(r.removed) for r in L.dedup_runs(documents(rows)).collect()}
+    want = brute_runs(rows)
+    assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_copies_whose_lines_have_other_homes(spark, documents):
+    short = [f"line {i}" for i in range(10)]
+    rows = [(1, f"{C}\n{B}\n{A}"), (2, f"{A}\n{B}\n{C}"), (3, f"{A}\n{B}\n{C}"), *((10 + i, f"own {i}\n{x}") for i, x in enumerate(short)), (30, "\n".join(short)), (31, "x\n" + "\n".join(short)), (None, A)]
+    got = {r.doc_id: r for r in L.dedup_runs(documents(rows)).collect()}
+    assert got[3].text == "" and got[31].text == "x" and got[31].homes == [30] and got[30].n_removed == 0 and got[None].text == A
+    assert L.dedup_runs(documents([])).count() == 0
