@@ -91,3 +91,11 @@ def test_copies_whose_lines_have_other_homes(spark, documents):
     got = {r.doc_id: r for r in L.dedup_runs(documents(rows)).collect()}
     assert got[3].text == "" and got[31].text == "x" and got[31].homes == [30] and got[30].n_removed == 0 and got[None].text == A
     assert L.dedup_runs(documents([])).count() == 0
+
+
+def test_repeated_lines_go_with_their_copies(spark, documents):
+    passage = f"{A}\n{B}"
+    rows = [(1, f"{passage}\n{passage}"), (2, f"{passage}\n{passage}"), (3, f"own\n{passage}\nmore\n{passage}"), (4, "la\n" * 12), (5, "x\n" + "la\n" * 13)]
+    got = {r.doc_id: r for r in L.dedup_runs(documents(rows)).collect()}
+    assert got[1].n_removed == 0 and got[2].text == "" and got[3].text == "own\nmore"
+    assert got[4].n_removed == 0 and got[5].removed == list(range(1, 14))
