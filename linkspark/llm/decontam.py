@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Texts become lower-case words of letters and digits, and those become shingles of five words (a text of fewer words is one
-shingle).  A window with a similarity of 0.8 shares a shingle with its item, and the shingle's place in the item tells where
-the window starts, so windows are taken only where a shingle of an item occurs.  This loses nothing and keeps fingerprints
-to a few windows instead of one at every word.
+shingle).  A window within the similarity has a least number of places whose shingles the item has (8/9 of the item's, for
+0.8), in whatever order, so windows are taken at all starts that have so many of these places, and at no others.  This loses
+nothing and keeps fingerprints to a few windows instead of one at every word.
 
 A window's SimHash is cut into eight blocks of eight bits.  Two fingerprints within 23 bits agree in a block but for two
 bits at most, so the items' blocks are listed with all neighbours within two bits and joined by (item, block, value): all
@@ -59,7 +59,8 @@ def neighbours() -> list[int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, window_start (in words): pairs with a window of at least ``threshold``, at its best window.
 
-    ``benchmark``: item_id, text.  Texts without words match nothing.  Of equally similar windows that a shared shingle places, the first counts.  A null
+    ``benchmark``: item_id, text.  Texts without words match nothing.  Of equally similar windows the
+    first counts that a shared shingle places (its place less its offset in the item), or the first, if none is placed.  A null
     doc_id is one like any other, null item ids too; rows that share a doc_id are read as one document each and give one row.
     Other columns are not read; an empty table on either side gives an empty result.
     """
@@ -80,10 +81,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     held = texts.join(short(hit), (F.col("doc") == F.col("hit_doc")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     held = checkpoint(hashed(held, "doc_id", "doc").dropDuplicates(["doc_id", "doc"]).withColumn("n", F.size("h")))
 
-    starts = hits.join(near(places), F.col("spot") == F.col("hash")).select("doc_id", "doc", "item", "m", (F.col("at") - F.col("offset")).alias("first")).distinct()
-    start = F.greatest(F.lit(0), F.least(F.col("first"), F.col("n") - F.col("m")))
-    windows = starts.join(held, (starts["doc"] == held["doc"]) & starts["doc_id"].eqNullSafe(held["doc_id"])).select(starts["doc_id"], starts["doc"], "item", "m", start.alias("start"), "h")
-    windows = checkpoint(windows.select("doc_id", "doc", "item", "start", F.slice("h", F.col("start") + 1, F.col("m")).alias("window")).distinct())
+    found = hits.join(near(places), F.col("spot") == F.col("hash")).groupBy("doc_id", "doc", "item", "m")
+    found = found.agg(F.array_sort(F.collect_set("at")).alias("spots"), F.collect_set(F.col("at") - F.col("offset")).alias("firsts"))
+    found = found.join(held, (found["doc"] == held["doc"]) & found["doc_id"].eqNullSafe(held["doc_id"])).select(found["doc_id"], found["doc"], "item", "m", "spots", "firsts", "h", "n")
+    # similarity = shared / (m + size - shared), so shared is at least threshold (m + size) / (1 + threshold)
+    size = F.least("m", "n")
+    least = F.greatest(F.lit(1), F.ceil(threshold * (F.col("m") + size) / (1 + threshold) - 1e-9).cast("int"))
+    found = found.withColumn("size", size).withColumn("least", least).where(F.size("spots") >= F.col("least"))
+    # a window whose first such place is the i-th holds enough of them if it reaches the one that is least - 1 further
+    low = lambda i: F.greatest(F.lit(0), F.get("spots", i + F.col("least") - 1) - F.col("size") + 1)
+    high = lambda i: F.least(F.get("spots", i), F.col("n") - F.col("size"))
+    ranges = F.transform(F.sequence(F.lit(0), F.size("spots") - F.col("least")), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))
+    placed = F.transform("firsts", lambda x: F.greatest(F.lit(0), F.least(x, F.col("n") - F.col("m"))))
+    windows = found.withColumn("placed", placed).withColumn("start", F.explode(F.array_distinct(F.flatten(ranges))))
+    windows = checkpoint(windows.select("doc_id", "doc", "item", "start", F.array_contains("placed", F.col("start")).alias("placed"), F.slice("h", F.col("start") + 1, F.col("m")).alias("window")))
 
     name = ["doc_id", "doc", "item", "start"]
     prints = windows.select(*name, F.explode("window").alias("hash")).groupBy(*name).agg(*simhash_columns("hash"))
@@ -96,12 +107,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     distance = sum((F.bit_count(F.col(f"print.block{b}").bitwiseXOR(F.col(f"item_print.block{b}"))) for b in range(BLOCKS)), F.lit(0))
     close = met.select("doc_id", "doc", theirs["item"], "start", distance.alias("bits")).where(F.col("bits") <= RADIUS).distinct()
 
-    pairs = close.join(windows, (close["doc"] == windows["doc"]) & close["doc_id"].eqNullSafe(windows["doc_id"]) & (close["item"] == windows["item"]) & (close["start"] == windows["start"])).select(close["doc_id"], close["doc"], close["item"], close["start"], "window")
+    pairs = close.join(windows, (close["doc"] == windows["doc"]) & close["doc_id"].eqNullSafe(windows["doc_id"]) & (close["item"] == windows["item"]) & (close["start"] == windows["start"])).select(close["doc_id"], close["doc"], close["item"], close["start"], "placed", "window")
     pairs = pairs.join(near(items.select(F.col("item").alias("its"), "item_id", "h")), F.col("item") == F.col("its"))
     count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
     shared = F.aggregate(F.array_distinct("h"), F.lit(0), lambda s, x: s + F.least(count(F.col("h"), x), count(F.col("window"), x)))
     scored = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("h") + F.size("window") - F.col("shared")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("int").alias("window_start"))
 
 

@@ -82,3 +82,22 @@ def test_empty(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.contaminated(documents([]), none).count() == 0 and D.contaminated(documents([(1, "a b c d e")]), none).count() == 0
     assert D.clean(documents([(1, "a")]), none).count() == 1
+
+
+def test_reordered_items_against_brute_force(spark, documents):
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, text(60 + 20 * i)) for i in range(4)] + [(9, text(40) + ["again"] * 40)]
+    docs = [(0, text(50))]
+    for i, w in items:
+        for k, cut in enumerate((len(w) // 2, len(w) // 4, len(w) // 3)):
+            docs.append((100 * i + k + 1, text(30) + w[cut:] + w[:cut] + text(30)))
+        docs.append((100 * i + 50, w[cut:] + w[:cut]))
+    join = lambda rows: [(i, " ".join(w)) for i, w in rows]
+    want = brute(join(docs), join(items))
+    assert len(want) >= 15
+    found = D.contaminated(documents(join(docs)), spark.createDataFrame(join(items), "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.window_start) for r in found.collect()}
+    assert got.keys() == want.keys()
+    for k, (j, s) in want.items():
+        assert got[k][0] == pytest.approx(j) and got[k][1] in s
