@@ -24,7 +24,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = (*BASE, "guess")
 #: Names of credentials and what may stand between them and their value.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer)["']?(?:\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?|\x20+)(?:"(?P<d>[^"\n]{6,512})"|'(?P<s>[^'\n]{6,512})'|(?P<v>[^\s"'<>,;]{6,}))""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer)["']?(?:\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?|\x20+)(?:"(?P<d>[^"\n]{6,})"|'(?P<s>[^'\n]{6,})'|(?P<v>[^\s"'<>,;]{6,}))""",
     re.I | re.A,
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")

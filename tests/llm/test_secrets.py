@@ -83,3 +83,12 @@ def test_base_against_plain_patterns(text):
     want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     got = [(a, S.KINDS.index(k), b) for a, k, b, _ in S.find(text) if k != "guess"]
     assert got == sorted(want)
+
+
+def test_quoted_values_of_any_length():
+    alphabet = "Xk29djQz81Lmf0Pw+/7Tn"
+    for n in (512, 513, 1600, 20_000):
+        value = "".join(alphabet[(i * i + i // 7) % len(alphabet)] for i in range(n))
+        for quote in "\"'":
+            text = f"private_key = {quote}{value}{quote} end"
+            assert [text[a:b] for a, k, b, _ in S.find(text) if k == "guess"] == [value]
