@@ -22,11 +22,13 @@ BASE = {
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = (*BASE, "guess")
-#: Names of credentials and what may stand between them and their value.
+#: Names of credentials and what may stand between them and their value.  The value is looked at, not taken, so
+#: that a name inside a value is found too, for a value that ends further on; of an unquoted value only the beginning, RUN has its end.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer)["']?(?:\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?|\x20+)(?:"(?P<d>[^"\n]{6,})"|'(?P<s>[^'\n]{6,})'|(?P<v>[^\s"'<>,;]{6,}))""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer)(?=["']?(?:\x20*(?:[:=]|=>)\x20*(?:bearer\x20+)?|\x20+)(?:"(?P<d>[^"\n]{6,})"|'(?P<s>[^'\n]{6,})'|(?P<v>[^\s"'<>,;]{6})))""",
     re.I | re.A,
 )
+RUN = re.compile(r"""[^\s"'<>,;]*""", re.A)
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 #: Frequent words of passwords and placeholders, most frequent first.
 WORDS = """password admin welcome login master secret dragon monkey shadow sunshine princess football baseball letmein qwerty abc
@@ -146,9 +148,15 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int, f
         found += [(m.start(), "access", m.end(), None) for m in BASE["access"].finditer(text) if len(m[0]) >= LEAST["access"]]
     found += [(m.start(), "hex", m.end(), None) for m in BASE["hex"].finditer(text)]
     if named:
+        taken, run = 0, (0, 0)
         for m in CONTEXT.finditer(text):
             a, b = next(m.span(g) for g in "dsv" if m[g] is not None)
-            if any(x <= a and b <= y for x, y in values) or any(x <= a and b <= y for x, k, y, _ in found if k in ("access", "hex")):
+            if m["v"] is not None:
+                # names in one run share its end, so a run is read once
+                if not run[0] <= a < run[1]:
+                    run = a, RUN.match(text, a).end()
+                b = run[1]
+            if b <= taken or any(x <= a and b <= y for x, y in values) or any(x <= a and b <= y for x, k, y, _ in found if k in ("access", "hex")):
                 continue
             value = text[a:b]
             # running prose has neither digits nor inner case changes; a credential without either must be quoted or assigned
@@ -156,6 +164,7 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int, f
             assigned = any(c in text[m.start() : a] for c in ":=\"'")
             if (mixed or assigned) and (cost := guess_cost(value).cost) >= threshold:
                 found.append((a, "guess", b, cost))
+                taken = b
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 

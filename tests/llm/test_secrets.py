@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +93,15 @@ def test_quoted_values_of_any_length():
         for quote in "\"'":
             text = f"private_key = {quote}{value}{quote} end"
             assert [text[a:b] for a, k, b, _ in S.find(text) if k == "guess"] == [value]
+
+
+def test_names_inside_values():
+    value = "Xk29djQz81Lmf0Pw"
+    for names in ("secret access_key:", "the secret credentials:", "password passphrase:", "token: passcode=", "secret bearer"):
+        text = f"{names} {value} end"
+        assert [text[a:b] for a, k, b, _ in S.find(text) if k == "guess"] == [value], names
+    text = f"private_key: passphrase: {value} secret: \"x token {value}y\" end"
+    assert [text[a:b] for a, k, b, _ in S.find(text) if k == "guess"] == ["passphrase:", value, f"x token {value}y"]
+    began = time.process_time()
+    assert len(S.find("secret=" * 30_000)) == 1 and S.find("secret secret-" * 30_000) is not None
+    assert time.process_time() - began < 60
