@@ -29,8 +29,6 @@ THRESHOLD = 0.3
 FIT_ROWS = 4000
 #: Terms that a lexicon has at most.
 TERMS = 600
-#: Terms of the greatest weight for which misspellings are sought.
-FUZZY_TERMS = 64
 #: A term's least log ratio of document shares, and the least excess over chance in standard deviations.
 LEAST_RATIO, LEAST_Z = 1.5, 5.0
 #: Share of a document's words from which a beginning of words counts: toxic use repeats a stem, chance does not.
@@ -89,7 +87,7 @@ class Lexicon:
         # Misspellings are sought for terms of some length of which no beginning is a term.  By the pigeonhole, a word within k
         # edits has one of the term's k + 1 parts; with one edit that is its first half in front or its second half at the end.
         able = [t for t in self.exact if len(t) >= 4 * edits + 1 and not any(t.startswith(p) for p in self.begin)]
-        self.fuzzy = sorted(able, key=lambda t: (-self.exact[t], t))[:FUZZY_TERMS]
+        self.fuzzy = sorted(able)
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
         parts: set[str] = set()

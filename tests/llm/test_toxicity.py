@@ -95,3 +95,14 @@ def test_edges(spark, documents):
     assert T.score(documents([]), model).count() == 0
     odd = spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
     T.fit(docs, odd)
+
+
+def test_misspellings_of_every_term():
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(300)})
+    lexicon = T.Lexicon({t: 1.0 for t in terms})
+    scorer = T.Scorer(lexicon)
+    assert len(lexicon.fuzzy) == 300
+    for t in terms:
+        for word in (t[:-1], t[:4] + t[5:], t[1:]):
+            assert lexicon.hit(word) == (1.0, True) and scorer.features(f"so {word} there")[1] > 0
