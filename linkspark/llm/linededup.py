@@ -1,20 +1,26 @@
-"""Line dedup by runs of lines that documents share, and by pairwise alignment.
-
-``copied_runs`` is what the query takes.  A line is deleted if it lies in a run of neighbouring non-empty lines, of LEAST_BLOCK
-code points together, that some document of a smaller id has too: every block that an alignment with any earlier document
-could give, repeated and moved lines with them.  Such a run is covered by its least windows, those that fall below the bound
-without their last or without their first line.  So each document is listed under the hashes of its windows, a window's home
-is its least doc_id, and the windows with an earlier home are found without a pair of documents: at most two rows a line.
-
-``deletions`` is the alignment with homes of single lines, which leaves more standing.  Documents are joined through hashes of lines.  A line's home is the first document (least doc_id) that has it; every later
-document that has it is paired with the home only, so a line that n documents share gives n - 1 rows and not n^2, and no
-frequency cap is needed.  A pair is aligned by patience diff: lines that are unique in both documents, in the longest run that
-rises in both.  Common blocks are deleted from the later document.
+"""Line dedup by pairwise alignment of documents that share rare runs of lines.
+
+A document is read as the sequence of its trimmed non-empty lines.  Lines alone are poor evidence (a short line occurs by
+chance), so a document is listed under its least windows: runs of neighbouring lines that reach ``least`` code points, but not
+without their last, or not without their first line; a line that is long enough is a window by itself.  Every common run of
+two documents that reaches the bound is covered by such windows.
+
+The home of a window is the first document that has it.  Each later holder is paired with the home alone, so a window that n
+documents hold gives n - 1 pairs and no link is lost: whatever a document shares with any earlier one is shared with the homes.
+Windows that many documents hold (at most ``HOT_KEYS`` by their share of all windows) find their home by a broadcast, as their
+rows would meet in one task otherwise.
+
+A document is aligned with its homes in the order of rarity: the home of its rarest window first.  The alignment is a patience
+diff over the common windows: windows unique in both are the anchors, the longest rising run of anchors is kept, and the gaps
+between are aligned in turn.  What moved against the rest is aligned after that, block by block.  Aligned blocks are deleted
+from the later document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +29,23 @@ from linkspark.llm.common import arrow_map, checkpoint, id_text, pieces
 
 #: Blocks with fewer code points (of trimmed lines) than this stay: a short line is no copied passage.
 LEAST_BLOCK = 24
+#: A window is hot if it has more than this share of all rows, so there are fewer hot windows than this, and a task's share of one.
+HOT_KEYS = 4096
+HOT_ROWS = 1000
+#: Places of a hot window in its home that are sent along; further repeats in a later document are aligned with the last.
+HOT_PLACES = 64
+KEY = ("last", "doc", "t1", "t2")
 
+Item = tuple[int, int]
+"""(first line, window): a window as a small number, the same in both documents of a pair."""
 
-def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs, sorted by the first, whose second rises strictly: patience sorting with back links."""
+
+def rising(values: list[int]) -> list[int]:
+    """Positions of the longest strictly rising run of ``values``: patience sorting with back links."""
     tops: list[int] = []
     at: list[int] = []
     before: list[int] = []
-    for i, (_, value) in enumerate(pairs):
+    for i, value in enumerate(values):
         pile = bisect_left(tops, value)
         if pile == len(tops):
             tops.append(value)
@@ -40,100 +55,88 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         before.append(at[pile - 1] if pile else -1)
     out, i = [], at[-1] if at else -1
     while i >= 0:
-        out.append(pairs[i])
+        out.append(i)
         i = before[i]
     return out[::-1]
 
 
-def blocks(aligned: list[tuple[int, int, int]], least: int) -> list[int]:
-    """Positions in the later document of blocks that reach ``least`` code points; aligned: (first, later, code points)."""
-    out: list[int] = []
-    run: list[tuple[int, int, int]] = []
-    for row in [*aligned, None]:
-        if run and (row is None or row[0] != run[-1][0] + 1 or row[1] != run[-1][1] + 1):
-            if sum(x[2] for x in run) >= least:
-                out += [x[1] for x in run]
-            run = []
-        if row is not None:
-            run.append(row)
-    return out
-
-
-def unique_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, hash, pos, len: one row per line that is unique in its text; counted inside the row, without a shuffle."""
-
-    def rows(batches):
-        import xxhash
-
-        for b in batches:
-            ids, texts, hashes, places, lengths = [], [], [], [], []
-            for doc_id, text, text_hash in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if doc_id is None:
-                    continue
-                seen: dict[int, tuple[int, int] | None] = {}
-                for pos, line in enumerate(x for x in (y.strip() for y in text.split("\n")) if x):
-                    h = xxhash.xxh3_64_intdigest(line) - (1 << 63)
-                    seen[h] = None if h in seen else (pos, len(line))
-                for h, place in seen.items():
-                    if place is not None:
-                        ids.append(doc_id)
-                        texts.append(text_hash)
-                        hashes.append(h)
-                        places.append(place[0])
-                        lengths.append(place[1])
-            yield {"doc_id": ids, "text_hash": texts, "hash": hashes, "pos": places, "len": lengths}
-
-    return arrow_map(id_text(docs).withColumn("text_hash", F.xxhash64("text")), rows, "doc_id long, text_hash long, hash long, pos int, len int")
-
-
-def deletions(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """doc_id, text_hash, removed array<int>, homes array<long>: lines (numbers among the non-empty ones) to delete, and what they repeat.
+def patience(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
+    """Aligned positions (i, j) in two sequences of items, rising in both.
 
-    Only documents that lose a line.  Rows without a doc_id have no place in the order and take no part; rows that share a
-    doc_id are told apart by their text and not compared with each other.  Of a line that an alignment leaves out (moved against its neighbours) both copies
-    stay.
+    Equal ends are aligned outright; of the rest, items unique in both are anchors, and the gaps between them are aligned in the
+    same way.  In a gap without anchors the k-th occurrences of an item in both are its pairs.
     """
-    lines = checkpoint(unique_lines(docs))
-    homes = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("home"), F.count("*").alias("n")).where("n > 1")
-    homes = homes.select(F.col("hash").alias("h"), F.col("home.doc_id").alias("home"), F.col("home.text_hash").alias("home_text"), F.col("home.pos").alias("home_pos"))
-    shared = lines.join(homes, F.col("hash") == F.col("h")).where("doc_id > home").select("doc_id", "text_hash", "home", "home_text", "home_pos", "pos", "len")
-    dealt = shared.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "home", "home_text", "home_pos", "pos")
-
-    def align(batches):
-        doc, removed, homes_, home, pairs = None, [], [], None, []
-
-        def finish_pair():
-            if not pairs:
-                return
-            lengths = {p: n for _, p, n in pairs}
-            gone = blocks([(a, b, lengths[b]) for a, b in rising([(a, b) for a, b, _ in pairs])], least)
-            if gone:
-                removed.extend(gone)
-                homes_.append(home[0])
-            pairs.clear()
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b))]
+    while gaps:
+        i, m, j, n = gaps.pop()
+        while i < m and j < n and a[i][1] == b[j][1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1][1] == b[n - 1][1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        left, right = Counter(x[1] for x in a[i:m]), Counter(x[1] for x in b[j:n])
+        places = {a[k][1]: k for k in range(i, m) if left[a[k][1]] == 1}
+        anchors = [(places[b[k][1]], k) for k in range(j, n) if right[b[k][1]] == 1 and b[k][1] in places]
+        if anchors:
+            kept = [anchors[k] for k in rising([x for x, _ in anchors])]
+            ends = [(i - 1, j - 1), *kept, (m, n)]
+            out += kept
+            gaps += [(p + 1, q, s + 1, t) for (p, s), (q, t) in zip(ends, ends[1:], strict=False)]
+            continue
+        seen: Counter = Counter()
+        numbered = {}
+        for k in range(i, m):
+            numbered[a[k][1], seen[a[k][1]]] = k
+            seen[a[k][1]] += 1
+        seen.clear()
+        pairs = []
+        for k in range(j, n):
+            at = numbered.get((b[k][1], seen[b[k][1]]))
+            seen[b[k][1]] += 1
+            if at is not None:
+                pairs.append((at, k))
+        out += [pairs[k] for k in rising([x for x, _ in pairs])]
+    return sorted(out)
+
+
+def aligned_windows(home: list[Item], own: list[Item]) -> list[tuple[int, int, int]]:
+    """(first line in home, first line in own, window), in the order of ``own``: for every item of ``own`` that ``home`` has.
+
+    First the patience diff; what it leaves over has moved, and follows the place of the item before, or takes the item's last
+    place up to its number of occurrence.
+    """
+    pairs = {j: home[i][0] for i, j in patience(home, own)}
+    places: dict[int, list[int]] = {}
+    for first, window in home:
+        places.setdefault(window, []).append(first)
+    out, seen = [], Counter()
+    for j, (first, window) in enumerate(own):
+        if window not in places:
+            continue
+        held = places[window]
+        at = pairs.get(j)
+        if at is None:
+            follows = out[-1][0] + first - out[-1][1] if out else -1
+            at = follows if follows in held else held[min(seen[window], len(held) - 1)]
+        seen[window] += 1
+        out.append((at, first, window))
+    return out
 
-        for b in batches:
-            out = {"doc_id": [], "text_hash": [], "removed": [], "homes": []}
-            for d, t, h, ht, hp, p, n in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                d, h = (d, t), (h, ht)
-                if d != doc or h != home:
-                    finish_pair()
-                    if d != doc:
-                        if removed:
-                            out["doc_id"].append(doc[0])
-                            out["text_hash"].append(doc[1])
-                            out["removed"].append(sorted(set(removed)))
-                            out["homes"].append(list(homes_))
-                        removed.clear()
-                        homes_.clear()
-                    doc, home = d, h
-                pairs.append((hp, p, n))
-            yield out
-        finish_pair()
-        if removed:
-            yield {"doc_id": [doc[0]], "text_hash": [doc[1]], "removed": [sorted(set(removed))], "homes": [list(homes_)]}
-
-    return arrow_map(dealt, align, "doc_id long, text_hash long, removed array<int>, homes array<long>")
+
+def blocks(aligned: list[tuple[int, int, int]], sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(first line in home, first line in own, number of lines): windows that overlap or adjoin at one distance make one block."""
+    out: list[tuple[int, int, int]] = []
+    for at, first, window in aligned:
+        if out and out[-1][1] - out[-1][0] == first - at and first <= out[-1][1] + out[-1][2]:
+            a, b, n = out[-1]
+            out[-1] = a, b, max(n, first + sizes[window] - b)
+        else:
+            out.append((at, first, sizes[window]))
+    return out
 
 
 def lines_of(text: str) -> list[str]:
@@ -141,12 +144,12 @@ def lines_of(text: str) -> list[str]:
     return [x for x in (y.strip() for y in text.split("\n")) if x]
 
 
-def least_windows(lines: list[str], least: int) -> list[tuple[int, int]]:
-    """(first, end) of all runs that reach ``least`` code points but not without their last, or not without their first line."""
+def least_windows(lengths: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, end) of all runs that reach ``least`` but not without their last, or not without their first line."""
     found, sums = set(), [0]
-    for line in lines:
-        sums.append(sums[-1] + len(line))
-    for a in range(len(lines)):
+    for n in lengths:
+        sums.append(sums[-1] + n)
+    for a in range(len(lengths)):
         b = bisect_left(sums, sums[a] + least, a + 1)
         if b < len(sums):
             found.add((a, b))
@@ -157,60 +160,107 @@ def least_windows(lines: list[str], least: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def window_hashes(text: str, least: int) -> list[tuple[int, int, int]]:
-    """(first, end, hash) of the least windows."""
-    import xxhash
+def _half(x: int) -> int:
+    """64 bits as a signed long."""
+    return x - (1 << 64) if x >> 63 else x
 
-    lines = lines_of(text)
-    return [(a, b, xxhash.xxh3_64_intdigest("\n".join(lines[a:b])) - (1 << 63)) for a, b in least_windows(lines, least)]
 
-
-def copied_runs(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """doc_id, text_hash, copied array<struct<hash, home>>: a document's windows that a document of a smaller id has, with the
-    least such id.
-
-    Only documents that have any.  Rows without a doc_id take no part; rows that share a doc_id are not compared with each other.
-    """
+def windows(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """KEY, h1, h2 (128 bits of hash), lines, firsts: one row for each different window of a row's text, whole texts."""
 
     def rows(batches):
-        for b in batches:
-            ids, texts, hashes = [], [], []
-            for doc_id, text, text_hash in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if doc_id is not None:
-                    own = {h for _, _, h in window_hashes(text, least)}
-                    ids += [doc_id] * len(own)
-                    texts += [text_hash] * len(own)
-                    hashes += own
-            yield {"doc_id": ids, "text_hash": texts, "hash": hashes}
-
-    windows = checkpoint(arrow_map(id_text(docs).withColumn("text_hash", F.xxhash64("text")), rows, "doc_id long, text_hash long, hash long"))
-    homes = windows.groupBy("hash").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last").select(F.col("hash").alias("h"), "home")
-    copied = windows.join(homes, F.col("hash") == F.col("h")).where("doc_id > home")
-    return copied.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "home")).alias("copied"))
-
-
-def dedup_runs(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """doc_id, text, n_removed, removed, homes: every document, without the runs of lines that documents of smaller ids have.
-
-    ``homes`` has the least doc_id of each window that is deleted.  A null text is empty and stays so; rows without a doc_id
-    stay as they are; repeated rows are treated alike.  Other columns are not read; an empty table gives an empty result.
-    """
-    gone = copied_runs(docs, least).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.col("copied.hash").alias("hashes"), F.col("copied.home").alias("homes"))
-    rows = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(gone, (rows["doc_id"] == gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left").select("doc_id", "text", "hashes", "homes")
+        import xxhash
 
-    def apply(batches):
         for b in batches:
-            out = {"doc_id": [], "text": [], "n_removed": [], "removed": [], "homes": []}
-            for doc_id, text, hashes, homes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                known = set(hashes or ())
-                removed = sorted({k for a, e, h in window_hashes(text, least) if h in known for k in range(a, e)}) if known else []
-                for name, value in zip(out, (doc_id, strip(text, removed) if removed else text, len(removed), removed, sorted(set(homes or ()))), strict=True):
-                    out[name].append(value)
-            for part in pieces(list(out.values()), 1000):
+            columns = [b.column(i).to_pylist() for i in range(5)]
+            out = {k: [] for k in (*KEY, "h1", "h2", "lines", "firsts")}
+            for *key, text in zip(*columns, strict=True):
+                lines = lines_of(text)
+                own: dict[int, tuple[int, list[int]]] = {}
+                for first, end in least_windows([len(x) for x in lines], least):
+                    h = xxhash.xxh3_128_intdigest("\n".join(lines[first:end]))
+                    own.setdefault(h, (end - first, []))[1].append(first)
+                for h, (n, firsts) in own.items():
+                    for name, value in zip(out, (*key, _half(h >> 64), _half(h & (1 << 64) - 1), n, firsts), strict=True):
+                        out[name].append(value)
+            for part in pieces(list(out.values()), 20_000):
                 yield dict(zip(out, part, strict=True))
 
-    return arrow_map(joined, apply, "doc_id long, text string, n_removed long, removed array<int>, homes array<long>")
+    return arrow_map(keyed(docs).select(*KEY, "text"), rows, "last int, doc long, t1 long, t2 long, h1 long, h2 long, lines int, firsts array<int>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and KEY, the order of documents: by doc_id, those without one last, and by a hash of the text where ids agree."""
+    own = id_text(docs)
+    return own.select(
+        "doc_id", "text", F.col("doc_id").isNull().cast("int").alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc"),
+        F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"),
+    )
+
+
+def shared_windows(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """KEY, home struct<KEY>, holders, h1, h2, lines, home_firsts, firsts: each window of a document that an earlier one has."""
+    held = checkpoint(windows(docs, least))
+    total = held.count()
+    first = F.min(F.struct(*KEY, "firsts")).alias("home")
+    homes = checkpoint(held.groupBy("h1", "h2").agg(first, F.count("*").alias("holders")).where("holders > 1"))
+    many = max(HOT_ROWS, total // HOT_KEYS)
+    hot = homes.where(F.col("holders") > many).withColumn("home", F.col("home").withField("firsts", F.slice("home.firsts", 1, HOT_PLACES)))
+    hot = F.broadcast(hot)  # fewer than total / many <= HOT_KEYS rows, of HOT_PLACES numbers at most
+    found = held.join(hot, ["h1", "h2"]).unionByName(
+        held.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(homes.where(F.col("holders") <= many), ["h1", "h2"])
+    )
+    later = F.struct(*KEY) > F.struct(*(F.col(f"home.{k}").alias(k) for k in KEY))
+    places = F.slice("home.firsts", F.lit(1), F.size("firsts"))
+    return found.where(later).select(*KEY, F.col("home").dropFields("firsts").alias("home"), "holders", "h1", "h2", "lines", places.alias("home_firsts"), "firsts")
+
+
+def deletions(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """KEY, removed array<int>, blocks array<struct<home, home_first, first, lines>>: documents that lose lines.
+
+    ``removed`` numbers the non-empty lines to delete.  ``blocks``: aligned blocks that delete a line which no block before them
+    does, homes in the order of their rarest window.
+    """
+    shared = shared_windows(docs, least).select(*KEY, F.struct(F.col("home.last").alias("last"), F.col("home.doc").alias("doc"), F.col("home.t1"), F.col("home.t2")).alias("home"), "holders", F.struct("h1", "h2").alias("h"), "lines", "home_firsts", "firsts")
+    dealt = shared.repartition(*KEY).sortWithinPartitions(*KEY)
+
+    def finish(key: tuple, rows: list[tuple]) -> dict | None:
+        by_home: dict[tuple, list[tuple]] = {}
+        for home, *row in rows:
+            by_home.setdefault(tuple(home.values()), []).append(row)
+        removed: set[int] = set()
+        kept = []
+        for home in sorted(by_home, key=lambda x: (min(r[0] for r in by_home[x]), x)):
+            number = {tuple(r[1].values()): k for k, r in enumerate(by_home[home])}
+            sizes = dict(enumerate(r[2] for r in by_home[home]))
+            sides = [sorted((f, sizes[k], k) for k, r in enumerate(by_home[home]) for f in r[side]) for side in (3, 4)]
+            assert len(number) == len(sizes)
+            pairs = aligned_windows(*([(f, k) for f, _, k in side] for side in sides))
+            for at, first, n in blocks(pairs, sizes):
+                lines = set(range(first, first + n))
+                if not lines <= removed:
+                    removed |= lines
+                    kept.append({"home": None if home[0] else home[1], "home_first": at, "first": first, "lines": n})
+        return {**dict(zip(KEY, key, strict=True)), "removed": sorted(removed), "blocks": kept}
+
+    def align(batches) -> Iterator[dict]:
+        key, rows, out = None, [], []
+        for b in batches:
+            for *k, home, holders, h, n, home_firsts, firsts in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
+                if k != key:
+                    if rows:
+                        out.append(finish(key, rows))
+                    key, rows = k, []
+                rows.append((home, holders, h, n, home_firsts, firsts))
+            if len(out) >= 500:
+                yield {name: [x[name] for x in out] for name in out[0]}
+                out = []
+        if rows:
+            out.append(finish(key, rows))
+        if out:
+            yield {name: [x[name] for x in out] for name in out[0]}
+
+    return arrow_map(dealt, align, "last int, doc long, t1 long, t2 long, removed array<int>, blocks array<struct<home:long,home_first:int,first:int,lines:int>>")
 
 
 def strip(text: str, removed: list[int]) -> str:
@@ -226,25 +276,31 @@ def strip(text: str, removed: list[int]) -> str:
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """doc_id, text, n_removed, removed, homes: every document, with copied blocks of lines deleted.
+    """doc_id, text, n_removed, removed, blocks: every row, without the blocks of lines that earlier documents have.
 
-    A block is deleted from the later document (greater doc_id) if the trimmed lines have ``least`` code points together.  A
-    null text is empty and stays so; rows without a doc_id stay as they are; repeated rows are treated alike, each against
-    documents of smaller ids.  Other columns are not read; an empty table gives an empty result.
+    A line goes if it lies in a common run with any earlier document whose trimmed lines have ``least`` code points together,
+    repeated and moved runs with it; common runs that are shorter stay.  Documents are ordered by doc_id; those without one come
+    last, and where ids agree the hash of the text decides.  Rows that agree in doc_id and text are one document and are treated
+    alike.  A null text is empty and stays so.  Other columns are not read; an empty table gives an empty result.
     """
-    gone = deletions(docs, least).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed", "homes")
-    rows = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(gone, (rows["doc_id"] == gone["gone_id"]) & (rows["text_hash"] == gone["gone_hash"]), "left").select("doc_id", "text", "removed", "homes")
+    gone = deletions(docs, least).select(*(F.col(k).alias(f"gone_{k}") for k in KEY), "removed", "blocks")
+    rows = keyed(docs)
+    same = [rows[k] == gone[f"gone_{k}"] for k in KEY]
+    joined = rows.join(gone, same, "left").select("doc_id", "text", "removed", "blocks")
 
     def apply(batches):
         for b in batches:
-            ids, texts, removed, homes = (b.column(i).to_pylist() for i in range(4))
-            for a in range(0, len(ids), 1000):
-                r = [x or [] for x in removed[a : a + 1000]]
-                yield {"doc_id": ids[a : a + 1000], "text": [strip(t, x) if x else t for t, x in zip(texts[a : a + 1000], r, strict=True)], "n_removed": [len(x) for x in r], "removed": r, "homes": [x or [] for x in homes[a : a + 1000]]}
+            ids, texts, removed = (b.column(i).to_pylist() for i in range(3))
+            removed = [x or [] for x in removed]
+            blocks_ = [x or [] for x in b.column(3).to_pylist()]
+            stripped = [strip(t, x) if x else t for t, x in zip(texts, removed, strict=True)]
+            for part in pieces([ids, stripped, [len(x) for x in removed], removed, blocks_], 1000):
+                yield dict(zip(("doc_id", "text", "n_removed", "removed", "blocks"), part, strict=True))
 
-    return arrow_map(joined, apply, "doc_id long, text string, n_removed long, removed array<int>, homes array<long>")
+    return arrow_map(joined, apply, "doc_id long, text string, n_removed long, removed array<int>, blocks array<struct<home:long,home_first:int,first:int,lines:int>>")
 
 
 def digest(deduped: DataFrame) -> DataFrame:
-    return deduped.select("doc_id", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.array_join(F.col("homes").cast("array<string>"), ",").alias("homes"), F.sha2("text", 256).alias("text_sha256"))
+    """The lists of ``dedup_lines`` as strings, and the text as a digest."""
+    homes = F.array_sort(F.array_distinct("blocks.home"))
+    return deduped.select("doc_id", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.array_join(homes.cast("array<string>"), ",").alias("homes"), F.sha2("text", 256).alias("text_sha256"))

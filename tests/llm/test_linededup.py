@@ -1,101 +1,101 @@
 import random
 
+import pytest
+
 from linkspark.llm import linededup as L
 
+LEAST = 24
 A, B, C, D = ("a line that is long enough %s" % x for x in "abcd")
 
 
-def brute(rows, least=L.LEAST_BLOCK):
-    """Pairs every document with the first holder of each of its unique lines and aligns by exhaustive search."""
-
-    def lines(t):
-        return [x for x in (y.strip() for y in (t or "").split("\n")) if x]
-
-    unique = {d: {x: i for i, x in enumerate(lines(t)) if lines(t).count(x) == 1} for d, t in rows}
+def brute(rows, least=LEAST):
+    """All pairs of documents, all common runs of lines; nothing of the module is used.  rows: distinct (doc_id, text)."""
+    read = [(d, [x.strip() for x in (t or "").split("\n") if x.strip()]) for d, t in rows]
     out = {}
-    for d, t in rows:
-        homes = {}
-        for x, p in unique[d].items():
-            first = min(o for o in unique if x in unique[o])
-            if first < d:
-                homes.setdefault(first, []).append((unique[first][x], p, len(x)))
+    for d, own in read:
         gone = set()
-        for pairs in homes.values():
-            pairs.sort()
-            best = [[]]
-            for p in pairs:
-                best += [s + [p] for s in best if not s or s[-1][1] < p[1]]
-            top = max(len(s) for s in best)
-            ours = L.rising([(a, b) for a, b, _ in pairs])
-            assert len(ours) == top
-            size = {b: n for _, b, n in pairs}
-            gone |= set(L.blocks([(a, b, size[b]) for a, b in ours], least))
+        for other in (x for o, x in read if o < d):
+            run = {}
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    if own[i] == other[j]:
+                        start = run.get((i - 1, j - 1), i)
+                        run[i, j] = start
+                        if sum(map(len, own[start : i + 1])) >= least:
+                            gone |= set(range(start, i + 1))
         out[d] = sorted(gone)
     return out
 
 
-def test_against_brute_force(spark, documents):
-    rng = random.Random(3)
-    pool = [f"shared line number {i} with some words" for i in range(8)] + ["short", "tiny"]
-    rows = [(d, "\n".join(rng.sample(pool, rng.randint(0, 7)) + ([f"own {d}"] if d % 2 else []))) for d in range(25)]
-    got = {r.doc_id: list(r.removed) for r in L.dedup_lines(documents(rows)).collect()}
-    assert got == brute(rows)
+def got(spark_docs):
+    return {r.doc_id: list(r.removed) for r in L.dedup_lines(spark_docs).collect()}
 
 
-def test_rules(spark, documents):
-    rows = [(1, f"{A}\n{B}\n{C}"), (2, f"x\n {A} \n{B}\n\ny"), (3, f"{B}\n{A}"), (4, "short\nshort"), (5, None), (6, ""), (None, A), (2, f"{D}"), (9, f"{A}\n{B}\n{C}")]
-    got = L.dedup_lines(documents(rows)).collect()
-    assert len(got) == len(rows)
-    text = {(r.doc_id, r.n_removed): r.text for r in got}
-    assert text[(2, 2)] == "x\n\ny" and text[(9, 3)] == "" and text[(1, 0)] == f"{A}\n{B}\n{C}" and text[(None, 0)] == A and text[(5, 0)] == ""
-    assert (3, 1) in text  # moved against each other: one of the two is aligned
-    assert L.dedup_lines(documents([])).count() == 0
+@pytest.mark.parametrize("seed", [3, 5])
+def test_against_all_pairs(spark, documents, seed):
+    rng = random.Random(seed)
+    pool = [f"shared line number {i} with some words" for i in range(3)] + ["short", "tiny", "ten chars.", "eleven char", "twelve chars"]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) + (f"\n own {d}" if d % 3 == 0 else "")) for d in range(70)]
+    want = brute(rows)
+    assert got(documents(rows)) == want and any(want.values()) and not all(want.values())
 
 
-def test_many_copies_stay_linear(spark, documents):
-    rows = [(i, f"{A}\n{B}") for i in range(300)]
-    shared = L.deletions(documents(rows))
-    assert shared.count() == 299 and {tuple(r.homes) for r in shared.collect()} == {(0,)}
+def test_hot_windows_take_the_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(L, "HOT_ROWS", 3)
+    rng = random.Random(8)
+    pool = [f"shared line number {i} with some words" for i in range(12)] + ["short", "tiny"]
+    rows = [(d, "\n".join(rng.choice(pool[:2] if d % 2 else pool) for _ in range(rng.randint(1, 8)))) for d in range(60)]
+    assert got(documents(rows)) == brute(rows)
 
 
-def brute_runs(rows, least=L.LEAST_BLOCK):
-    """Every document against all of smaller ids: all common runs of lines that reach the bound."""
-    lines = {d: L.lines_of(t or "") for d, t in rows}
-    out = {}
-    for d, own in lines.items():
-        gone = set()
-        for other in (x for o, x in lines.items() if o < d):
-            for i in range(len(own)):
-                for j in range(len(other)):
-                    n = 0
-                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
-                        n += 1
-                    if sum(map(len, own[i : i + n])) >= least:
-                        gone |= set(range(i, i + n))
-        out[d] = sorted(gone)
-    return out
-
-
-def test_runs_against_all_earlier_documents(spark, documents):
-    rng = random.Random(5)
-    pool = [f"shared line number {i} with some words" for i in range(3)] + ["short", "tiny", "ten chars.", "eleven char", "twelve chars"]
-    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 7)))) for d in range(60)]
-    got = {r.doc_id: list(r.removed) for r in L.dedup_runs(documents(rows)).collect()}
-    want = brute_runs(rows)
-    assert got == want and any(want.values()) and not all(want.values())
+def test_later_exact_copies_lose_all_lines(spark, documents):
+    passage = f"{A}\n{B}"
+    rows = [(1, f"{passage}\n{passage}"), (2, f"{passage}\n{passage}"), (3, f"own\n{passage}\nmore\n{passage}"), (4, "la\n" * 12), (5, "x\n" + "la\n" * 13), (6, "la\n" * 12)]
+    rows += [(11, f"{C}\n{D}\n{A}"), (12, f"{A}\n{D}\n{C}"), (13, f"{A}\n{D}\n{C}")]
+    found = {r.doc_id: r for r in L.dedup_lines(documents(rows)).collect()}
+    assert found[1].n_removed == 0 and found[2].text == "" and found[3].text == "own\nmore"
+    assert found[4].n_removed == 0 and found[5].removed == list(range(1, 14)) and found[6].n_removed == 12
+    assert found[13].n_removed == 3 and found[12].n_removed == 3 and found[11].removed == [2]
+    assert {d: list(r.removed) for d, r in found.items()} == brute(rows)
 
 
 def test_copies_whose_lines_have_other_homes(spark, documents):
     short = [f"line {i}" for i in range(10)]
-    rows = [(1, f"{C}\n{B}\n{A}"), (2, f"{A}\n{B}\n{C}"), (3, f"{A}\n{B}\n{C}"), *((10 + i, f"own {i}\n{x}") for i, x in enumerate(short)), (30, "\n".join(short)), (31, "x\n" + "\n".join(short)), (None, A)]
-    got = {r.doc_id: r for r in L.dedup_runs(documents(rows)).collect()}
-    assert got[3].text == "" and got[31].text == "x" and got[31].homes == [30] and got[30].n_removed == 0 and got[None].text == A
-    assert L.dedup_runs(documents([])).count() == 0
+    rows = [(1, f"{C}\n{B}\n{A}"), (2, f"{A}\n{B}\n{C}"), *((10 + i, f"own {i}\n{x}") for i, x in enumerate(short)), (30, "\n".join(short)), (31, "x\n" + "\n".join(short))]
+    found = {r.doc_id: r for r in L.dedup_lines(documents(rows)).collect()}
+    assert found[2].text == "" and found[31].text == "x" and found[30].n_removed == 0
+    assert [b.asDict() for b in found[31].blocks] == [{"home": 30, "home_first": 0, "first": 1, "lines": 10}]
+
+
+def test_nulls_ties_and_empty(spark, documents):
+    rows = [(1, f"{A}\n{B}"), (2, f"x\n {A} \n{B}\n\ny"), (2, D), (2, f"{D}\nz"), (4, "short\nshort"), (5, None), (6, ""), (None, A), (None, f"{C}\nq"), (None, C), (7, "x" * 100_000), (8, "x" * 100_000), (1, f"{A}\n{B}")]
+    found = [(r.doc_id, r.text, r.n_removed) for r in L.dedup_lines(documents(rows)).collect()]
+    assert len(found) == len(rows)
+    assert found.count((1, f"{A}\n{B}", 0)) == 2 and (2, "x\n\ny", 2) in found and (None, "", 1) in found
+    assert sum(n for d, _, n in found if d == 2) == 3  # one of the two holders of D under one id
+    assert sum(n for d, _, n in found if d is None) == 2 and (5, "", 0) in found and (8, "", 1) in found
+    assert L.dedup_lines(documents([])).count() == 0
 
 
-def test_repeated_lines_go_with_their_copies(spark, documents):
-    passage = f"{A}\n{B}"
-    rows = [(1, f"{passage}\n{passage}"), (2, f"{passage}\n{passage}"), (3, f"own\n{passage}\nmore\n{passage}"), (4, "la\n" * 12), (5, "x\n" + "la\n" * 13)]
-    got = {r.doc_id: r for r in L.dedup_runs(documents(rows)).collect()}
-    assert got[1].n_removed == 0 and got[2].text == "" and got[3].text == "own\nmore"
-    assert got[4].n_removed == 0 and got[5].removed == list(range(1, 14))
+def test_many_copies_stay_linear(spark, documents):
+    rows = [(i, f"{A}\n{B}") for i in range(300)]
+    shared = L.shared_windows(documents(rows))
+    assert shared.count() == 2 * 299 and {r.home.doc for r in shared.collect()} == {0}
+
+
+def test_patience_diff():
+    def items(text):
+        return [(i, ord(c)) for i, c in enumerate(text)]
+
+    def pairs(a, b):
+        return L.patience(items(a), items(b))
+
+    assert pairs("abcdef", "abXdef") == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
+    assert pairs("qaaXbbYr", "saXabYbt") == [(1, 1), (3, 2), (4, 4), (6, 5)]  # anchors X and Y, then the gaps between them
+    assert pairs("aaa", "aa") == [(0, 0), (1, 1)]
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        found = pairs(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+        assert bool(found) == bool(set(a) & set(b))
