@@ -91,7 +91,7 @@ def test_patience_diff():
         return L.patience(items(a), items(b))
 
     assert pairs("abcdef", "abXdef") == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
-    assert pairs("qaaXbbYr", "saXabYbt") == [(1, 1), (3, 2), (4, 4), (6, 5)]  # anchors X and Y, then the gaps between them
+    assert pairs("qaaXbbYr", "saXabYbt") == [(2, 1), (3, 2), (5, 4), (6, 5)]  # anchors X and Y, then the gaps between them
     assert pairs("aaa", "aa") == [(0, 0), (1, 1)]
     rng = random.Random(1)
     for _ in range(300):
