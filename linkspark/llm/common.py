@@ -47,10 +47,52 @@ def pieces(columns: list, rows: int = 2000) -> Iterator[list]:
         yield [c[a : a + rows] for c in columns]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a session on one machine may do without that setting; a temporary folder serves it.  On a cluster its lack raises.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "linkspark-checkpoints")
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Eager, reliable checkpoint in the folder that the cluster names; a folder of our own only where none is set."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+    """Eager, reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "linkspark-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Keys with more than this share of all rows are hot.  There are fewer of them than this, at any size of the input.
+HOT_KEYS = 4096
+HOT_ROWS = 1000
+
+
+def hot_bound(total: int) -> int:
+    """Rows from which on a key is hot: fewer than HOT_KEYS keys can have more than ``total`` / HOT_KEYS rows."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, holders: str = "holders") -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key, ``holders`` rows of which ``rows`` has) without a hot task.
+
+    What hot keys need is broadcast, fewer than HOT_KEYS rows; the other keys are joined by a shuffle.
+    """
+    bound = hot_bound(total)
+    hot = keyed.where(F.col(holders) > bound)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(holders) <= bound), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+#: A table is broadcast only after a count of its rows: up to so many.
+BROADCAST_ROWS = 500_000
+
+
+def short(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast join, if a count finds that it has BROADCAST_ROWS rows at most; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -1,14 +1,19 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Texts become lower-case words of letters and digits, and those become shingles of five words (a text of fewer words is one
-shingle).  A window within the similarity has a least number of places whose shingles the item has (8/9 of the item's, for
-0.8), in whatever order, so windows are taken at all starts that have so many of these places, and at no others.  This loses
-nothing and keeps fingerprints to a few windows instead of one at every word.
-
-A window's SimHash is cut into eight blocks of eight bits.  Two fingerprints within 23 bits agree in a block but for two
-bits at most, so the items' blocks are listed with all neighbours within two bits and joined by (item, block, value): all
-pairs within the radius meet.  What the radius lets through is verified by weighted Jaccard similarity of shingle counts.
-DataFrame functions only.
+shingle).  Similarity is weighted: shared counts of shingles over all counts (the k-th occurrence of a shingle is an element of
+its own).
+
+Windows.  A window of an item's size m can be similar to an item only if it has a least number of places (8/9 of its places,
+for 0.8) with shingles that items of this size have.  All starts with so many such places are windows, in whatever order the
+places stand, whichever items they belong to; equal windows are looked up once.
+
+Candidates.  A window's SimHash is cut into nine blocks of seven or eight bits.  Two fingerprints within 26 bits agree in some
+block but for two bits at most, so the items' blocks are listed with all neighbours within two bits, and windows are joined to
+the items of their size by (size, block, value): all pairs within the radius meet.  At similarity 0.8 the bits differ with a
+probability of 0.15 each; beyond 26 of 64 bits lie fewer than one of a million such pairs, at any size (the tests draw them).
+
+What the radius lets through is verified by its exact similarity.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import checkpoint
+from linkspark.llm.common import checkpoint, join_hot, short
 
 SHINGLE = 5
-RADIUS = 23
-BLOCKS = 8
-#: Items are the small side.  Below this many rows their tables are broadcast; beyond, the joins shuffle.
-BROADCAST_ROWS = 500_000
+#: First bit and width of each block.
+BLOCKS = (*((7 * b, 7) for b in range(8)), (56, 8))
+NEAR = 2
+#: Beyond this, each of the nine blocks could differ in three bits.
+RADIUS = (NEAR + 1) * len(BLOCKS) - 1
 
 
 def words(text: Column) -> Column:
@@ -40,83 +46,113 @@ def hashed(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumn("w", words(F.col("text"))).select(*names, shingles(F.col("w")).alias("h"))
 
 
-def simhash_columns(h: str) -> list[Column]:
-    """Eight block values from grouped hashes: a bit is set where over half of the hashes have it."""
-    blocks = []
-    for block in range(BLOCKS):
-        bits = [F.when(2 * F.sum(F.shiftright(h, 8 * block + b).bitwiseAND(F.lit(1))) > F.count(h), 1 << b).otherwise(0) for b in range(8)]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        blocks.append(total.cast("int").alias(f"block{block}"))
-    return blocks
+def simhash(rows: DataFrame, *names: str) -> DataFrame:
+    """``names`` and print, 64 bits: a bit is set where over half of the elements of column window have it.
 
+    The k-th occurrence of a shingle has a hash of its own, so that no shingle outweighs the others.
+    """
+    counted = rows.select(*names, F.explode("window").alias("hash")).groupBy(*names, "hash").agg(F.count("*").cast("int").alias("times"))
+    each = counted.select(*names, "hash", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
+    each = each.select(*names, F.when(F.col("k") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "k")).alias("element"))
+    bits = [F.when(2 * F.sum(F.shiftright("element", b).bitwiseAND(F.lit(1))) > F.count("*"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
+    sums = each.groupBy(*names).agg(*(bit.alias(f"bit{b}") for b, bit in enumerate(bits)))
+    whole = F.col("bit0")
+    for b in range(1, 64):
+        whole = whole.bitwiseOR(F.col(f"bit{b}"))
+    return sums.select(*names, whole.alias("print"))
 
-def neighbours() -> list[int]:
-    return [0, *(1 << a for a in range(8)), *((1 << a) | (1 << b) for a in range(8) for b in range(a))]
 
+def block_values(fingerprint: Column) -> Column:
+    """array<struct<block, value>> of all blocks."""
+    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, first).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("value")) for k, (first, width) in enumerate(BLOCKS)]
+    return F.array(*parts)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, similarity, window_start (in words): pairs with a window of at least ``threshold``, at its best window.
 
-    ``benchmark``: item_id, text.  Texts without words match nothing.  Of equally similar windows the
-    first counts that a shared shingle places (its place less its offset in the item), or the first, if none is placed.  A null
-    doc_id is one like any other, null item ids too; rows that share a doc_id are read as one document each and give one row.
-    Other columns are not read; an empty table on either side gives an empty result.
-    """
-    items = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), "text"), "item_id", "item")
-    items = checkpoint(items.dropDuplicates(["item"]).withColumn("m", F.size("h"))).where("m > 0")
-    places = items.select("item", "m", F.posexplode("h").alias("offset", "hash"))
-    near = F.broadcast if places.count() <= BROADCAST_ROWS else (lambda x: x)
+def neighbours(width: int) -> list[int]:
+    """Masks of NEAR bits at most."""
+    return [x for x in range(1 << width) if x.bit_count() <= NEAR]
+
+
+def listed(prints: DataFrame, *names: str) -> DataFrame:
+    """``names``, print, block and value: all values within NEAR bits of each block."""
+    masks = F.array(*[F.array(*[F.lit(x) for x in neighbours(width)]) for _, width in BLOCKS])
+    rows = prints.select(*names, "print", F.explode(block_values(F.col("print"))).alias("k"))
+    return rows.select(*names, "print", F.col("k.block").alias("block"), F.explode(F.transform(masks[F.col("k.block")], lambda x: x.bitwiseXOR(F.col("k.value")))).alias("value"))
+
 
+def candidates(theirs: DataFrame, ours: DataFrame, *names: str) -> DataFrame:
+    """``names`` of theirs and item: all pairs of one size m whose prints differ in RADIUS bits at most."""
+    rows = theirs.select(*names, F.col("print").alias("their_print"), F.explode(block_values(F.col("print"))).alias("k"))
+    rows = rows.select(*names, "their_print", F.col("k.block").alias("block"), F.col("k.value").alias("value"))
+    met = rows.join(short(checkpoint(listed(ours, "item", "m"))), ["m", "block", "value"])
+    return met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= RADIUS).select(*names, "item").distinct()
+
+
+def item_sized_windows(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, doc, m, start, window: all that may reach the similarity with an item of size m."""
+    sizes = items.select("m", F.explode("h").alias("known")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc"), "text")
-    known = places.select(F.col("hash").alias("known")).distinct()
     # outer: for an inner generator the optimizer would filter by size(h) below it, with the words computed anew for each shingle
-    spots = hashed(texts, "doc_id", "doc").select("doc_id", "doc", F.posexplode_outer("h").alias("at", "spot"))
-    hits = checkpoint(spots.join(near(known), F.col("spot") == F.col("known")).select("doc_id", "doc", "at", "spot"))
-
-    # the shingles of documents that were hit, without a shuffle of all texts while the list of them is short
-    hit = hits.select(F.col("doc_id").alias("hit_id"), F.col("doc").alias("hit_doc")).distinct()
-    short = F.broadcast if hits.count() <= BROADCAST_ROWS else (lambda x: x)
-    held = texts.join(short(hit), (F.col("doc") == F.col("hit_doc")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-    held = checkpoint(hashed(held, "doc_id", "doc").dropDuplicates(["doc_id", "doc"]).withColumn("n", F.size("h")))
-
-    found = hits.join(near(places), F.col("spot") == F.col("hash")).groupBy("doc_id", "doc", "item", "m")
-    found = found.agg(F.array_sort(F.collect_set("at")).alias("spots"), F.collect_set(F.col("at") - F.col("offset")).alias("firsts"))
-    found = found.join(held, (found["doc"] == held["doc"]) & found["doc_id"].eqNullSafe(held["doc_id"])).select(found["doc_id"], found["doc"], "item", "m", "spots", "firsts", "h", "n")
+    spots = hashed(texts, "doc_id", "doc").select("doc_id", "doc", F.size("h").alias("n"), F.posexplode_outer("h").alias("at", "spot"))
+    hits = checkpoint(spots.join(short(sizes.select("known").distinct()), F.col("spot") == F.col("known")).select("doc_id", "doc", "n", "at", "spot").distinct())
+    found = hits.join(short(sizes), F.col("spot") == F.col("known")).groupBy("doc_id", "doc", "n", "m").agg(F.array_sort(F.collect_set("at")).alias("spots"))
     # similarity = shared / (m + size - shared), so shared is at least threshold (m + size) / (1 + threshold)
     size = F.least("m", "n")
     least = F.greatest(F.lit(1), F.ceil(threshold * (F.col("m") + size) / (1 + threshold) - 1e-9).cast("int"))
-    found = found.withColumn("size", size).withColumn("least", least).where(F.size("spots") >= F.col("least"))
+    found = checkpoint(found.withColumn("size", size).withColumn("least", least).where(F.size("spots") >= F.col("least")))
+
+    # the shingles of documents with windows, without a shuffle of all texts while the list of them is short
+    hit = short(found.select(F.col("doc_id").alias("hit_id"), F.col("doc").alias("hit_doc")).distinct())
+    held = texts.join(hit, (F.col("doc") == F.col("hit_doc")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    held = hashed(held.dropDuplicates(["doc_id", "doc"]), F.col("doc_id").alias("held_id"), F.col("doc").alias("held_doc"))
+    found = found.join(held, (F.col("doc") == F.col("held_doc")) & F.col("doc_id").eqNullSafe(F.col("held_id")))
     # a window whose first such place is the i-th holds enough of them if it reaches the one that is least - 1 further
     low = lambda i: F.greatest(F.lit(0), F.get("spots", i + F.col("least") - 1) - F.col("size") + 1)
     high = lambda i: F.least(F.get("spots", i), F.col("n") - F.col("size"))
     ranges = F.transform(F.sequence(F.lit(0), F.size("spots") - F.col("least")), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))
-    placed = F.transform("firsts", lambda x: F.greatest(F.lit(0), F.least(x, F.col("n") - F.col("m"))))
-    windows = found.withColumn("placed", placed).withColumn("start", F.explode(F.array_distinct(F.flatten(ranges))))
-    windows = checkpoint(windows.select("doc_id", "doc", "item", "start", F.array_contains("placed", F.col("start")).alias("placed"), F.slice("h", F.col("start") + 1, F.col("m")).alias("window")))
-
-    name = ["doc_id", "doc", "item", "start"]
-    prints = windows.select(*name, F.explode("window").alias("hash")).groupBy(*name).agg(*simhash_columns("hash"))
-    own = places.groupBy("item").agg(*simhash_columns("hash"))
-    cut = lambda k: [F.struct(F.lit(b).alias("block"), F.col(f"block{b}").alias("value")) for b in range(k)]
-    mine = own.select("item", F.struct(*[f"block{b}" for b in range(BLOCKS)]).alias("item_print"), F.explode(F.array(*cut(BLOCKS))).alias("k"))
-    mine = mine.select("item", "item_print", F.col("k.block").alias("block"), F.explode(F.transform(F.array(*[F.lit(x) for x in neighbours()]), lambda x: x.bitwiseXOR(F.col("k.value")))).alias("value"))
-    theirs = prints.select(*name, F.struct(*[f"block{b}" for b in range(BLOCKS)]).alias("print"), F.explode(F.array(*cut(BLOCKS))).alias("k"))
-    met = theirs.join(near(mine), (theirs["item"] == mine["item"]) & (F.col("k.block") == F.col("block")) & (F.col("k.value") == F.col("value")))
-    distance = sum((F.bit_count(F.col(f"print.block{b}").bitwiseXOR(F.col(f"item_print.block{b}"))) for b in range(BLOCKS)), F.lit(0))
-    close = met.select("doc_id", "doc", theirs["item"], "start", distance.alias("bits")).where(F.col("bits") <= RADIUS).distinct()
-
-    pairs = close.join(windows, (close["doc"] == windows["doc"]) & close["doc_id"].eqNullSafe(windows["doc_id"]) & (close["item"] == windows["item"]) & (close["start"] == windows["start"])).select(close["doc_id"], close["doc"], close["item"], close["start"], "placed", "window")
-    pairs = pairs.join(near(items.select(F.col("item").alias("its"), "item_id", "h")), F.col("item") == F.col("its"))
+    windows = found.withColumn("start", F.explode(F.array_distinct(F.flatten(ranges))))
+    return windows.select("doc_id", "doc", "m", "start", F.slice("h", F.col("start") + 1, F.col("m")).alias("window"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, doc (hash of the text), item_id, similarity, window_start (in shingles): the best window of each row and item.
+
+    benchmark: item_id, text.  Texts without words match nothing.  Of equally similar windows the first counts.  Null ids, of
+    documents or items, are ids like any other; rows that agree in doc_id and text are one row.  Other columns are not read; an
+    empty table on either side gives an empty result.
+    """
+    items = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), "text"), "item_id", "item")
+    items = checkpoint(items.dropDuplicates(["item"]).withColumn("m", F.size("h"))).where("m > 0")
+    windows = item_sized_windows(docs, items, threshold).withColumn("c1", F.xxhash64("window")).withColumn("c2", F.xxhash64("window", F.lit(1)))
+    windows = checkpoint(windows)
+    name = ["m", "c1", "c2"]
+    contents = checkpoint(windows.groupBy(*name).agg(F.first("window").alias("window"), F.count("*").alias("holders")))
+    close = candidates(simhash(contents, *name), simhash(items.select("item", "m", F.col("h").alias("window")), "item", "m"), *name)
+
+    pairs = close.join(contents, name).join(short(items.select("item", "item_id", "h")), "item")
     count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
     shared = F.aggregate(F.array_distinct("h"), F.lit(0), lambda s, x: s + F.least(count(F.col("h"), x), count(F.col("window"), x)))
     scored = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("h") + F.size("window") - F.col("shared")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"))).alias("best"))
+    known = scored.where(F.col("similarity") >= threshold).groupBy(*name, "holders").agg(F.collect_list(F.struct("item_id", "similarity")).alias("items"))
+    found = join_hot(windows.select("doc_id", "doc", "start", *name), checkpoint(known), name, windows.count())
+    found = found.select("doc_id", "doc", "start", F.explode("items").alias("x"))
+    best = found.groupBy("doc_id", "doc", F.col("x.item_id").alias("item_id")).agg(F.max(F.struct("x.similarity", (-F.col("start")).alias("back"))).alias("best"))
+    return best.select("doc_id", "doc", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("int").alias("window_start"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, item_id, similarity, window_start: pairs with a window of at least ``threshold``, at its best window.
+
+    As ``matches``; rows that share a doc_id give one row an item.
+    """
+    best = matches(docs, benchmark, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("window_start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("int").alias("window_start"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item; all columns stay, rows without a doc_id too."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad_id"], "left_anti")
+    """``docs`` without the rows that hold a benchmark item; all columns stay.
+
+    The text decides, so a row goes or stays whatever its doc_id is: null, or that of a contaminated row.
+    """
+    bad = checkpoint(matches(docs, benchmark, threshold).select(F.col("doc").alias("__bad_text")).distinct())
+    return docs.join(short(bad), F.xxhash64(docs["text"]) == bad["__bad_text"], "left_anti")

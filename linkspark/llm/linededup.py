@@ -7,8 +7,7 @@ two documents that reaches the bound is covered by such windows.
 
 The home of a window is the first document that has it.  Each later holder is paired with the home alone, so a window that n
 documents hold gives n - 1 pairs and no link is lost: whatever a document shares with any earlier one is shared with the homes.
-Windows that many documents hold (at most ``HOT_KEYS`` by their share of all windows) find their home by a broadcast, as their
-rows would meet in one task otherwise.
+Windows that many documents hold find their home by a broadcast, as their rows would meet in one task otherwise.
 
 A document is aligned with its homes in the order of rarity: the home of its rarest window first.  The alignment is a patience
 diff over the common windows: windows unique in both are the anchors, the longest rising run of anchors is kept, and the gaps
@@ -25,13 +24,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import arrow_map, checkpoint, id_text, pieces
+from linkspark.llm.common import arrow_map, checkpoint, hot_bound, id_text, join_hot, pieces
 
 #: Blocks with fewer code points (of trimmed lines) than this stay: a short line is no copied passage.
 LEAST_BLOCK = 24
-#: A window is hot if it has more than this share of all rows, so there are fewer hot windows than this, and a task's share of one.
-HOT_KEYS = 4096
-HOT_ROWS = 1000
 #: Places of a hot window in its home that are sent along; further repeats in a later document are aligned with the last.
 HOT_PLACES = 64
 KEY = ("last", "doc", "t1", "t2")
@@ -204,12 +200,8 @@ def shared_windows(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     total = held.count()
     first = F.min(F.struct(*KEY, "firsts")).alias("home")
     homes = checkpoint(held.groupBy("h1", "h2").agg(first, F.count("*").alias("holders")).where("holders > 1"))
-    many = max(HOT_ROWS, total // HOT_KEYS)
-    hot = homes.where(F.col("holders") > many).withColumn("home", F.col("home").withField("firsts", F.slice("home.firsts", 1, HOT_PLACES)))
-    hot = F.broadcast(hot)  # fewer than total / many <= HOT_KEYS rows, of HOT_PLACES numbers at most
-    found = held.join(hot, ["h1", "h2"]).unionByName(
-        held.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(homes.where(F.col("holders") <= many), ["h1", "h2"])
-    )
+    few = F.when(F.col("holders") > hot_bound(total), F.slice("home.firsts", 1, HOT_PLACES)).otherwise(F.col("home.firsts"))
+    found = join_hot(held, homes.withColumn("home", F.col("home").withField("firsts", few)), ["h1", "h2"], total)
     later = F.struct(*KEY) > F.struct(*(F.col(f"home.{k}").alias(k) for k in KEY))
     places = F.slice("home.firsts", F.lit(1), F.size("firsts"))
     return found.where(later).select(*KEY, F.col("home").dropFields("firsts").alias("home"), "holders", "h1", "h2", "lines", places.alias("home_firsts"), "firsts")

@@ -119,8 +119,8 @@ with w as (
   select kind, id, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as h from w
 ), p as (select kind, id, len(h) as n, unnest(h) as x, generate_subscripts(h, 1) - 1 as at from s),
 starts as (
-  select distinct d.id as doc_id, i.id as item_id, i.n as m, greatest(0, least(d.at - i.at, d.n - i.n)) as start
-  from p d join p i on d.kind = 0 and i.kind = 1 and d.x = i.x
+  select distinct doc_id, item_id, m, unnest(range(greatest(0, at - least(m, n) + 1), least(at, greatest(n - m, 0)) + 1)) as start
+  from (select d.id as doc_id, i.id as item_id, i.n as m, d.n as n, d.at as at from p d join p i on d.kind = 0 and i.kind = 1 and d.x = i.x)
 ), counts as (
   select t.doc_id, t.item_id, t.start, d.x, count(*) as c from starts t join p d on d.kind = 0 and d.id = t.doc_id and d.at >= t.start and d.at < t.start + t.m group by all
 ), own as (select id as item_id, x, count(*) as c, any_value(n) as m from p where kind = 1 group by id, x),

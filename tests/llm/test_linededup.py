@@ -41,7 +41,7 @@ def test_against_all_pairs(spark, documents, seed):
 
 
 def test_hot_windows_take_the_broadcast(spark, documents, monkeypatch):
-    monkeypatch.setattr(L, "HOT_ROWS", 3)
+    monkeypatch.setattr("linkspark.llm.common.HOT_ROWS", 3)
     rng = random.Random(8)
     pool = [f"shared line number {i} with some words" for i in range(12)] + ["short", "tiny"]
     rows = [(d, "\n".join(rng.choice(pool[:2] if d % 2 else pool) for _ in range(rng.randint(1, 8)))) for d in range(60)]
