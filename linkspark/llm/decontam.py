@@ -54,12 +54,12 @@ def simhash(rows: DataFrame, *names: str) -> DataFrame:
     counted = rows.select(*names, F.explode("window").alias("hash")).groupBy(*names, "hash").agg(F.count("*").cast("int").alias("times"))
     each = counted.select(*names, "hash", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
     each = each.select(*names, F.when(F.col("k") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "k")).alias("element"))
-    bits = [F.when(2 * F.sum(F.shiftright("element", b).bitwiseAND(F.lit(1))) > F.count("*"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    sums = each.groupBy(*names).agg(*(bit.alias(f"bit{b}") for b, bit in enumerate(bits)))
-    whole = F.col("bit0")
-    for b in range(1, 64):
-        whole = whole.bitwiseOR(F.col(f"bit{b}"))
-    return sums.select(*names, whole.alias("print"))
+    # lane k counts bit k in its low half and bit k + 32 in its high half
+    lanes = [F.sum(F.shiftrightunsigned("element", k).bitwiseAND(F.lit((1 << 32) + 1))) for k in range(32)]
+    sums = each.groupBy(*names).agg(F.array(*lanes).alias("lanes"), F.count("*").alias("n"))
+    low, high = "2 * (lanes[k] & 4294967295L) > n", "2 * shiftrightunsigned(lanes[k], 32) > n"
+    fingerprint = F.expr(f"aggregate(sequence(0, 31), 0L, (bits, k) -> bits | if({low}, shiftleft(1L, k), 0L) | if({high}, shiftleft(1L, k + 32), 0L))")
+    return sums.select(*names, fingerprint.alias("print"))
 
 
 def block_values(fingerprint: Column) -> Column:
