@@ -15,6 +15,9 @@ from linkspark.llm.common import WORD, checkpoint
 
 #: Marks that junk lines are full of.
 JUNK = "#$%&*!|"
+#: A source is sorted in ranges of its keys, so many for each doubling of a key.  Keys are exponential, so 0.37 of a source's rows
+#: at most lie in one doubling, whatever its size and quality: no range has more than 0.0008 of a source.
+RANGES = 512
 
 
 def n_words(text: Column) -> Column:
@@ -54,19 +57,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return limit.withColumn("level", level).select("source", "source_size", F.least(F.col("limit"), F.col("weight") * found).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, bins: int = 1024, cut: bool = True) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the sampling key: one row per input row.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __id, __source, __size and __key, the sampling key; a row without a doc_id is named by its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    key = F.greatest(F.round(-F.log(unit(name)) / quality(F.col("text")), 9), F.lit(1e-9))
+    own = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": n_words(F.col("text")), "__key": key}
+    return docs.select("*", *(value.alias(column) for column, value in own.items()))
 
-    Sources, by code point and null last, weigh ``weights`` in turn and share ``share`` of all sizes.  ``bins``: a source is
-    sorted in so many ranges of its keys, which prefix sums of their sizes join, so no task holds a source.
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, ranges: int = RANGES, cut: bool = True) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and the sampling key: one row per input row.
+
+    Sources, by code point and null last, weigh ``weights`` in turn and share ``share`` of all sizes.  ``ranges``: a source is
+    sorted in ranges of its keys, so many a doubling, which prefix sums of their sizes join, so no task holds a source.
     ``cut``: the document that crosses the target gives only the words that are missing; else it is taken whole or not at all,
     whichever comes nearer.  Documents without words take nothing.  Repeated rows count each; of equal keys the order is by
-    doc_id, then size.  A null doc_id hashes as "null".  Other columns are not read; an empty table gives an empty result.
+    doc_id, then size.  A row without a doc_id is named by its text.  Other columns are not read; an empty table gives an empty
+    result.
     """
-    key = -F.log(unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) / quality(F.col("text"))
-    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.round(key, 9).alias("key")))
-    # 1 - e^-key is spread over [0, 1): bins rise with the key
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int"))
+    names = {"__id": "doc_id", "__source": "source", "__size": "size", "__key": "key"}
+    rows = checkpoint(keyed(docs.select("doc_id", "source", "text")).select(*(F.col(a).alias(b) for a, b in names.items())))
+    rows = rows.withColumn("bin", F.floor(F.log2("key") * ranges).cast("int"))
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,11 +97,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its whole copies; all columns stay.
 
-    The boundary document is taken whole or not at all.  Documents without words are in no mix and go.  Rows that share a
-    doc_id have the same key and are told apart by their size only: those that agree in both take the greatest count among them.
+    The boundary document is taken whole or not at all.  Documents without words are in no mix and go.  Of rows that agree in
+    doc_id, source, size and key, as many are taken once more as the mix takes, in the order of their texts.
     """
-    taken = mix(docs, cut=False, **options).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__mix_n"))
-    joined = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["__mix_id"]) & (n_words(docs["text"]) == times["__mix_size"]))
-    repeated = joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    same = ["__id", "__source", "__size", "__key"]
+    taken = mix(docs, cut=False, **options).where("size > 0")
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    times = taken.groupBy(*(F.col(a).alias(b) for a, b in zip(("doc_id", "source", "size", "key"), ("id", "src", "words", "order"), strict=True)))
+    times = checkpoint(times.agg(F.min(copies).alias("__low"), F.max(copies).alias("__high"), F.count("*").alias("n"), F.sum(copies).alias("all")))
+    # equal rows follow each other in the mix and get one more copy up to the target, so they differ only where the target lies:
+    # once a source
+    partly = F.broadcast(times.where("__low < __high").withColumn("__more", F.col("all") - F.col("n") * F.col("__low")))
+    rows = keyed(docs)
+    on = lambda side: [rows[a].eqNullSafe(side[b]) for a, b in zip(same, ("id", "src", "words", "order"), strict=True)]
+    whole = rows.join(times.where("__low = __high and __low > 0"), on(times)).withColumn("__n", F.col("__low"))
+    ranked = rows.join(partly, on(partly)).withColumn("__rank", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+    ranked = ranked.withColumn("__n", F.col("__low") + (F.col("__rank") <= F.col("__more")).cast("int")).where("__n > 0")
+    both = whole.select(*docs.columns, "__n").unionByName(ranked.select(*docs.columns, "__n"))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import arrow_map, checkpoint, id_text
+from linkspark.llm.common import arrow_map, checkpoint, id_text, join_hot
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 4
@@ -214,23 +214,28 @@ def edges(reps: DataFrame) -> DataFrame:
     return arrow_map(dealt, _edges, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: connected components by alternating large-star and small-star; root is the smallest node."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """node, root: connected components by alternating large-star and small-star; root is the smallest node.
+
+    Each round at least halves the longest way to a root, so ``rounds`` suffice for any table; more are an error.  Neighbours of
+    a node that many have (a root) are joined with it by a broadcast.
+    """
     links = checkpoint(links)
     seen = None
     for _ in range(rounds):
+        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # the star is reached when rows and sums no longer change: each round only lowers right ends
+        if state == seen:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen = state
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("holders")))
+        large = join_hot(both, least, ["a"], 2 * state["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # each node's neighbours are smaller ones now, few of them: no key is hot
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct()
         links = checkpoint(small)
-        # the star is reached when rows and sums no longer change: each round only lowers right ends
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components are not complete after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ and the search descends to the leftmost non-empty leaf from c on.
 from __future__ import annotations
 
 import base64
+import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm.common import arrow_map, id_text
@@ -30,11 +31,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: A space between two characters that are not white (by a rule that holds more for white than the pattern does).
+_CUT = re.compile(r" (?<=\S )(?=\S)")
+
+
 class Tokenizer:
     """Byte-level BPE from a file of ranks.
 
-    The pattern never joins what stands before a single space with what stands behind, so a text is cut at spaces and the
-    ids of each piece are remembered; where three spaces meet, or a text ends in a space, it is encoded as one.
+    The pattern takes a single space together with what follows, if both its neighbours are not white, and never joins it with
+    what stands before.  So a text is cut at such spaces, and the ids of each short piece are remembered.
     """
 
     def __init__(self, path: str):
@@ -52,9 +57,7 @@ class Tokenizer:
         return np.asarray(self.encoding.encode_ordinary(text), self.dtype).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if "   " in text or text.endswith(" "):
-            return np.frombuffer(self._bytes(text), self.dtype)
-        first, *rest = text.split(" ")
+        first, *rest = _CUT.split(text)
         known, out = self.known, [self._bytes(first)]
         if len(known) > CACHE:
             known.clear()
@@ -181,5 +184,34 @@ def digest(packed: DataFrame) -> DataFrame:
 
 
 def write(packed: DataFrame, path: str) -> None:
-    """Parquet whose column chunks are the matrices' rows one after another."""
+    """Parquet whose column chunks are the matrices' rows one after another, with cumulative lengths and positions beside them.
+
+    A write that fails leaves no readable table, and a lost task is written again.
+    """
     packed.write.parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write`` wrote."""
+    return spark.read.parquet(path)
+
+
+def matrices(rows: Iterable, row_length: int = ROW_LENGTH, dtype: str = "<u2") -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, positions, cumulative lengths) of packed rows that have been fetched: two matrices, and one array for each row."""
+    fetched = list(rows)
+    ids, positions = (np.frombuffer(b"".join(r[name] for r in fetched), dtype).reshape(len(fetched), row_length) for name in ("ids", "positions"))
+    return ids, positions, [np.asarray(r["cu_seqlens"], np.int32) for r in fetched]
+
+
+def documents(rows: Iterable, tokenizer: Tokenizer, row_length: int = ROW_LENGTH) -> dict:
+    """Texts by doc_id, read back from packed rows: segments in the order of their starts, without end tokens.
+
+    Of rows that repeat a doc_id one text is left.
+    """
+    fetched = list(rows)
+    ids, _, lengths = matrices(fetched, row_length, tokenizer.dtype.str)
+    segments: dict = {}
+    for r, row, cu in zip(fetched, ids, lengths, strict=True):
+        for doc_id, start, a, b in zip(r["doc_ids"], r["starts"], cu, cu[1:], strict=True):
+            segments.setdefault(doc_id, {})[start] = row[a:b]
+    return {d: tokenizer.decode([x for start in sorted(parts) for x in parts[start] if x < tokenizer.size]) for d, parts in segments.items()}

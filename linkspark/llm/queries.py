@@ -40,6 +40,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows follow the order in which the input is split among tasks: another split packs the same tokens in other rows."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
@@ -87,10 +88,10 @@ from rows group by conv_id
     "op6_source_mixing": r"""
 with base as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double as u,
+    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double as u,
     case when length(text) > 0 then greatest(0.05::double, round(1 - 4 * (length(text) - length(translate(text, '#$%&*!|', '')))::double / length(text), 3)) else 0.05::double end as quality
   from documents
-), keyed as (select *, round(-ln(u) / quality, 9) as key from base),
+), keyed as (select *, greatest(round(-ln(u) / quality, 9), 1e-9::double) as key from base),
 sizes as (
   select source, sum(size)::bigint as source_size,
     case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3::double when 1 then 1::double else 2::double end as weight

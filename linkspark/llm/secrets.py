@@ -2,13 +2,19 @@
 
 The cost of a value is the least sum over its segmentations into dictionary words, dates, repeats, sequences and keyboard
 walks, and brute-force spans; costs are log10 of guesses.  It is found by dynamic programming over end positions.
+
+The dictionary is a short list of frequent passwords, followed by the words of public vocabulary files in the order of their
+ranks.  A value is a secret if its cost reaches THRESHOLD and enough of it is left to brute force; what consists of words alone
+(identifiers, prose) is one from PASSPHRASE on.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -40,18 +46,43 @@ staging demo temp company internal system manager office orange purple silver go
 matrix ninja mustang corvette ferrari yankees rangers eagles lakers maverick phoenix diamond angel buddy friend family""".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@431!05$7+", "aaeiiosstt")
-#: A span may not be longer than this, so the program takes linear time; runs of a kind are cut into several spans.
-LONGEST = 32
+#: Blocks that repeat have so many characters at most.  A longer one costs more than the threshold, unless words make it cheap,
+#: and those are found in each copy.
+LONGEST_BLOCK = 64
 BRUTE = 1.0
 """log10 of guesses for a brute-forced character."""
 SEGMENT = 0.3
 """log10 of guesses that each span adds for its kind and place."""
-#: Values from this cost on are secrets; the base patterns' own spans stay whatever they cost.
+#: Values from this cost on are secrets if they have so many brute-forced letters and digits; those of words alone from PASSPHRASE
+#: on.  The base patterns' own spans stay whatever they cost.
 THRESHOLD = 9.0
+HIDDEN = 6
+PASSPHRASE = 24.0
+
+_DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+#: Dates and their costs.
+DATES = tuple((re.compile(pattern), cost) for pattern, cost in ((_YEAR, 2.1), (rf"{_YEAR}([-/._]?){_MONTH}\1{_DAY}", 4.6), (rf"{_DAY}([-/._]?){_MONTH}\1{_YEAR}", 4.6), (rf"{_MONTH}([-/._]?){_DAY}\1{_YEAR}", 4.6)))
+
+
+def default_vocabularies() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return tuple(public_tokenizers.path(name) for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
 
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: r + 1 for r, w in enumerate(WORDS)}
-_MOST = max(map(len, WORDS))
+
+@lru_cache(4)
+def dictionary(paths: tuple[str, ...]) -> dict[str, int]:
+    """Ranks of words of three letters or more, from 1: WORDS, then those that begin a word in the files, by their rank there."""
+    found: dict[str, int] = {}
+    for path in paths:
+        with open(path, "rb") as file:
+            for order, line in enumerate(file):
+                word = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+                if word[:1] == " " and len(word) > 3 and word[1:].isalpha():
+                    word = word[1:].lower()
+                    found[word] = min(order, found.get(word, order))
+    listed = dict.fromkeys([*WORDS, *sorted(found, key=lambda w: (found[w], w))])
+    return {w: r + 1 for r, w in enumerate(listed)}
 
 
 def _near() -> dict[str, set[str]]:
@@ -67,33 +98,68 @@ def _near() -> dict[str, set[str]]:
 
 
 NEAR = _near()
+#: Runs of characters: each character and the next one belong together, and a run of a length has a cost.
+RUNS = {
+    "repeat": (lambda p, q: p == q, lambda n: 1.2 + math.log10(n)),
+    "sequence": (lambda p, q: abs(ord(q) - ord(p)) == 1 and q.isalnum(), lambda n: 1.2 + math.log10(n)),
+    "walk": (lambda p, q: q in NEAR.get(p, ()), lambda n: 1.7 + math.log10(n) + 0.15 * n),
+}
+
+
+def lowered(value: str) -> str:
+    """Lower case, of the same length."""
+    return value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
 
 
-def spans(value: str) -> dict[int, list[tuple[int, str, float]]]:
-    """By end: (start, kind, cost without SEGMENT) of all spans but brute force."""
+def _ends(a: int, b: int, least: int, step: int = 1):
+    """Spans of [a, b) that start with it or end with it, of ``least`` and further multiples of ``step``: linear in its length."""
+    for n in range(least, b - a + 1, step):
+        yield a, a + n
+        if n < b - a:
+            yield b - n, b
+
+
+def spans(value: str, words: dict[str, int]) -> dict[int, list[tuple[int, str, float]]]:
+    """By end: (start, kind, cost without SEGMENT) of all spans but brute force.
+
+    Words also reversed, with signs for letters, or both.  Runs and blocks that repeat are taken from the start, or to the end, of
+    the longest run that they are part of.
+    """
     out: dict[int, list[tuple[int, str, float]]] = {}
-    lower = value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    lower, n = lowered(value), len(value)
     plain = lower.translate(LEET)
-    n = len(value)
+    forms = [(lower, lower[::-1], 0)] + ([(plain, plain[::-1], 1)] if plain != lower else [])
+    longest = max(map(len, words), default=0) if n > 2 else 0
     for a in range(n):
-        for b in range(a + 3, min(n, a + _MOST) + 1):
-            word = lower[a:b]
-            rank = _RANK.get(word) or _RANK.get(word[::-1]) or _RANK.get(plain[a:b])
-            if rank:
-                extra = (word not in _RANK) + (value[a:b] != word)
-                out.setdefault(b, []).append((a, "word", math.log10(rank) + 0.3 * extra))
-        for m in (_DATE.match(value, a),):
-            if m:
-                out.setdefault(m.end(), []).append((a, "date", 2.1 if m.end() - a == 4 else 4.6))
-    for kind, step in (("repeat", lambda p, q: p == q), ("sequence", lambda p, q: abs(ord(q) - ord(p)) == 1 and q.isalnum()), ("walk", lambda p, q: q in NEAR.get(p, ()))):
+        for b in range(a + 3, min(n, a + longest) + 1):
+            costs = []
+            for text, back, extra in forms:
+                for word, more in ((text[a:b], extra), (back[n - b : n - a], extra + 1)):
+                    if rank := words.get(word):
+                        costs.append(math.log10(rank) + 0.3 * more)
+            if costs:
+                out.setdefault(b, []).append((a, "word", min(costs) + 0.3 * (value[a:b] != lower[a:b])))
+        for pattern, cost in DATES:
+            if m := pattern.match(value, a):
+                out.setdefault(m.end(), []).append((a, "date", cost))
+    for kind, (step, cost) in RUNS.items():
         a = 0
         for b in range(1, n + 1):
             if b == n or not step(lower[b - 1], lower[b]):
-                for start in range(a, b - 2):
-                    for end in range(start + 3, min(b, start + LONGEST) + 1):
-                        if start == a or end == b or end - start == LONGEST:
-                            out.setdefault(end, []).append((start, kind, (1.7 if kind == "walk" else 1.2) + math.log10(end - start) + (0.15 * (end - start) if kind == "walk" else 0)))
+                for start, end in _ends(a, b, 3):
+                    out.setdefault(end, []).append((start, kind, cost(end - start)))
                 a = b
+    for period in range(2, min(LONGEST_BLOCK, n // 2) + 1):
+        a = 0
+        while (a := lower.find(lower[a : a + 1], a)) >= 0 and a + 2 * period <= n:
+            b = a + period
+            while b < n and lower[b] == lower[b - period]:
+                b += 1
+            if b - a >= 2 * period:
+                for start, end in _ends(a, b, 2 * period, period):
+                    block = value[start : start + period] if start == a else value[end - period : end]
+                    out.setdefault(end, []).append((start, "repeat", guess_cost(block, words).cost + math.log10((end - start) // period)))
+            a = max(a + 1, b - period + 1)
     return out
 
 
@@ -103,10 +169,10 @@ class Guess:
     parts: tuple[tuple[int, int, str], ...]
 
 
-def guess_cost(value: str) -> Guess:
-    """The cheapest segmentation; neighbouring brute-forced characters are one span."""
+def guess_cost(value: str, words: dict[str, int] | None = None) -> Guess:
+    """The cheapest segmentation; neighbouring brute-forced characters are one span.  ``words``: ranks, see ``dictionary``."""
     n = len(value)
-    ending = spans(value)
+    ending = spans(value, dictionary(default_vocabularies()) if words is None else words)
     # best cost to each position, by whether a brute-force span ends there: a brute span's price is paid once
     best = [[math.inf, math.inf] for _ in range(n + 1)]
     back: list[list] = [[None, None] for _ in range(n + 1)]
@@ -133,8 +199,14 @@ def guess_cost(value: str) -> Guess:
     return Guess(cost, tuple(reversed(parts)))
 
 
-def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int, float | None]]:
+def is_secret(value: str, guess: Guess, threshold: float = THRESHOLD) -> bool:
+    hidden = sum(c.isalnum() for a, b, kind in guess.parts if kind == "brute" for c in value[a:b])
+    return guess.cost >= threshold and hidden >= HIDDEN or guess.cost >= max(threshold, PASSPHRASE)
+
+
+def find(text: str, threshold: float = THRESHOLD, words: dict[str, int] | None = None) -> list[tuple[int, str, int, float | None]]:
     """(start, kind, end, cost) sorted by start, then kind: all base spans, and the values that the guess cost adds."""
+    words = dictionary(default_vocabularies()) if words is None else words
     hint = text.lower()
     named = any(h in hint for h in HINTS)
     found: list[tuple[int, str, int, float | None]] = []
@@ -142,7 +214,7 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int, f
     if named:
         for m in BASE["assign"].finditer(text):
             if len(m[2]) >= LEAST["assign"]:
-                found.append((m.start(), "assign", m.end(), guess_cost(m[2]).cost))
+                found.append((m.start(), "assign", m.end(), guess_cost(m[2], words).cost))
                 values.append(m.span(2))
     if "AKIA" in text:
         found += [(m.start(), "access", m.end(), None) for m in BASE["access"].finditer(text) if len(m[0]) >= LEAST["access"]]
@@ -162,22 +234,25 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[int, str, int, f
             # running prose has neither digits nor inner case changes; a credential without either must be quoted or assigned
             mixed = any(c.isdigit() for c in value) or (value[1:].lower() != value[1:] and value.upper() != value)
             assigned = any(c in text[m.start() : a] for c in ":=\"'")
-            if (mixed or assigned) and (cost := guess_cost(value).cost) >= threshold:
-                found.append((a, "guess", b, cost))
+            if (mixed or assigned) and is_secret(value, guess := guess_cost(value, words), threshold):
+                found.append((a, "guess", b, guess.cost))
                 taken = b
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, vocabularies: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, secrets array<struct<kind, start, end, cost>>: one row per input row.
 
-    Offsets are code points, ends exclusive.  A null or empty text has none; repeated rows are scanned each; a null doc_id
-    stays null.  Texts of any length are scanned whole; other columns are not read; an empty table gives an empty result.
+    Offsets are code points, ends exclusive.  ``vocabularies``: files of ranks that every executor can read.  A null or empty
+    text has no secrets; repeated rows are scanned each; a null doc_id stays null.  Texts and values of any length are scanned
+    whole; other columns are not read; an empty table gives an empty result.
     """
+    paths = vocabularies if vocabularies is not None else default_vocabularies()
 
     def rows(batches):
+        words = dictionary(paths)
         for b in batches:
-            found = [[{"kind": k, "start": a, "end": e, "cost": c} for a, k, e, c in find(t, threshold)] for t in b.column(1).to_pylist()]
+            found = [[{"kind": k, "start": a, "end": e, "cost": c} for a, k, e, c in find(t, threshold, words)] for t in b.column(1).to_pylist()]
             yield {"doc_id": b.column(0), "secrets": found}
 
     return arrow_map(id_text(docs), rows, "doc_id long, secrets array<struct<kind:string,start:long,end:long,cost:double>>")

@@ -27,8 +27,8 @@ from linkspark.llm.common import arrow_map, checkpoint, id_text
 THRESHOLD = 0.3
 #: Labelled documents that a fit reads at most: those with the least hash of their id.
 FIT_ROWS = 4000
-#: Terms that a lexicon has at most.
-TERMS = 600
+#: Least share of the toxic documents that have a term.  It bounds the terms: a hundred times a document's different words.
+LEAST_SHARE = 0.01
 #: A term's least log ratio of document shares, and the least excess over chance in standard deviations.
 LEAST_RATIO, LEAST_Z = 1.5, 5.0
 #: Share of a document's words from which a beginning of words counts: toxic use repeats a stem, chance does not.
@@ -226,19 +226,22 @@ class Model:
 
 
 def training_ids(labels: DataFrame, fold: int = 4, held: int = 2, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, toxic: the sample of labelled rows to fit on, without the held-out fold; at most ``rows``."""
-    own = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return own.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != held).orderBy(F.xxhash64("doc_id"), "toxic").limit(rows)
+    """doc_id, toxic: the sample of labelled ids to fit on, without the held-out fold; at most ``rows``.  An id with conflicting
+    labels is toxic."""
+    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return own.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = TERMS, features: int = FEATURES) -> Model:
-    """A model from the labelled documents of the sample.  What comes to the driver is bounded by ``terms`` and ``rows``.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int = FEATURES) -> Model:
+    """A model from the labelled documents of the sample.  What comes to the driver is bounded by LEAST_SHARE and ``rows``.
 
-    Without labelled documents of both classes the lexicon is empty and the score is the share of toxic labels.
+    Of documents that share an id, the one with the least text is read.  Without labelled documents of both classes the lexicon is
+    empty and the score is the share of toxic labels.
     """
-    sample = training_ids(labels, rows=rows).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "label_id")
+    sample = training_ids(labels, rows=rows).withColumnRenamed("doc_id", "label_id")
     texts = id_text(docs)
-    train = checkpoint(texts.join(F.broadcast(sample), texts["doc_id"] == sample["label_id"]).select("text", "toxic"))
+    train = texts.join(F.broadcast(sample), texts["doc_id"] == sample["label_id"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    train = checkpoint(train.select("text", "toxic"))
 
     def found(batches):
         for b in batches:
@@ -251,13 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
     counted = by_context.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("count")).otherwise(0)).alias("good")).persist()
     sizes = {r["bad"]: r["good"] for r in counted.where("term = ''").collect()}
     n_bad, n_good = next(iter(sizes.items()), (0, 0))
-    least = max(3, round(0.01 * n_bad))
+    least = max(3, round(LEAST_SHARE * n_bad))
     ratio = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     expected = (F.col("bad") + F.col("good")) * (n_bad / max(1, n_bad + n_good))
     scored = counted.where((F.col("term") != "") & (F.col("bad") >= least)).withColumn("ratio", ratio).withColumn("z", (F.col("bad") - expected) / F.sqrt(expected))
-    chosen = scored.where(f"ratio > {LEAST_RATIO} and z > {LEAST_Z}").orderBy(F.desc("z"), "term").limit(terms).collect()
+    chosen = scored.where(f"ratio > {LEAST_RATIO} and z > {LEAST_Z}").select("term", "bad", "ratio").collect()
     counted.unpersist()
-    weights = lexicon({r["term"]: (r["bad"], r["ratio"]) for r in chosen})
+    weights = lexicon({r["term"]: (r["bad"], r["ratio"]) for r in sorted(chosen)})
     share = (n_bad + 0.5) / (n_bad + n_good + 1.0)
     if not weights or not n_bad or not n_good:
         return Model({}, (*[0.0] * features, math.log(share / (1 - share))))
@@ -267,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, terms: int = T
         for b in batches:
             yield {"toxic": b.column(1), "f": [scorer.features(t) for t in b.column(0).to_pylist()]}
 
-    got = arrow_map(train, measured, "toxic int, f array<double>").limit(rows).collect()
+    got = arrow_map(train, measured, "toxic int, f array<double>").collect()  # a row of five numbers for each of the sample
     x = np.array([[*r["f"], 1.0] for r in got])
     y = np.array([float(r["toxic"] > 0) for r in got])
     order = np.lexsort(np.column_stack([x, y]).T)
@@ -282,7 +285,7 @@ def telling(text: str) -> dict[str, int]:
     found: dict[str, int] = {}
     begun: Counter = Counter()
     for i, w in enumerate(words):
-        if 3 <= len(w) <= 40:
+        if len(w) >= 3:
             if w not in found:
                 found[w] = zlib.crc32(" ".join(words[max(0, i - 1) : i + 2]).encode())
             if len(w) > 4:

@@ -35,7 +35,7 @@ def _docs(rng, n=300):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mix(spark, documents, seed):
     rows = _docs(random.Random(seed)) + [(5000, "one two", "a"), (5000, "one two", "a"), (None, "x y z", "c")]
-    got = X.mix(documents(rows), bins=8).collect()
+    got = X.mix(documents(rows), ranges=2).collect()
     size = lambda t: len((t or "").split())
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, size(t)) for d, t, _ in rows)
     sizes = defaultdict(int)
@@ -47,7 +47,7 @@ def test_mix(spark, documents, seed):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     assert {s: taken[s] for s in sizes} == {s: round(want[s]) for s in sizes}
-    assert sorted(map(str, X.mix(documents(rows).repartition(3), bins=64).collect())) == sorted(map(str, got))
+    assert sorted(map(str, X.mix(documents(rows).repartition(3), ranges=64).collect())) == sorted(map(str, got))
     # the fraction is taken in the order of keys
     for s in sizes:
         part = sorted((r.key, r.doc_id or 0, r.size, r.taken - (round(want[s]) // sizes[s] if sizes[s] else 0) * r.size) for r in got if r.source == s and r.size)
@@ -75,3 +75,29 @@ def test_edges(spark, documents):
     assert len(r) == 2 and all((x.size, x.source_size, x.target, x.taken) == (0, 0, 0.0, 0) for x in r)
     one = X.mix(documents([(1, "a b c d", "s")])).first()
     assert (one.target, one.taken) == (6.0, 6)
+
+
+def test_repeated_rows_meet_the_target(spark, documents):
+    rows = [(1, "a b c d", "s")] * 6 + [(2, "e f", "s"), (3, "g h", "s")]
+    docs = documents(rows)
+    taken = X.mix(docs, cut=False).collect()
+    total = sum(r.taken for r in taken)
+    assert abs(total - taken[0].target) <= 2 and taken[0].target == 42
+    got = Counter((r.doc_id, r.text) for r in X.mixed_rows(docs).collect())
+    assert sum(n * len(t.split()) for (_, t), n in got.items()) == total
+    rows = [(None, f"word{i % 9} x y", "s") for i in range(60)] + [(4, "same words", "t")] * 7 + [(5, "x", "t"), (None, None, None)]
+    docs = documents(rows)
+    want = Counter()
+    for r in X.mix(docs, cut=False).collect():
+        want[r.source] += r.taken
+    got = Counter()
+    for r in X.mixed_rows(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert got == +want
+
+
+def test_ranges_are_even(spark, documents):
+    """A third of the rows are junk, whose keys are twenty times as long; no range is hot."""
+    rows = [(i, "#$%& one" if i % 3 == 0 else "one two three four", "s") for i in range(6000)]
+    per = X.mix(documents(rows)).selectExpr("floor(log2(key) * 16) as bin").groupBy("bin").count().collect()
+    assert max(r["count"] for r in per) < 6000 * 0.37 / 16 * 1.5

@@ -1,12 +1,9 @@
 import random
 
 import numpy as np
-import pytest
 
 from linkspark.llm import packing as P
 
-pytest.importorskip("public_tokenizers")
-
 
 def brute(sizes, capacity):
     rows, left = [], []
@@ -40,11 +37,24 @@ def test_tokens_equal_the_plain_encoder():
     t = P.Tokenizer(P.default_tokenizer())
     rng = random.Random(9)
     pieces = ["a", "the", " ", "  ", "   ", "\n", "\n\n", "\t", "é", "ñ", "12", "don't", "!!", "<|endoftext|>", "\r\n", "\u00a0", "\u3000", "x" * 50]
-    for _ in range(600):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+    white = [" ", " ", "\u00a0", "\u3000", "\u2003", "\x85", "\x1c", "\x1f", "\u200b", "\t", "\n", "\r", "a", "é", "1", "."]
+    for n in range(100_000):
+        text = "".join(rng.choice(pieces if n % 2 else white) for _ in range(rng.randint(0, 14 if n % 2 else 7)))
         assert t.encode(text).tolist() == t.encoding.encode_ordinary(text), repr(text)
 
 
+def test_written_rows_read_back(spark, documents, tmp_path):
+    rows = [(i, f"word{i} and  more\u00a0text " * (i % 40)) for i in range(60)] + [(100, "long text é " * 8000), (101, None), (102, "")]
+    path = str(tmp_path / "packed")
+    P.write(P.pack(documents(rows), row_length=256), path)
+    t = P.Tokenizer(P.default_tokenizer())
+    fetched = P.read(spark, path).collect()
+    ids, positions, lengths = P.matrices(fetched, 256)
+    assert ids.shape == positions.shape == (len(fetched), 256)
+    assert all((positions[k, cu[:-1]] == 0).all() and (positions[k, : cu[-1]] == 0).sum() == len(cu) - 1 for k, cu in enumerate(lengths))
+    assert P.documents(fetched, t, 256) == {d: x or "" for d, x in rows}
+
+
 def test_pack_is_lossless(spark, documents):
     rows = [(i, f"word{i} and more text " * (i % 40)) for i in range(60)] + [(100, "long text é " * 8000), (101, None), (102, ""), (5, "again"), (5, "again"), (None, "no id")]
     t = P.Tokenizer(P.default_tokenizer())
