@@ -212,6 +212,6 @@ def documents(rows: Iterable, tokenizer: Tokenizer, row_length: int = ROW_LENGTH
     ids, _, lengths = matrices(fetched, row_length, tokenizer.dtype.str)
     segments: dict = {}
     for r, row, cu in zip(fetched, ids, lengths, strict=True):
-        for doc_id, start, a, b in zip(r["doc_ids"], r["starts"], cu, cu[1:], strict=True):
+        for doc_id, start, a, b in zip(r["doc_ids"], r["starts"], cu[:-1], cu[1:], strict=True):
             segments.setdefault(doc_id, {})[start] = row[a:b]
     return {d: tokenizer.decode([x for start in sorted(parts) for x in parts[start] if x < tokenizer.size]) for d, parts in segments.items()}
