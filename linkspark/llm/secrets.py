@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from linkspark.llm.common import arrow_map, id_text, pieces, sha
@@ -119,8 +120,15 @@ def _ends(a: int, b: int, least: int, step: int = 1):
             yield b - n, b
 
 
-def spans(value: str, words: dict[str, int]) -> dict[int, list[tuple[int, str, float]]]:
-    """By end: (start, kind, cost without SEGMENT) of all spans but brute force.
+def _repeated(codes: np.ndarray, period: int):
+    """The longest stretches in which each character equals the one ``period`` before, twice as long as that at least."""
+    breaks = np.concatenate([[-1], np.flatnonzero(codes[period:] != codes[:-period]), [len(codes) - period]])
+    for k in np.flatnonzero(np.diff(breaks) > period).tolist():
+        yield int(breaks[k]) + 1, int(breaks[k + 1]) + period
+
+
+def spans(value: str, words: dict[str, int], blocks: dict[str, float]) -> dict[int, list[tuple[int, str, float]]]:
+    """By end: (start, kind, cost without SEGMENT) of all spans but brute force.  ``blocks``: costs of blocks, known or added.
 
     Words also reversed, with signs for letters, or both.  Runs and blocks that repeat are taken from the start, or to the end, of
     the longest run that they are part of.
@@ -149,17 +157,15 @@ def spans(value: str, words: dict[str, int]) -> dict[int, list[tuple[int, str, f
                 for start, end in _ends(a, b, 3):
                     out.setdefault(end, []).append((start, kind, cost(end - start)))
                 a = b
+    codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
     for period in range(2, min(LONGEST_BLOCK, n // 2) + 1):
-        a = 0
-        while (a := lower.find(lower[a : a + 1], a)) >= 0 and a + 2 * period <= n:
-            b = a + period
-            while b < n and lower[b] == lower[b - period]:
-                b += 1
-            if b - a >= 2 * period:
-                for start, end in _ends(a, b, 2 * period, period):
-                    block = value[start : start + period] if start == a else value[end - period : end]
-                    out.setdefault(end, []).append((start, "repeat", guess_cost(block, words).cost + math.log10((end - start) // period)))
-            a = max(a + 1, b - period + 1)
+        for a, b in _repeated(codes, period):
+            first, last = value[a : a + period], value[b - period : b]
+            for start, end in _ends(a, b, 2 * period, period):
+                block = first if start == a else last
+                if block not in blocks:
+                    blocks[block] = guess_cost(block, words, blocks).cost
+                out.setdefault(end, []).append((start, "repeat", blocks[block] + math.log10((end - start) // period)))
     return out
 
 
@@ -169,10 +175,10 @@ class Guess:
     parts: tuple[tuple[int, int, str], ...]
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> Guess:
+def guess_cost(value: str, words: dict[str, int] | None = None, blocks: dict[str, float] | None = None) -> Guess:
     """The cheapest segmentation; neighbouring brute-forced characters are one span.  ``words``: ranks, see ``dictionary``."""
     n = len(value)
-    ending = spans(value, dictionary(default_vocabularies()) if words is None else words)
+    ending = spans(value, dictionary(default_vocabularies()) if words is None else words, {} if blocks is None else blocks)
     # best cost to each position, by whether a brute-force span ends there: a brute span's price is paid once
     best = [[math.inf, math.inf] for _ in range(n + 1)]
     back: list[list] = [[None, None] for _ in range(n + 1)]
