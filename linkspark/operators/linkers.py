@@ -1,4 +1,7 @@
-"""The linkers end to end: questions and a catalog in, predictions (question_id, db_id, tables, columns, and diagnostics) out."""
+"""The linkers end to end: questions and a catalog in, predictions (question_id, db_id, tables, columns, and diagnostics) out.
+
+Linkers that ask a model do so when they are called, once for each question and sample, and keep the answers in a table.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark import recovery
 from linkspark.config import SAMPLES, TunedVector
 from linkspark.functions import text as X
 from linkspark.operators import graph, lexical, prompts, providers, sqlrefs, vector, votes
@@ -43,6 +47,11 @@ def vector_linker(encoder: vector.Encoder, tuned: TunedVector) -> Linker:
     return link
 
 
+def _asked(provider: providers.Provider, messages: DataFrame, k: int) -> DataFrame:
+    """The provider's answers to k samples of each message, asked for once: all branches of a linker read the written rows."""
+    return recovery.written(provider(providers.samples(prompts.ordered_for_cache(messages), k)))
+
+
 def _links(value: Column, key: str = "tables", least: int = 0, most: int | None = None) -> tuple[Column, Column, Column]:
     ok = X.valid_links(value, key, least, most)
     t = F.when(ok, F.try_variant_get(value, f"$.{key}", _NAMES))
@@ -67,7 +76,7 @@ def forward_linker(provider: providers.Provider, version: str = "forward_v1", k:
 
     def link(questions: DataFrame, catalog: Catalog) -> DataFrame:
         messages = prompts.user_messages(questions, catalog.blocks(), version, examples)
-        parsed = parsed_samples(provider(providers.samples(prompts.ordered_for_cache(messages), k)))
+        parsed = parsed_samples(_asked(provider, messages, k))
         tally = parsed.groupBy("question_id").agg(F.count_if("is_parsed").alias("n_samples_parsed"), F.count_if("is_valid").alias("n_samples_valid"))
         return votes.voted_links(parsed, k, rule).join(questions.select("question_id", "db_id"), "question_id").join(tally, "question_id").select("question_id", "db_id", "tables", "columns", "n_samples_parsed", "n_samples_valid")
 
@@ -79,7 +88,7 @@ def backward_linker(provider: providers.Provider, version: str = "backward_v1",
 
     def link(questions: DataFrame, catalog: Catalog) -> DataFrame:
         messages = prompts.user_messages(questions, catalog.blocks(), version, examples)
-        answers = provider(providers.samples(prompts.ordered_for_cache(messages), 1)).select("question_id", "db_id", X.without_fence(F.coalesce("response", F.lit(""))).alias("query"))
+        answers = _asked(provider, messages, 1).select("question_id", "db_id", X.without_fence(F.coalesce("response", F.lit(""))).alias("query"))
         refs = sqlrefs.analyse(answers, sqlrefs.catalogs(catalog.columns, catalog.tables))
         pairs = F.transform("columns", lambda x: F.struct(x["t"].alias("t"), x["c"].alias("c")))
         return refs.select("question_id", "db_id", "tables", pairs.alias("columns"), F.col("issues").alias("parse_issues")).join(answers.select("question_id", F.col("query").alias("raw_sql")), "question_id")
@@ -95,7 +104,7 @@ def graph_linker(provider: providers.Provider, version: str = "graph_endpoint_v2
 
     def link(questions: DataFrame, catalog: Catalog) -> DataFrame:
         messages = prompts.user_messages(questions, catalog.blocks(), version, examples)
-        parsed = parsed_samples(provider(providers.samples(prompts.ordered_for_cache(messages), 1)), "core_tables", 1, 3)
+        parsed = parsed_samples(_asked(provider, messages, 1), "core_tables", 1, 3)
         edges = graph.edges(catalog.columns, catalog.keys)
         routes = graph.paths(catalog.tables.select("db_id", F.col("original").alias("name")), edges)
         named = parsed.select("question_id", "db_id", F.posexplode("tables").alias("pos", "name"))

@@ -1,22 +1,25 @@
 """Language-model providers.  A provider turns messages into responses; operators know no other contract.
 
-messages: question_id, db_id, sample_idx, system, user; responses add response, input_tokens, output_tokens, stop_reason.
+messages: question_id, db_id, sample_idx, system, user; responses add response, input_tokens, output_tokens, stop_reason, and
+those of a remote model latency_ms, cache_creation_input_tokens, cache_read_input_tokens.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark import recovery
 from linkspark.functions.text import estimated_tokens
 from linkspark.operators.prompts import prompt_hash
 
-RESPONSE = "question_id bigint, db_id string, sample_idx int, system string, user string, response string, input_tokens bigint, output_tokens bigint, stop_reason string"
+RESPONSE = "question_id bigint, db_id string, sample_idx int, system string, user string, response string, input_tokens bigint, output_tokens bigint, stop_reason string, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, latency_ms bigint"
 
 
 class Provider(Protocol):
@@ -46,43 +49,97 @@ class Transient(Exception):
     """A fault that a later attempt may not meet: connection, rate limit, server error."""
 
 
-def remote(call: Callable[[str, str], tuple[str, int, int, str]], attempts: int = 5, first_wait: float = 1.0, longest_wait: float = 8.0) -> Provider:
-    """A provider from call(system, user) -> (text, input tokens, output tokens, stop reason), tried again with growing waits.
+def is_transient(error: BaseException) -> bool:
+    """Transient itself, lost connections, timeouts, and errors whose status_code or status is 429 or 500 and above."""
+    status = getattr(error, "status_code", getattr(error, "status", None))
+    return isinstance(error, Transient | ConnectionError | TimeoutError) or isinstance(status, int) and (status == 429 or status >= 500)
 
-    A message that fails for good gets a null response and the stop reason "error", so others go on.
+
+def remote(call: Callable[[str, str], tuple], attempts: int = 5, first_wait: float = 1.0, longest_wait: float = 8.0) -> Provider:
+    """A provider from call(system, user) -> (text, input tokens, output tokens, stop reason[, cache tokens written, read]).
+
+    Transient errors are tried again with growing waits.  A message that fails for good gets a null response and the stop reason
+    "error", so others go on.  A task that is run again asks again: write the answers before use, as the linkers do.
     """
 
-    def ask(system: str, user: str):
+    def ask(system: str, user: str) -> tuple:
         wait = first_wait
         for attempt in range(attempts):
+            began = time.monotonic()
             try:
-                return call(system, user)
-            except Transient:
+                text, read, made, stop, *cache = call(system, user)
+                return text, read, made, stop, *(cache or (0, 0)), round(1000 * (time.monotonic() - began))
+            except Exception as error:
+                if not is_transient(error):
+                    break
                 if attempt + 1 < attempts:
                     time.sleep(wait)
                     wait = min(2 * wait, longest_wait)
-            except Exception:
-                break
-        return None, 0, 0, "error"
+        return None, 0, 0, "error", 0, 0, 0
+
+    added = ("response", "input_tokens", "output_tokens", "stop_reason", "cache_creation_input_tokens", "cache_read_input_tokens", "latency_ms")
 
     def run(messages: DataFrame) -> DataFrame:
         def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 got = [ask(s, u) for s, u in zip(part["system"], part["user"], strict=True)]
-                yield part.assign(**{name: [g[i] for g in got] for i, name in enumerate(("response", "input_tokens", "output_tokens", "stop_reason"))})
+                yield part.assign(**{name: [g[i] for g in got] for i, name in enumerate(added)})
 
         return messages.select("question_id", "db_id", "sample_idx", "system", "user").mapInPandas(batches, RESPONSE)
 
     return run
 
 
+def scripted(turns: Sequence[tuple | Exception]) -> Callable[[str, str], tuple]:
+    """A call for ``remote`` that gives its turns one after another, over again; turns that are exceptions are raised."""
+    position = -1
+
+    def call(system: str, user: str) -> tuple:
+        nonlocal position
+        position += 1
+        turn = turns[position % len(turns)]
+        if isinstance(turn, Exception):
+            raise turn
+        return turn
+
+    return call
+
+
+def metered(provider: Provider, price: DataFrame, model: str, temperature: float, phase: str, path: str, cap: float, waves: int = 16) -> Provider:
+    """``provider`` under a cost cap, its calls logged in the ledger at ``path``, which may hold earlier calls.
+
+    Messages are asked in waves (by hash); a wave starts only while the ledger's total is below the cap, and its calls are logged
+    before the next one.  So the cap is passed by the cost of one wave at most.  Messages of later waves get a null response and
+    the stop reason "blocked".
+    """
+
+    def run(messages: DataFrame) -> DataFrame:
+        from linkspark.operators.ledger import total_cost
+        from linkspark.sources import readers, sinks
+
+        spark = messages.sparkSession
+        dealt = recovery.written(messages.withColumn("wave", F.pmod(F.xxhash64("question_id", "sample_idx"), F.lit(waves))))
+        answers = []
+        for wave in range(waves):
+            if readers.exists(spark, path) and total_cost(readers.ledger(spark, [path])).first().cost_usd >= cap:
+                rest = dealt.where(F.col("wave") >= wave).drop("wave")
+                answers.append(rest.withColumns({"response": F.lit(None).cast("string"), "stop_reason": F.lit("blocked"), "input_tokens": F.lit(0).cast("long"), "output_tokens": F.lit(0).cast("long")}))
+                break
+            answers.append(recovery.written(provider(dealt.where(F.col("wave") == wave).drop("wave"))))
+            sinks.append_lines(ledger_rows(answers[-1], price, model, temperature, phase), path)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers)
+
+    return run
+
+
 def ledger_rows(responses: DataFrame, price: DataFrame, model: str, temperature: float, phase: str) -> DataFrame:
     """Ledger rows of successful calls, with cost."""
     from linkspark.operators.ledger import with_cost
 
+    counted = lambda name: (F.coalesce(name, F.lit(0)) if name in responses.columns else F.lit(0)).cast("long").alias(name)
     rows = responses.where("response is not null").select(
         F.current_timestamp().alias("timestamp"), F.lit(model).alias("model"), F.lit(temperature).alias("temperature"), prompt_hash(F.col("system"), F.col("user")).alias("prompt_hash"),
-        "input_tokens", "output_tokens", F.lit(0).cast("long").alias("cache_creation_input_tokens"), F.lit(0).cast("long").alias("cache_read_input_tokens"), F.lit(0.0).alias("cost_usd"), F.lit(0).cast("long").alias("latency_ms"),
+        "input_tokens", "output_tokens", counted("cache_creation_input_tokens"), counted("cache_read_input_tokens"), F.lit(0.0).alias("cost_usd"), counted("latency_ms"),
         "stop_reason", F.create_map(F.lit("phase"), F.lit(phase), F.lit("question_id"), F.col("question_id").cast("string")).alias("metadata"), F.sha2("response", 256).alias("response_text_hash"),
     )
     order = rows.columns

@@ -45,17 +45,31 @@ def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def append_results(new: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Keyed upsert into a Parquet table: written beside it, then swapped in, so a failed write leaves the old table."""
+    """Keyed upsert into a Parquet table: written beside it, then swapped in.
+
+    The old table is moved aside first and deleted last.  After a crash in between it is found there by the next call.
+    """
     spark = new.sparkSession
-    rows = upserted(spark.read.parquet(path), new, keys) if exists(spark, path) else new
-    side = f"{path}.{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a: str, b: str) -> None:
+        if not files.rename(place(a), place(b)):
+            raise OSError(f"cannot move {a} to {b}")
+
+    side, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    if exists(spark, old):
+        if exists(spark, path):
+            files.delete(place(old), True)
+        else:
+            move(old, path)
+    kept = exists(spark, path)
+    rows = upserted(spark.read.parquet(path), new, keys) if kept else new
     rows.write.parquet(side)
-    jvm = spark._jvm
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(path)
-    files.delete(old, True)
-    if not files.rename(jvm.org.apache.hadoop.fs.Path(side), old):
-        raise OSError(f"cannot move {side} to {path}")
+    if kept:
+        move(path, old)
+    move(side, path)
+    files.delete(place(old), True)
 
 
 def append_lines(rows: DataFrame, path: str) -> None:

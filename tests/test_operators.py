@@ -95,6 +95,52 @@ def test_vector_and_replay_linkers(spark):
     assert got[1].failure == "parse" and got[1].tables == []
 
 
+def test_each_question_and_sample_is_asked_once(spark, tmp_path):
+    catalog, questions = star.catalog(spark), star.questions(spark)
+    n = len(star.QUESTIONS)
+    for name, linker, calls in (("forward", linkers.forward_linker, 3 * n), ("backward", linkers.backward_linker, n), ("graph", linkers.graph_linker, n)):
+        log = str(tmp_path / name)
+
+        def call(system, user, log=log):
+            with open(log, "a") as file:
+                file.write("x\n")
+            return "SELECT 1", 10, 5, "end_turn"
+
+        out = linker(providers.remote(call))(questions, catalog)
+        assert out.count() == n and len(out.collect()) == n
+        assert len(open(log).readlines()) == calls
+
+
+def test_retries_and_scripted_errors(spark):
+    class Status(Exception):
+        status_code = 429
+
+    class Refused(Exception):
+        status_code = 400
+
+    assert providers.is_transient(Status()) and providers.is_transient(ConnectionResetError()) and not providers.is_transient(Refused()) and not providers.is_transient(ValueError())
+    m = spark.createDataFrame([(i, "d", 0, "s", f"u{i}") for i in range(3)], "question_id bigint, db_id string, sample_idx int, system string, user string").coalesce(1)
+    turns = [Status(), ("first", 10, 2, "end_turn"), Refused(), TimeoutError(), ("third", 10, 2, "end_turn", 7, 9)]
+    got = {r.question_id: r for r in providers.remote(providers.scripted(turns), first_wait=0.0)(m).collect()}
+    assert [(got[i].response, got[i].stop_reason) for i in range(3)] == [("first", "end_turn"), (None, "error"), ("third", "end_turn")]
+    assert (got[2].cache_creation_input_tokens, got[2].cache_read_input_tokens) == (7, 9)
+
+
+def test_cap_blocks_later_waves(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    m = spark.createDataFrame([(i, "d", 0, "s", f"u{i}") for i in range(40)], "question_id bigint, db_id string, sample_idx int, system string, user string")
+    ask = providers.remote(lambda s, u: ("yes", 1_000_000, 0, "end_turn", 0, 1_000_000))
+    capped = providers.metered(ask, ledger.prices(spark), "claude-haiku-4-5", 0.0, "dev_run", path, cap=5.0, waves=20)
+    got = capped(m).collect()
+    asked = [r for r in got if r.response == "yes"]
+    assert len(got) == 40 and {r.stop_reason for r in got} == {"end_turn", "blocked"}
+    logged = spark.read.json(path)
+    spent = logged.agg({"cost_usd": "sum"}).first()[0]
+    assert logged.count() == len(asked) and spent == pytest.approx(1.1 * len(asked)) and spent >= 5.0
+    assert logged.where("cache_read_input_tokens = 1000000 and latency_ms >= 0").count() == len(asked)
+    assert {r.stop_reason for r in capped(m).collect()} == {"blocked"} and spark.read.json(path).count() == len(asked)
+
+
 def test_ledger(spark):
     price = ledger.prices(spark)
     rows = spark.createDataFrame([("iteration", 0.01, 1000, 100, 500, 0), ("iteration", 0.02, 2000, 200, 0, 1000), ("dev_run", 5.0, 10000, 1000, 8000, 0)], "phase string, cost_usd double, input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint")

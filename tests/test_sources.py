@@ -97,6 +97,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
     K.append_results(row(None, "tier1", 0.1), path, keys)
     K.append_results(row(None, "tier1", 0.2), path, keys)
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", "tier1", 0.9), ("a", "tier2", 0.4), (None, "tier1", 0.2)}
+    # a crash between the two moves: the old table lies aside and is found again
+    (tmp_path / "main").rename(tmp_path / "main.old")
+    K.append_results(row("b", "tier1", 0.3), path, keys)
+    assert spark.read.parquet(path).count() == 4 and not (tmp_path / "main.old").exists()
 
 
 def test_tables_and_lines(spark, tmp_path):
