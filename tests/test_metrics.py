@@ -34,42 +34,47 @@ def test_f_beta(spark):
     assert high.f > 0.95 and low.f < 0.55
 
 
+KNOWN = "db_id string, known_tables array<string>, known_columns array<struct<t:string,c:string>>"
+
+
 @pytest.fixture(scope="module")
-def five(spark):
-    gold = spark.createDataFrame([
-        (0, "A", ["tA"], [("tA", "x")]), (1, "A", ["tA", "tB"], [("tA", "x"), ("tB", "z")]), (2, "B", ["tC"], [("tC", "p")]), (3, "A", [], []), (4, "B", ["tC"], []),
-    ], LINKS)
-    pred = spark.createDataFrame([
-        (0, "A", ["tA"], [("tA", "x")]), (1, "A", ["tA"], [("tA", "x")]), (2, "B", [" TC ", "FakeTable"], [("tC", "P"), ("tC", "fake_col")]), (3, "A", [], []), (4, "B", ["tC"], []), (9, "B", ["tC"], []),
-    ], LINKS)
-    known = spark.createDataFrame([("A", ["ta", "tb"], [("ta", "x"), ("ta", "y"), ("tb", "z")]), ("B", ["tc"], [("tc", "p"), ("tc", "q")])], "db_id string, known_tables array<string>, known_columns array<struct<t:string,c:string>>")
-    hardness = spark.createDataFrame([(0, "easy"), (1, "medium"), (2, "hard"), (3, "easy"), (4, "extra")], "question_id bigint, hardness string")
-    rows = E.per_query(gold, pred, known, hardness, "m", "tier1").cache()
-    return gold, pred, rows
-
-
-def test_five_queries(five):
-    _, _, rows = five
+def four(spark):
+    """Exact; one name of each kind outside the schema and one column missed; one table missed; one table too many."""
+    gold = [(11, "zoo", ["keeper"], [("keeper", "name")]), (12, "rail", ["line"], [("line", "code"), ("line", "km")]), (13, "zoo", ["keeper", "pen"], [("pen", "area")]), (14, "zoo", [], [])]
+    pred = [(11, "zoo", ["keeper"], [("keeper", "name")]), (12, "rail", ["LINE ", "depot"], [("line", "Code"), ("line", "gauge")]), (13, "zoo", ["pen"], [("pen", "area")]), (14, "zoo", ["keeper"], []), (70, "rail", ["line"], [])]
+    known = spark.createDataFrame([("zoo", ["keeper", "pen"], [("keeper", "name"), ("pen", "area"), ("pen", "roof")]), ("rail", ["line"], [("line", "code"), ("line", "km")])], KNOWN)
+    hardness = spark.createDataFrame([(11, "medium"), (12, "extra"), (13, "easy"), (14, "hard")], "question_id bigint, hardness string")
+    gold, pred = spark.createDataFrame(gold, LINKS), spark.createDataFrame(pred, LINKS)
+    return gold, pred, E.per_query(gold, pred, known, hardness, "m", "tier1").cache()
+
+
+def test_four_queries(four):
+    _, _, rows = four
     assert tuple(rows.columns) == schemas.PER_QUERY
-    assert {r.question_id: round(r.hallucination_rate, 6) for r in rows.collect()} == {0: 0, 1: 0, 2: 0.5, 3: 0, 4: 0}
-    two = rows.where("question_id = 2").first()
-    assert (two.hallucinated_tables_list, two.hallucinated_columns_list) == ("FakeTable", "tC.fake_col")
+    # two of the four names predicted for 12 are outside the schema
+    assert {r.question_id: r.hallucination_rate for r in rows.collect()} == {11: 0, 12: 0.5, 13: 0, 14: 0}
+    outside = rows.where("question_id = 12").first()
+    assert (outside.hallucinated_tables_list, outside.hallucinated_columns_list) == ("depot", "line.gauge")
     agg = E.aggregate(rows)
     assert tuple(agg.columns) == schemas.AGGREGATED
     got = {(r.level, r.hardness, r.aggregation): r for r in agg.collect()}
-    assert len(got) == 20
-    t, tm, c, cm = (got[x] for x in (("tables", "all", "macro"), ("tables", "all", "micro"), ("columns", "all", "macro"), ("columns", "all", "micro")))
-    assert (t.precision, t.recall, t.f1, t.srr, t.hallucination_rate) == pytest.approx((1, 0.9, 14 / 15, 0.8, 0.1))
-    assert t.f6 == pytest.approx(37 * 0.9 / (36 + 0.9))
-    assert (tm.precision, tm.recall, tm.f1) == pytest.approx((1, 0.8, 8 / 9))
-    assert (c.recall, c.f1, cm.recall, cm.f1) == pytest.approx((0.9, 14 / 15, 0.75, 6 / 7))
+    assert len(got) == 2 * 2 * 5  # levels, aggregations, all and four kinds of hardness
+    t, c = got["tables", "all", "macro"], got["columns", "all", "macro"]
+    # tables: P 1 1 1 0, R 1 1 1/2 1, F1 1 1 2/3 0; columns: R 1 1/2 1 1, F1 1 2/3 1 1
+    assert (t.precision, t.recall, t.f1, t.srr, t.hallucination_rate) == pytest.approx((3 / 4, 7 / 8, 2 / 3, 3 / 4, 1 / 8))
+    assert t.f6 == pytest.approx(37 * 3 / 4 * 7 / 8 / (36 * 3 / 4 + 7 / 8))
+    assert (c.precision, c.recall, c.f1) == pytest.approx((1, 7 / 8, 11 / 12))
+    # tables: 3 found, 1 too many, 1 missed; columns: 3 found, 1 missed
+    t, c = got["tables", "all", "micro"], got["columns", "all", "micro"]
+    assert (t.precision, t.recall, t.f1) == pytest.approx((3 / 4, 3 / 4, 3 / 4))
+    assert (c.precision, c.recall, c.f1) == pytest.approx((1, 3 / 4, 6 / 7))
     assert E.headline(agg).count() == 2
 
 
-def test_unpaired(five):
-    gold, pred, _ = five
+def test_unpaired(four):
+    gold, pred, _ = four
     missing, extra = E.unpaired(gold, pred)
-    assert missing.count() == 0 and [r.question_id for r in extra.collect()] == [9]
+    assert missing.count() == 0 and [r.question_id for r in extra.collect()] == [70]
 
 
 def test_prediction_of_gold_is_perfect(spark):
