@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as X
-from linkspark.functions.fuzzy import levenshtein_ratio, partial_ratio_column
+from linkspark.functions.fuzzy import levenshtein_ratio, partial_ratio_column, pieces
 
 STRATEGIES = ("substring", "token", "fuzzy")
 
@@ -18,24 +18,32 @@ def elements(columns: DataFrame, tables: DataFrame) -> DataFrame:
     return t.unionByName(c)
 
 
-def scores(questions: DataFrame, names: DataFrame, fuzzy: str = "partial_ratio") -> DataFrame:
+def scores(questions: DataFrame, names: DataFrame, fuzzy: str = "partial_ratio", least: float = 0.0) -> DataFrame:
     """Each question with each element of its database: strategy and score of the first strategy that applies.
 
     questions: question_id, db_id, question; names: as ``elements``.  Fuzzy scores are computed only for what neither exact
-    strategy hits, in a branch of its own (a UDF under CASE would run for every row), once per distinct pair of texts; they
-    carry no threshold yet.  ``fuzzy``: partial_ratio or levenshtein (built-in functions only).
+    strategy hits.  ``fuzzy``: partial_ratio or levenshtein (built-in functions only).  Those below ``least`` are left out; for
+    levenshtein, a pair that can't reach it is recognised by the name's pieces, none of which the question has.
     """
-    q = questions.select("question_id", "db_id", X.question_text(F.col("question")).alias("q_text"), X.question_tokens(F.col("question")).alias("q_tokens"))
-    e = names.select(F.col("db_id").alias("edb"), "level", "ord", "t", "c", X.name_text(F.col("name")).alias("e_text"), X.name_tokens(F.col("name")).alias("e_tokens"))
-    pairs = q.join(e, q["db_id"] == e["edb"])
+    asked = questions.select("question_id", "db_id", X.question_text(F.col("question")).alias("q_text"))
+    # a text is scored once; by a number of partitions of its own, as questions are few bytes but much work
+    texts = asked.select("db_id", "q_text").repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "db_id", "q_text").distinct()
+    q = texts.withColumn("q_tokens", F.split("q_text", " "))
+    e_text = X.name_text(F.col("name"))
+    e = names.select(F.col("db_id").alias("edb"), "level", "ord", "t", "c", e_text.alias("e_text"), X.name_tokens(F.col("name")).alias("e_tokens"), pieces(e_text, least).alias("e_pieces"))
     strategy = F.when(X.is_substring(F.col("e_text"), F.col("q_text")), "substring").when(X.has_all_tokens(F.col("e_tokens"), F.col("q_tokens")), "token")
-    tested = pairs.select("question_id", "db_id", "level", "ord", "t", "c", "e_text", "q_text", strategy.alias("strategy"))
-    hits = tested.where("strategy is not null").select("question_id", "db_id", "level", "ord", "t", "c", "strategy", F.lit(100.0).alias("score"))
-    rest = tested.where("strategy is null and e_text <> '' and q_text <> ''")
-    ratio = partial_ratio_column if fuzzy == "partial_ratio" else levenshtein_ratio
-    distinct = rest.select("e_text", "q_text").distinct().withColumn("score", ratio(F.col("e_text"), F.col("q_text")))
-    near = rest.join(distinct, ["e_text", "q_text"]).select("question_id", "db_id", "level", "ord", "t", "c", F.lit("fuzzy").alias("strategy"), "score")
-    return hits.unionByName(near)
+    pairs = q.join(e, q["db_id"] == e["edb"]).withColumn("strategy", strategy)
+    is_open = F.col("strategy").isNull() & (F.col("e_text") != "") & (F.col("q_text") != "")
+    if fuzzy == "partial_ratio":
+        ratio = partial_ratio_column(F.when(is_open, F.col("e_text")), F.col("q_text"))
+    else:
+        within = F.exists("e_pieces", lambda p: F.contains("q_text", p))
+        # generated, so that filters on scores stay above and nothing is computed twice
+        ratio = F.explode_outer(F.array(F.when(is_open & within, levenshtein_ratio(F.col("e_text"), F.col("q_text")))))
+    rated = pairs.withColumn("ratio", ratio).withColumn("score", F.when(F.col("strategy").isNotNull(), 100.0).otherwise(F.col("ratio"))).where(F.col("strategy").isNotNull() | (F.col("score") >= least))
+    rated = rated.select(F.col("db_id").alias("rdb"), F.col("q_text").alias("r_text"), "level", "ord", "t", "c", F.coalesce("strategy", F.lit("fuzzy")).alias("strategy"), "score")
+    found = asked.join(rated, asked["db_id"].eqNullSafe(F.col("rdb")) & (asked["q_text"] == F.col("r_text")))
+    return found.select("question_id", "db_id", "level", "ord", "t", "c", "strategy", "score")
 
 
 def matched(scored: DataFrame, threshold: float) -> DataFrame:
@@ -52,5 +60,14 @@ def predictions(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("question_id", "db_id").join(links, "question_id", "left").select("question_id", "db_id", F.coalesce("tables", empty[0]).alias("tables"), F.coalesce("columns", empty[1]).alias("columns"))
 
 
+def with_schema(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """``questions``; one whose database has no element raises."""
+    known = names.select(F.col("db_id").alias("__known")).distinct()
+    rows = questions.join(known, questions["db_id"] == F.col("__known"), "left")
+    lacking = F.raise_error(F.concat(F.lit("no schema for database "), F.coalesce("db_id", F.lit("null")))).cast("string")
+    return rows.withColumn("db_id", F.when(F.col("__known").isNotNull(), F.col("db_id")).otherwise(lacking)).drop("__known")
+
+
 def link(questions: DataFrame, names: DataFrame, threshold: float = 80, fuzzy: str = "partial_ratio") -> DataFrame:
-    return predictions(questions, matched(scores(questions, names, fuzzy), threshold))
+    questions = with_schema(questions, names)
+    return predictions(questions, matched(scores(questions, names, fuzzy, threshold), threshold))

@@ -39,6 +39,7 @@ def lexical_linker(threshold: float = 80) -> Linker:
 def vector_linker(encoder: vector.Encoder, tuned: TunedVector) -> Linker:
     def link(questions: DataFrame, catalog: Catalog) -> DataFrame:
         names = lexical.elements(catalog.columns, catalog.tables).join(catalog.tables.select(F.col("db_id").alias("tdb"), F.col("original"), F.col("name").alias("table_name")), (F.col("db_id") == F.col("tdb")) & (F.col("t") == F.col("original")))
+        questions = lexical.with_schema(questions, names)
         elements = vector.encoded(vector.element_texts(names), encoder)
         scores = vector.similarity(vector.encoded(questions.withColumn("text", F.col("question")), encoder), elements)
         hits = vector.top_k(scores, {"table": tuned.table_top_k, "column": tuned.column_top_k}, {"table": tuned.table_threshold, "column": tuned.column_threshold})

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as X
-from linkspark.functions.fuzzy import partial_ratio, partial_ratio_column
+from linkspark.functions.fuzzy import partial_ratio, partial_ratio_column, partial_ratios
 from linkspark.operators import lexical
 
 QUESTION = "what is the name and nation of the singer who have a song having hey in its name"
@@ -77,3 +79,32 @@ def test_lexical_strategies(spark):
     assert hits == {(0, "stadium"): "substring", (0, "capacity"): "fuzzy", (2, "first_name"): "token", (3, "age"): "substring"}
     links = {r.question_id: r for r in lexical.link(q, e, 80).collect()}
     assert links[1].tables == [] and links[1].columns == [] and links[0].tables == ["stadium"]
+
+
+def test_ratios_of_all_windows_at_once_are_those_of_each():
+    draw = random.Random(5)
+    for _ in range(300):
+        letters = "abc é_"[: draw.randint(2, 6)]
+        word = lambda least, most: "".join(draw.choice(letters) for _ in range(draw.randint(least, most)))  # noqa: B023, E731
+        name = word(0, 70 if draw.random() < 0.1 else 9)
+        texts = [word(0, 80 if draw.random() < 0.2 else 25) for _ in range(5)]
+        assert list(partial_ratios(name, texts)) == [partial_ratio(name, t) for t in texts]
+
+
+def test_levenshtein_above_a_least_score_is_that_without_one(spark):
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    q = spark.createDataFrame([(i, "d", f"{word(6)} {word(7)}") for i in range(40)], "question_id bigint, db_id string, question string")
+    e = spark.createDataFrame([("d", "table", i, word(5), None, word(draw.randint(1, 6))) for i in range(40)], "db_id string, level string, ord int, t string, c string, name string")
+    rows = lambda least: {(r.question_id, r.ord): round(r.score, 9) for r in lexical.scores(q, e, "levenshtein", least).collect()}
+    every = rows(0)
+    assert len(every) == 1600
+    for least in (60, 80):
+        assert rows(least) == {k: v for k, v in every.items() if v >= least}
+
+
+def test_a_question_without_schema_raises(spark):
+    q = spark.createDataFrame([(0, "gone", "anything")], "question_id bigint, db_id string, question string")
+    e = spark.createDataFrame([("d", "table", 0, "x", None, "x")], "db_id string, level string, ord int, t string, c string, name string")
+    with pytest.raises(Exception, match="no schema for database gone"):
+        lexical.link(q, e).collect()
