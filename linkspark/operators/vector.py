@@ -69,6 +69,15 @@ def similarity(questions: DataFrame, elements: DataFrame) -> DataFrame:
     return q.join(e, q["db_id"] == e["edb"]).select("question_id", "db_id", "level", "ord", "t", "c", dot(F.col("q_vec"), F.col("e_vec")).alias("score"))
 
 
+def dealt(questions: DataFrame, elements: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides for ``similarity`` where every question meets every element: db_id becomes a block of the elements' ids (ord).
+
+    A question goes to all blocks, an element to one, so no block holds more than its share of the elements.
+    """
+    everywhere = questions.withColumn("db_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return everywhere, elements.withColumn("db_id", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
+
+
 def ranked(scores: DataFrame, *by: str) -> DataFrame:
     """Adds rank by descending score; ties go by ord."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "ord")))

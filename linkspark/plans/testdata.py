@@ -188,17 +188,25 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.crosstab(_pairs(spark, sf_dir), "hit_a", "hit_b", [False, True])
 
 
-# ---- vectors: the first twenty are questions, the others elements of the database with the same remainder
+# ---- vectors: every row whose id is divisible by 20 is a question to all other rows
 
-_SCORES = "with s as (select q.vec_id as question_id, e.vec_id as ord, q.label = e.label as is_gold, list_inner_product(q.embedding::double[], e.embedding::double[]) as score from embeddings q join embeddings e on q.vec_id < 20 and e.vec_id >= 20 and q.vec_id % 5 = e.vec_id % 5), r as (select *, row_number() over (partition by question_id order by score desc, ord) as rank from s)"
+_SCORES = """
+with s as (
+  select q.vec_id as question_id, e.vec_id as ord, q.label = e.label as is_gold, list_inner_product(q.embedding::double[], e.embedding::double[]) as score
+  from embeddings q join embeddings e on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id
+), r as (select *, row_number() over (partition by question_id order by score desc, ord) as rank from s)"""
+_BLOCKS = 64
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").withColumn("db_id", (F.col("vec_id") % 5).cast("string"))
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "db_id", F.col("embedding").alias("vec"))
-    x = e.where("vec_id >= 20").select("db_id", F.lit("table").alias("level"), F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("t"), F.lit(None).cast("string").alias("c"), F.col("embedding").alias("vec"))
-    own = e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("own"))
-    return vector.similarity(q, x).join(F.broadcast(own), "question_id").withColumn("is_gold", F.col("t") == F.col("own"))
+    e = _t(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    q = asked.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vec"))
+    label = F.col("label").cast("string")
+    x = e.select(F.lit("table").alias("level"), F.col("vec_id").alias("ord"), label.alias("t"), F.lit(None).cast("string").alias("c"), F.col("embedding").alias("vec"))
+    own = asked.select(F.col("vec_id").alias("question_id"), label.alias("own"))
+    scores = vector.similarity(*vector.dealt(q, x, _BLOCKS)).where("ord <> question_id")
+    return scores.join(own, "question_id").withColumn("is_gold", F.col("t") == F.col("own"))
 
 
 @query(_SCORES + " select question_id, ord, rank, round(score, 5) as score from r where rank <= 5 and score >= 0.1")
@@ -277,8 +285,8 @@ def _lex_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return questions, element("table", "p_name").unionByName(element("column", "p_type"))
 
 
-def _lex(spark: SparkSession, sf_dir: str, fuzzy: str = "levenshtein") -> DataFrame:
-    return lexical.scores(*_lex_inputs(spark, sf_dir), fuzzy)
+def _lex(spark: SparkSession, sf_dir: str, fuzzy: str = "levenshtein", least: float = 80) -> DataFrame:
+    return lexical.scores(*_lex_inputs(spark, sf_dir), fuzzy, least)
 
 
 @query(_LEX + " select question_id, level, name from pairs where strategy = 'substring'")
@@ -307,7 +315,7 @@ c as (select g.question_id, lv.level, fuzzy_threshold, count(s.name) filter (whe
 select fuzzy_threshold, round(avg(case when level = 'table' then 2.0::double * tp / (tp + fp + 1) end), 6) as table_f1, round(avg(case when level = 'column' then 2.0::double * tp / (tp + fp + 1) end), 6) as column_f1 from c group by fuzzy_threshold""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), "p_name", "p_type")
-    s = _lex(spark, sf_dir)
+    s = _lex(spark, sf_dir, least=min(tuning.FUZZY))
     s = s.join(part, s["question_id"] == part["gid"]).withColumn("is_gold", F.col("t") == F.when(F.col("level") == "table", F.col("p_name")).otherwise(F.col("p_type")))
     gold = part.select(F.col("gid").alias("question_id"), F.explode(F.array(F.lit("table"), F.lit("column"))).alias("level"), F.lit(1).alias("n_gold"))
     return tuning.sweep_fuzzy(s, gold).select("fuzzy_threshold", _r("table_f1"), _r("column_f1"))
