@@ -496,3 +496,9 @@ def fail_fast(refs: DataFrame) -> DataFrame:
 def clause_roles(refs: DataFrame) -> DataFrame:
     """question_id, t, c, role: the only clause of a column, or multiple."""
     return refs.select("question_id", F.explode("columns").alias("x")).select("question_id", "x.t", "x.c", F.when(F.size("x.clauses") == 1, F.col("x.clauses")[0]).otherwise("multiple").alias("role"))
+
+
+def extraction_counts(refs: DataFrame) -> DataFrame:
+    """n_ok and n_failed of a batch of analysed queries, as one row."""
+    failed = F.exists("issues", lambda i: i["kind"] == "parse_error")
+    return refs.agg(F.count_if(~failed).alias("n_ok"), F.count_if(failed).alias("n_failed"))

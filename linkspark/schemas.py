@@ -43,3 +43,6 @@ CLAUSES = ("SELECT", "WHERE", "GROUP_BY", "HAVING", "ORDER_BY", "JOIN_ON", "OTHE
 ISSUES = ("parse_error", "unknown_table", "unknown_column", "unresolved_alias", "other")
 
 MCNEMAR = ("method_a", "method_b", "tier", "element_type", "n_a_only", "n_b_only", "n_both", "n_neither", "statistic", "p_value")
+
+#: What an example of each kind answers with, in file order.
+EXAMPLE_ANSWERS = {"forward": ("tables", "columns"), "backward": ("gold_sql",), "graph": ("core_tables", "columns")}

@@ -85,6 +85,29 @@ def links(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("k").cast("long").alias("question_id"), "v.db_id", F.coalesce("v.tables", F.array().cast("array<string>")).alias("tables"), F.coalesce(pairs, F.array().cast(f"array<{schemas.PAIR}>")).alias("columns"))
 
 
+def examples(spark: SparkSession, path: str, blocks: DataFrame, kind: str = "forward") -> DataFrame:
+    """question_id, db_id, question, pattern, the kind's answer (schemas.EXAMPLE_ANSWERS; core tables as tables) and schema_block.
+
+    blocks: db_id, schema_block of all databases; an example whose database it lacks raises.
+    """
+    kinds = {"tables": "array<string>", "core_tables": "array<string>", "columns": "array<array<string>>", "gold_sql": "string"}
+    names = schemas.EXAMPLE_ANSWERS[kind]
+    fields = ",".join(["question_id:bigint,db_id:string,question:string,pattern:string", *(f"{n}:{kinds[n]}" for n in names)])
+    rows = _whole(spark, path).select(F.inline(F.from_json("value", f"array<struct<{fields}>>", {"mode": "FAILFAST"})))
+    if "columns" in names:
+        rows = rows.withColumn("columns", F.transform("columns", lambda p: F.struct(p[0].alias("t"), p[1].alias("c"))))
+    found = rows.withColumnRenamed("core_tables", "tables").join(blocks.select("db_id", "schema_block"), "db_id", "left")
+    block = F.coalesce("schema_block", F.raise_error(F.concat(F.lit("no schema for example database "), "db_id")).cast("string"))
+    return found.select("question_id", "db_id", "question", "pattern", *["tables" if n == "core_tables" else n for n in names], block.alias("schema_block"))
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """cache_key and vec of the encoder cache; an empty cache if there is none yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "cache_key string, vec array<float>")
+    return spark.read.parquet(path).select("cache_key", "vec")
+
+
 def table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 

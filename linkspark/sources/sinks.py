@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.schemas import EXAMPLE_ANSWERS
 from linkspark.sources.readers import exists
 
 
@@ -31,6 +32,19 @@ def export_links(links: DataFrame, path: str) -> None:
         file.write("\n}\n")
 
 
+def export_examples(examples: DataFrame, path: str, kind: str = "forward") -> None:
+    """The picked examples (one of each pattern, so few) as one JSON array on the driver's disk, for review.
+
+    kind: forward (tables and columns), backward (gold_sql) or graph (core_tables and columns).
+    """
+    names = ["question_id", "db_id", "question", "pattern", *EXAMPLE_ANSWERS[kind]]
+    plain = lambda r: {n: [list(p) for p in r[n]] if n == "columns" else r[n] for n in names}
+    out = Path(path)
+    out.parent.mkdir(parents=True, exist_ok=True)
+    rows = [plain(r) for r in examples.select(*names).toLocalIterator()]
+    out.write_text(json.dumps(rows, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
 def write_tables(results: Sequence[tuple[DataFrame, DataFrame]], aggregated: str, per_query: str) -> None:
     """Both evaluation tables of all results, concatenated, as CSV with a header (an empty table too)."""
     for i, path in enumerate((aggregated, per_query)):

@@ -150,3 +150,30 @@ def test_fewshot(spark, catalog):
     bad = spark.createDataFrame([(9, ["a"], [("b", "c")])], f"question_id bigint, tables array<string>, columns {pairs}")
     with pytest.raises(Exception, match="no graph example"):
         fewshot.to_graph(bad).collect()
+
+
+def test_examples_of_each_kind_come_back_with_their_schema(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(4, "shop", "Which goods?", "simple", ["good"], [("good", "label")], "SELECT label FROM good", ["good"])],
+        "question_id bigint, db_id string, question string, pattern string, tables array<string>, columns array<struct<t:string,c:string>>, gold_sql string, core_tables array<string>",
+    )
+    blocks = spark.createDataFrame([("shop", "CREATE TABLE good ()")], "db_id string, schema_block string")
+    for kind, key, names in (("forward", "tables", ["tables", "columns"]), ("backward", "gold_sql", ["gold_sql"]), ("graph", "core_tables", ["tables", "columns"])):
+        path = f"{tmp_path}/{kind}.json"
+        K.export_examples(rows, path, kind)
+        assert key in json.loads(open(path, encoding="utf-8").read())[0]
+        back = R.examples(spark, path, blocks, kind)
+        assert back.columns == ["question_id", "db_id", "question", "pattern", *names, "schema_block"]
+        assert back.drop("schema_block").collect() == rows.select("question_id", "db_id", "question", "pattern", *names).collect()
+        assert back.first()["schema_block"] == "CREATE TABLE good ()"
+    with pytest.raises(Exception, match="no schema for example database shop"):
+        R.examples(spark, path, blocks.where("db_id = 'x'"), "graph").collect()
+
+
+def test_vector_cache_is_read_as_written(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    assert R.vectors(spark, path).count() == 0
+    rows = spark.createDataFrame([("ab1", [1.0, 0.5]), ("cd2", [0.0, 1.0])], "cache_key string, vec array<float>")
+    K.write_vectors(rows, path)
+    assert sorted(R.vectors(spark, path).collect()) == sorted(rows.collect())
+
