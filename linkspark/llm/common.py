@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.recovery import shared_folder
@@ -83,3 +83,19 @@ BROADCAST_ROWS = 500_000
 def short(df: DataFrame) -> DataFrame:
     """``df`` for a broadcast join, if a count finds that it has BROADCAST_ROWS rows at most; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "__rank") -> DataFrame:
+    """``df`` with ranks 0, 1, 2, ... in ``order``, computed once.
+
+    Rows are dealt by ranges of ``order`` and sorted there; a row's rank is its place in its partition after the rows of all
+    partitions before.  Rows that agree in ``order`` lie in one partition, so it should tell rows apart.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    placed = checkpoint(placed)
+    part, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # a row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__offset") + place).drop("__place", "__part", "__offset")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import chat, decontam, fingerprints, linededup, mixing, neardup, packing, secrets, sharding, toxicity
+from linkspark.llm import chat, decontam, fingerprints, linededup, linefrequency, manifest, mixing, neardup, packing, resampling, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefrequency.quality(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"), changed=manifest.tampered())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,12 +77,98 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_line_dedup, op4_chat_formatting, op5_toxicity, op6_source_mixing, op7_token_packing, op8_sharding, op9_benchmark_decontamination, op10_simhash_neardup, pipeline)
+    f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_line_dedup, op4_chat_formatting, op5_toxicity, op6_source_mixing, op7_token_packing, op8_sharding, op9_benchmark_decontamination, op10_simhash_neardup, op11_importance_resampling, op12_line_frequency, op13_merkle_manifest, pipeline)
 }
 
 _CONTROL = "(\\\\*)(<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|endoftext\\|>|<\\|im_start\\|>|<\\|im_end\\|>)"
 
+#: CRC-32 of every text x of table ``texts``, as table crc (x, c): the register is linear in the bytes, so each byte's share follows
+#: from its value and its distance from the end.
+_CRC = """
+bits as (select b, 0 as k, b::bigint as c from range(256) r(b) union all select b, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from bits where k < 8),
+first as (select b, c from bits where k = 8),
+longest as (select coalesce(max(octet_length(encode(x))), 0) as n from texts),
+place as (select b, 0 as k, c from first union all select p.b, p.k + 1, xor(p.c >> 8, t.c) from place p join first t on t.b = (p.c & 255) where p.k + 1 < (select n from longest)),
+empty as (select 0 as n, 4294967295::bigint as c union all select e.n + 1, xor(e.c >> 8, t.c) from empty e join first t on t.b = (e.c & 255) where e.n < (select n from longest)),
+bytes as (select x, octet_length(encode(x)) as n, unnest(range(octet_length(encode(x)))) as i from texts),
+shares as (select x, n, n - 1 - i as k, ('0x' || substr(hex(encode(x)), (2 * i + 1)::int, 2))::int as b from bytes),
+crc as (select s.x, xor(xor(bit_xor(p.c), any_value(e.c)), 4294967295) as c from shares s join place p using (b, k) join empty e on e.n = s.n group by s.x)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_importance_resampling": r"""
+with recursive w as (
+  select 0 as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), each as (select kind, id, unnest(w) as x, generate_subscripts(w, 1) as i from w), runs as (
+  select kind, id, x, x || ' ' || lead(x) over near as y, x || ' ' || lead(x) over near || ' ' || lead(x, 2) over near as z from each window near as (partition by kind, id order by i)
+), f as (select kind, id, unnest([x, y, z]) as x from runs), texts as (select distinct x from f where x is not null),"""
+    + _CRC
+    + r""", b as (select kind, id, c % 10000 as bucket from f join crc using (x)),
+n as (select bucket, count(*) filter (where kind = 0) as s, count(*) filter (where kind = 1) as t from b group by bucket),
+gains as (select bucket, cast(floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000) / ((s + 1)::double * (sum(t) over () + 10000)))) as bigint) as gain from n),
+sums as (select id, count(*) as n_features, sum(gain)::bigint as weight from b join gains using (bucket) where kind = 0 group by id),
+scored as (
+  select w.id as doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || w.id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+  from w left join sums using (id) where kind = 0
+), ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20)
+select doc_id, n_features::bigint as n_features, weight, score, case when rank <= (5 * (select count(*) from ranked)) // 100 then rank end as rank from scored left join ranked using (doc_id)
+""",
+    "op12_line_frequency": r"""
+with d as (
+  select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, string_split(coalesce(text, ''), chr(10)) as l from documents
+), each as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d), grams as (
+  select doc_id, i, x || ' ' || lead(x, 1) over near || ' ' || lead(x, 2) over near || ' ' || lead(x, 3) over near || ' ' || lead(x, 4) over near || ' ' || lead(x, 5) over near || ' ' || lead(x, 6) over near || ' ' || lead(x, 7) over near as x from each window near as (partition by doc_id order by i)
+), again as (select doc_id, x from grams where x is not null group by doc_id, x having count(*) > 1),
+covered as (select doc_id, count(distinct i + k) as n from grams join again using (doc_id, x), range(8) r(k) group by doc_id),
+dup as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(l) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+lines as (select doc_id, source, text, trim(regexp_replace(regexp_replace(lower(unnest(l)), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as line from d),
+hosts as (select source, count(distinct text) as n from d group by source),
+common as (select f.source, f.line from (select source, line, count(distinct text) as n from lines where line <> '' group by source, line) f join hosts h on f.source is not distinct from h.source where f.n > greatest(20, floor(h.n * 0.005::double))),
+gone as (select doc_id, sum(len(string_split(l.line, ' ')))::bigint as n from lines l join common c on l.source is not distinct from c.source and l.line = c.line group by doc_id),
+m as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words, coalesce(gone.n, 0) as removed_words
+  from d left join dup using (doc_id) left join covered using (doc_id) left join gone using (doc_id)
+), j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select *, not base_failed and n_words - removed_words >= 20 and n_words - removed_words >= 0.3::double * n_words as kept from j
+""",
+    "op13_merkle_manifest": r"""
+with recursive texts as (select distinct cast(doc_id as varchar) as x from documents where doc_id is not null),"""
+    + _CRC
+    + r""", d as (
+  select doc_id, lang, c % 7 = 0 as hit, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') as tail from documents left join crc on x = cast(doc_id as varchar)
+), rows as (
+  select doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    sha256(head || coalesce(strlen((n_chars + coalesce(hit, false)::int)::varchar) || ':' || (n_chars + coalesce(hit, false)::int), '-') || tail) as claimed from d
+), leaves as (
+  select *, 0 as tree, coalesce('=' || lang, '') as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from rows
+), nodes as (
+  select g, 0 as level, i, n, leaf as digest from leaves
+  union all
+  select g, level + 1, i // 2, n, sha256(digest || coalesce(next, '')) from (select *, lead(digest) over (partition by g, level order by i) as next from nodes) where i % 2 = 0 and (n - 1) >> level > 0
+), subroots as (select g, digest as subroot from nodes where (n - 1) >> level = 0),
+tops as (
+  select 0 as level, row_number() over (order by g) - 1 as i, count(*) over () as n, subroot as digest, g from subroots
+  union all
+  select level + 1, i // 2, n, sha256(digest || coalesce(next, '')), null from (select *, lead(digest) over (partition by level order by i) as next from tops) where i % 2 = 0 and (n - 1) >> level > 0
+), climb as (
+  select doc_id, g, leaf, i as at, i, n, 0 as level, claimed as state, '' as proof from leaves
+  union all
+  select c.doc_id, c.g, c.leaf, c.at, c.i // 2, c.n, c.level + 1, sha256(case when c.i % 2 = 1 then s.digest || c.state else c.state || coalesce(s.digest, '') end), c.proof || coalesce(s.digest, '')
+  from climb c left join nodes s on s.g = c.g and s.level = c.level and s.i = xor(c.i, 1) where (c.n - 1) >> c.level > 0
+), over as (
+  select c.doc_id, c.g, c.leaf, c.at, t.i, t.n, 0 as level, c.state, c.proof from climb c join tops t on t.g = c.g and t.level = 0 where (c.n - 1) >> c.level = 0
+  union all
+  select c.doc_id, c.g, c.leaf, c.at, c.i // 2, c.n, c.level + 1, sha256(case when c.i % 2 = 1 then s.digest || c.state else c.state || coalesce(s.digest, '') end), c.proof || coalesce(s.digest, '')
+  from over c left join tops s on s.level = c.level and s.i = xor(c.i, 1) where (c.n - 1) >> c.level > 0
+)
+select doc_id, leaf, subroot, digest as root, sha256(proof) as proof_sha256, state as folded_root, state = digest as verified
+from over o join subroots using (g), tops t where (o.n - 1) >> o.level = 0 and (t.n - 1) >> t.level = 0
+""",
     "op4_chat_formatting": rf"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
