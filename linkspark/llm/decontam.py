@@ -8,10 +8,12 @@ Windows.  A window of an item's size m can be similar to an item only if it has
 for 0.8) with shingles that items of this size have.  All starts with so many such places are windows, in whatever order the
 places stand, whichever items they belong to; equal windows are looked up once.
 
-Candidates.  A window's SimHash is cut into nine blocks of seven or eight bits.  Two fingerprints within 26 bits agree in some
-block but for two bits at most, so the items' blocks are listed with all neighbours within two bits, and windows are joined to
-the items of their size by (size, block, value): all pairs within the radius meet.  At similarity 0.8 the bits differ with a
-probability of 0.15 each; beyond 26 of 64 bits lie fewer than one of a million such pairs, at any size (the tests draw them).
+Candidates.  A window at similarity 0.8 has four fifths of an item's elements, so it has one of the item's rarest m / 5 + 1, by
+their places in the corpus.  A window's SimHash is cut into nine blocks of seven or eight bits.  Two fingerprints within 26 bits
+agree in some block but for two bits at most, so the items' blocks are listed with all neighbours within two bits, and windows
+are joined to the items of their size by (size, rare shingle, block, value): all pairs within the radius that share a rare
+shingle meet, and a key has the few items with one rare shingle and like fingerprints.  At similarity 0.8 the bits differ with
+a probability of 0.15 each; beyond 26 of 64 bits lie fewer than one of a million such pairs, at any size (the tests draw them).
 
 What the radius lets through is verified by its exact similarity.  DataFrame functions only.
 """
@@ -46,14 +48,20 @@ def hashed(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumn("w", words(F.col("text"))).select(*names, shingles(F.col("w")).alias("h"))
 
 
+def elements(window: Column) -> Column:
+    """The hashes of ``window``, in any order; the k-th occurrence of a shingle has a hash of its own, so that none outweighs others."""
+    row = F.sort_array(window)
+    # in sorted order the occurrences of x follow its first place
+    numbered = F.transform(row, lambda x, i: F.struct(x.alias("x"), (i + 2 - F.array_position(row, x)).cast("int").alias("k")))
+    return F.when(F.size(F.array_distinct(window)) == F.size(window), window).otherwise(F.transform(numbered, lambda e: F.when(e["k"] == 1, e["x"]).otherwise(F.xxhash64(e["x"], e["k"]))))
+
+
 def simhash(rows: DataFrame, *names: str) -> DataFrame:
     """``names`` and print, 64 bits: a bit is set where over half of the elements of column window have it.
 
-    The k-th occurrence of a shingle has a hash of its own, so that no shingle outweighs the others.
+    A window's elements follow each other, so they are summed before the shuffle.  ``names`` tell windows apart.
     """
-    counted = rows.select(*names, F.explode("window").alias("hash")).groupBy(*names, "hash").agg(F.count("*").cast("int").alias("times"))
-    each = counted.select(*names, "hash", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
-    each = each.select(*names, F.when(F.col("k") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "k")).alias("element"))
+    each = rows.select(*names, F.explode(elements(F.col("window"))).alias("element"))
     # lane k counts bit k in its low half and bit k + 32 in its high half
     lanes = [F.sum(F.shiftrightunsigned("element", k).bitwiseAND(F.lit((1 << 32) + 1))) for k in range(32)]
     sums = each.groupBy(*names).agg(F.array(*lanes).alias("lanes"), F.count("*").alias("n"))
@@ -81,20 +89,42 @@ def listed(prints: DataFrame, *names: str) -> DataFrame:
 
 
 def candidates(theirs: DataFrame, ours: DataFrame, *names: str) -> DataFrame:
-    """``names`` of theirs and item: all pairs of one size m whose prints differ in RADIUS bits at most."""
-    rows = theirs.select(*names, F.col("print").alias("their_print"), F.explode(block_values(F.col("print"))).alias("k"))
-    rows = rows.select(*names, "their_print", F.col("k.block").alias("block"), F.col("k.value").alias("value"))
-    met = rows.join(short(checkpoint(listed(ours, "item", "m"))), ["m", "block", "value"])
+    """``names`` of theirs and item: pairs of one size m and a common rare shingle whose prints differ in RADIUS bits at most.
+
+    theirs: ``names`` (with m), rare, print; ours: item, m, rare, print; rare: an array of shingles.
+    """
+    key = ["m", "rare", "block", "value"]
+    rows = theirs.select(*names, F.col("print").alias("their_print"), "rare", F.explode(block_values(F.col("print"))).alias("k"))
+    rows = rows.select(*names, "their_print", F.explode("rare").alias("rare"), F.col("k.block").alias("block"), F.col("k.value").alias("value"))
+    own = listed(ours, "item", "m", "rare").withColumn("rare", F.explode("rare"))
+    met = rows.join(short(checkpoint(own)), key)
     return met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("their_print"))) <= RADIUS).select(*names, "item").distinct()
 
 
-def item_sized_windows(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, doc, m, start, window: all that may reach the similarity with an item of size m."""
-    sizes = items.select("m", F.explode("h").alias("known")).distinct()
+def known_places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, doc, n, at, spot: the places of all shingles that some item has."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc"), "text")
     # outer: for an inner generator the optimizer would filter by size(h) below it, with the words computed anew for each shingle
     spots = hashed(texts, "doc_id", "doc").select("doc_id", "doc", F.size("h").alias("n"), F.posexplode_outer("h").alias("at", "spot"))
-    hits = checkpoint(spots.join(short(sizes.select("known").distinct()), F.col("spot") == F.col("known")).select("doc_id", "doc", "n", "at", "spot").distinct())
+    known = items.select(F.explode("h").alias("known")).distinct()
+    return checkpoint(spots.join(short(known), F.col("spot") == F.col("known")).select("doc_id", "doc", "n", "at", "spot").distinct())
+
+
+def rare_shingles(items: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """``items`` and rare, an array of shingles one of which every window at the threshold has: the fewest places in the corpus first."""
+    places = hits.groupBy(F.col("spot").alias("x")).agg(F.count("*").alias("places"))
+    each = items.select("item", F.explode("h").alias("x")).join(places, "x", "left")
+    # a window of any size shares threshold * m elements, so all but so many hold one of them
+    enough = F.size("row") - F.ceil(threshold * F.size("row") - 1e-9).cast("int") + 1
+    row = F.sort_array(F.collect_list(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "x"))).alias("row")
+    rare = each.groupBy("item").agg(row).select("item", F.array_distinct(F.slice(F.col("row.x"), F.lit(1), enough)).alias("rare"))
+    return checkpoint(items.join(rare, "item"))
+
+
+def item_sized_windows(docs: DataFrame, items: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, doc, m, start, window: all that may reach the similarity with an item of size m."""
+    sizes = items.select("m", F.explode("h").alias("known")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc"), "text")
     found = hits.join(short(sizes), F.col("spot") == F.col("known")).groupBy("doc_id", "doc", "n", "m").agg(F.array_sort(F.collect_set("at")).alias("spots"))
     # similarity = shared / (m + size - shared), so shared is at least threshold (m + size) / (1 + threshold)
     size = F.least("m", "n")
@@ -123,11 +153,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Da
     """
     items = hashed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), "text"), "item_id", "item")
     items = checkpoint(items.dropDuplicates(["item"]).withColumn("m", F.size("h"))).where("m > 0")
-    windows = item_sized_windows(docs, items, threshold).withColumn("c1", F.xxhash64("window")).withColumn("c2", F.xxhash64("window", F.lit(1)))
+    hits = known_places(docs, items)
+    items = rare_shingles(items, hits, threshold)
+    windows = item_sized_windows(docs, items, hits, threshold).withColumn("c1", F.xxhash64("window")).withColumn("c2", F.xxhash64("window", F.lit(1)))
     windows = checkpoint(windows)
     name = ["m", "c1", "c2"]
     contents = checkpoint(windows.groupBy(*name).agg(F.first("window").alias("window"), F.count("*").alias("holders")))
-    close = candidates(simhash(contents, *name), simhash(items.select("item", "m", F.col("h").alias("window")), "item", "m"), *name)
+    # those that have a rare shingle of an item of their size
+    rare = short(items.select("m", F.explode("rare").alias("x")).distinct())
+    marked = contents.select(*name, F.explode(F.array_distinct("window")).alias("x")).join(rare, ["m", "x"]).groupBy(*name).agg(F.collect_set("x").alias("rare"))
+    marked = checkpoint(contents.join(marked, name))
+    theirs = simhash(marked, *name).join(marked.select(*name, "rare"), name)
+    ours = simhash(items.select("item", "m", F.col("h").alias("window")), "item", "m").join(items.select("item", "rare"), "item")
+    close = candidates(theirs, ours, *name)
 
     pairs = close.join(contents, name).join(short(items.select("item", "item_id", "h")), "item")
     count = lambda array, x: F.size(F.filter(array, lambda y: y == x))

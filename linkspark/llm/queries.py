@@ -216,18 +216,18 @@ with w as (
   select 1, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') from benchmark
 ), s as (
   select kind, id, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as h from w
-), p as (select kind, id, len(h) as n, unnest(h) as x, generate_subscripts(h, 1) - 1 as at from s),
+), p as (select kind, id, len(h) as n, unnest(h) as x, generate_subscripts(h, 1) - 1 as pos from s),
 starts as (
-  select distinct doc_id, item_id, m, unnest(range(greatest(0, at - least(m, n) + 1), least(at, greatest(n - m, 0)) + 1)) as start
-  from (select d.id as doc_id, i.id as item_id, i.n as m, d.n as n, d.at as at from p d join p i on d.kind = 0 and i.kind = 1 and d.x = i.x)
+  select distinct doc_id, item_id, m, unnest(range(greatest(0, pos - least(m, n) + 1), least(pos, greatest(n - m, 0)) + 1)) as "start"
+  from (select d.id as doc_id, i.id as item_id, i.n as m, d.n as n, d.pos as pos from p d join p i on d.kind = 0 and i.kind = 1 and d.x = i.x)
 ), counts as (
-  select t.doc_id, t.item_id, t.start, d.x, count(*) as c from starts t join p d on d.kind = 0 and d.id = t.doc_id and d.at >= t.start and d.at < t.start + t.m group by all
+  select t.doc_id, t.item_id, t."start", d.x, count(*) as c from starts t join p d on d.kind = 0 and d.id = t.doc_id and d.pos >= t."start" and d.pos < t."start" + t.m group by all
 ), own as (select id as item_id, x, count(*) as c, any_value(n) as m from p where kind = 1 group by id, x),
 shared as (
-  select c.doc_id, c.item_id, c.start, any_value(o.m) as m, sum(least(c.c, o.c)) as s from counts c join own o on o.item_id = c.item_id and o.x = c.x group by all
-), held as (select doc_id, item_id, start, sum(c) as n from counts group by all),
-scored as (select s.doc_id, s.item_id, s.start, s.s::double / (s.m + h.n - s.s) as similarity from shared s join held h using (doc_id, item_id, start))
-select doc_id, item_id, round(max(similarity), 6) as similarity, cast(arg_max(start, (similarity, -start)) as integer) as window_start
+  select c.doc_id, c.item_id, c."start", any_value(o.m) as m, sum(least(c.c, o.c)) as s from counts c join own o on o.item_id = c.item_id and o.x = c.x group by all
+), held as (select doc_id, item_id, "start", sum(c) as n from counts group by all),
+scored as (select s.doc_id, s.item_id, s."start", s.s::double / (s.m + h.n - s.s) as similarity from shared s join held h using (doc_id, item_id, "start"))
+select doc_id, item_id, round(max(similarity), 6) as similarity, cast(arg_max("start", (similarity, -"start")) as integer) as window_start
 from scored where similarity >= 0.8 group by doc_id, item_id
 """,
 }

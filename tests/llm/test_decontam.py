@@ -127,13 +127,49 @@ def test_blocks_meet_all_pairs_within_the_radius(spark):
     own = [rng.getrandbits(64) for _ in range(40)]
     theirs = [(k, x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 13, 25, 26, 27, 30])))) for k, x in enumerate(own) for _ in range(5)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    items = spark.createDataFrame([(k, 9, signed(x)) for k, x in enumerate(own)], "item bigint, m int, print bigint")
-    windows = spark.createDataFrame([(i, 9, signed(x)) for i, (_, x) in enumerate(theirs)], "w bigint, m int, print bigint")
+    items = spark.createDataFrame([(k, 9, [1, k % 3], signed(x)) for k, x in enumerate(own)], "item bigint, m int, rare array<bigint>, print bigint")
+    windows = spark.createDataFrame([(i, 9, [k % 3, 7], signed(x)) for i, (k, x) in enumerate(theirs)], "w bigint, m int, rare array<bigint>, print bigint")
     got = {(r.w, r.item) for r in D.candidates(windows, items, "m", "w").collect()}
-    assert got == {(i, k) for i, (_, x) in enumerate(theirs) for k, y in enumerate(own) if (x ^ y).bit_count() <= D.RADIUS}
+    met = lambda i, k: bool({theirs[i][0] % 3, 7} & {1, k % 3})
+    assert got == {(i, k) for i, (_, x) in enumerate(theirs) for k, y in enumerate(own) if (x ^ y).bit_count() <= D.RADIUS and met(i, k)}
     assert D.RADIUS == 26 and sum(width for _, width in D.BLOCKS) == 64
 
 
+def test_candidates_are_few(spark):
+    """A thousand random items and ten thousand random windows of one size, with rare shingles of few items: under 1 % of pairs."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rng = random.Random(9)
+    row = lambda k: (k, 45, [rng.randrange(500) for _ in range(2)], signed(rng.getrandbits(64)))
+    schema = "{} bigint, m int, rare array<bigint>, print bigint"
+    items, windows = (spark.createDataFrame([row(k) for k in range(n)], schema.format(name)) for n, name in ((1000, "item"), (10_000, "w")))
+    assert 0 < D.candidates(windows, items, "m", "w").count() < 100_000
+
+
+def test_every_window_at_the_similarity_has_a_rare_shingle(spark):
+    rng = random.Random(3)
+    for m in (5, 9, 10, 27, 45):
+        h = [rng.randrange(m) for _ in range(m)]  # with repeats
+        items = spark.createDataFrame([(1, m, h)], "item bigint, m int, h array<bigint>")
+        hits = spark.createDataFrame([(x,) for x in h for _ in range(rng.randint(0, 5))] or [(0,)], "spot bigint")
+        rare = set(D.rare_shingles(items, hits, 0.8).first().rare)
+        for _ in range(300):
+            window = list(h)
+            for _ in range(rng.randint(0, m)):
+                if rng.random() < 0.5 and len(window) > 1:
+                    window.pop(rng.randrange(len(window)))
+                else:
+                    window[rng.randrange(len(window))] = -rng.randrange(9)
+            a, b = Counter(h), Counter(window)
+            if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                assert rare & set(window)
+
+
+def test_repeated_shingles_are_elements_of_their_own(spark):
+    rows = spark.createDataFrame([(1, [5, 3, 5, 5, 3, 9]), (2, [1, 2, 3])], "k int, window array<bigint>")
+    got = {r.k: r.e for r in rows.select("k", D.elements(rows["window"]).alias("e")).collect()}
+    assert got[2] == [1, 2, 3] and len(set(got[1])) == 6 and {3, 5, 9} < set(got[1])
+
+
 def test_a_shingle_of_many_items_and_documents(spark, documents):
     """Documents that share no more than one frequent shingle with a thousand items give no window."""
     rng = random.Random(6)
@@ -142,5 +178,5 @@ def test_a_shingle_of_many_items_and_documents(spark, documents):
     docs = [(d, f"{' '.join(f'v{rng.randrange(10**6)}' for _ in range(10))} {common} end {d}") for d in range(10_000)] + [(20_000, items[7][1])]
     table = spark.createDataFrame(items, "item_id bigint, text string")
     hashed = D.hashed(table.withColumn("item", D.F.xxhash64("item_id")), "item_id", "item").withColumn("m", D.F.size("h"))
-    assert D.item_sized_windows(documents(docs), hashed, 0.8).select("doc_id").distinct().count() == 1
+    assert D.item_sized_windows(documents(docs), hashed, D.known_places(documents(docs), hashed), 0.8).select("doc_id").distinct().count() == 1
     assert [(r.doc_id, r.item_id) for r in D.contaminated(documents(docs), table).collect()] == [(20_000, 7)]
