@@ -6,35 +6,32 @@ without their last, or not without their first line; a line that is long enough
 two documents that reaches the bound is covered by such windows.
 
 The home of a window is the first document that has it.  Each later holder is paired with the home alone, so a window that n
-documents hold gives n - 1 pairs and no link is lost: whatever a document shares with any earlier one is shared with the homes.
-Windows that many documents hold find their home by a broadcast, as their rows would meet in one task otherwise.
-
-A document is aligned with its homes in the order of rarity: the home of its rarest window first.  The alignment is a patience
-diff over the common windows: windows unique in both are the anchors, the longest rising run of anchors is kept, and the gaps
-between are aligned in turn.  What moved against the rest is aligned after that, block by block.  Aligned blocks are deleted
-from the later document.
+documents hold gives n - 1 pairs: whatever a document shares with any earlier one, it shares with homes.  Of a pair only the
+rarity is kept, the number of holders of its rarest window.  Windows that many documents hold find their home by a broadcast,
+as their rows would meet in one task otherwise.
+
+A document then meets the line sequences of its homes, the home of its rarest window first.  Both sequences are aligned by a
+patience diff over whole lines: lines unique in both are the anchors, the longest rising run of anchors is kept, and the gaps
+between are aligned in turn.  Aligned runs of neighbouring lines that reach the bound are blocks and go from the later document.
+What is left over has moved, and is aligned with the home again, until nothing aligns.  A line that was aligned in a run too
+short for a block stays, and so does a common run that no alignment keeps together (lines that repeat in another arrangement).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import arrow_map, checkpoint, hot_bound, id_text, join_hot, pieces
+from linkspark.llm.common import arrow_map, checkpoint, id_text, join_hot, pieces
 
 #: Blocks with fewer code points (of trimmed lines) than this stay: a short line is no copied passage.
 LEAST_BLOCK = 24
-#: Places of a hot window in its home that are sent along; further repeats in a later document are aligned with the last.
-HOT_PLACES = 64
 KEY = ("last", "doc", "t1", "t2")
 
-Item = tuple[int, int]
-"""(first line, window): a window as a small number, the same in both documents of a pair."""
-
 
 def rising(values: list[int]) -> list[int]:
     """Positions of the longest strictly rising run of ``values``: patience sorting with back links."""
@@ -56,27 +53,27 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
-    """Aligned positions (i, j) in two sequences of items, rising in both.
+def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Aligned positions (i, j) of equal values in two sequences, rising in both.
 
-    Equal ends are aligned outright; of the rest, items unique in both are anchors, and the gaps between them are aligned in the
-    same way.  In a gap without anchors the k-th occurrences of an item in both are its pairs.
+    Equal ends are aligned outright; of the rest, values unique in both are anchors, and the gaps between them are aligned in the
+    same way.  In a gap without anchors the k-th occurrences of a value in both are its pairs.
     """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
     while gaps:
         i, m, j, n = gaps.pop()
-        while i < m and j < n and a[i][1] == b[j][1]:
+        while i < m and j < n and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1][1] == b[n - 1][1]:
+        while i < m and j < n and a[m - 1] == b[n - 1]:
             m, n = m - 1, n - 1
             out.append((m, n))
         if i == m or j == n:
             continue
-        left, right = Counter(x[1] for x in a[i:m]), Counter(x[1] for x in b[j:n])
-        places = {a[k][1]: k for k in range(i, m) if left[a[k][1]] == 1}
-        anchors = [(places[b[k][1]], k) for k in range(j, n) if right[b[k][1]] == 1 and b[k][1] in places]
+        left, right = Counter(a[i:m]), Counter(b[j:n])
+        places = {a[k]: k for k in range(i, m) if left[a[k]] == 1}
+        anchors = [(places[b[k]], k) for k in range(j, n) if right[b[k]] == 1 and b[k] in places]
         if anchors:
             kept = [anchors[k] for k in rising([x for x, _ in anchors])]
             ends = [(i - 1, j - 1), *kept, (m, n)]
@@ -86,52 +83,40 @@ def patience(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
         seen: Counter = Counter()
         numbered = {}
         for k in range(i, m):
-            numbered[a[k][1], seen[a[k][1]]] = k
-            seen[a[k][1]] += 1
+            numbered[a[k], seen[a[k]]] = k
+            seen[a[k]] += 1
         seen.clear()
         pairs = []
         for k in range(j, n):
-            at = numbered.get((b[k][1], seen[b[k][1]]))
-            seen[b[k][1]] += 1
+            at = numbered.get((b[k], seen[b[k]]))
+            seen[b[k]] += 1
             if at is not None:
                 pairs.append((at, k))
         out += [pairs[k] for k in rising([x for x, _ in pairs])]
     return sorted(out)
 
 
-def aligned_windows(home: list[Item], own: list[Item]) -> list[tuple[int, int, int]]:
-    """(first line in home, first line in own, window), in the order of ``own``: for every item of ``own`` that ``home`` has.
+def blocks(home: Sequence, own: Sequence, lengths: Sequence[int], least: int = LEAST_BLOCK) -> list[tuple[int, int, int]]:
+    """(first line in home, first line in own, number of lines) of all aligned blocks; ``lengths``: code points of own lines.
 
-    First the patience diff; what it leaves over has moved, and follows the place of the item before, or takes the item's last
-    place up to its number of occurrence.
+    The first alignment is of the whole sequences, each further one of the lines of ``own`` that none before has aligned.
     """
-    pairs = {j: home[i][0] for i, j in patience(home, own)}
-    places: dict[int, list[int]] = {}
-    for first, window in home:
-        places.setdefault(window, []).append(first)
-    out, seen = [], Counter()
-    for j, (first, window) in enumerate(own):
-        if window not in places:
-            continue
-        held = places[window]
-        at = pairs.get(j)
-        if at is None:
-            follows = out[-1][0] + first - out[-1][1] if out else -1
-            at = follows if follows in held else held[min(seen[window], len(held) - 1)]
-        seen[window] += 1
-        out.append((at, first, window))
-    return out
-
-
-def blocks(aligned: list[tuple[int, int, int]], sizes: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(first line in home, first line in own, number of lines): windows that overlap or adjoin at one distance make one block."""
     out: list[tuple[int, int, int]] = []
-    for at, first, window in aligned:
-        if out and out[-1][1] - out[-1][0] == first - at and first <= out[-1][1] + out[-1][2]:
-            a, b, n = out[-1]
-            out[-1] = a, b, max(n, first + sizes[window] - b)
-        else:
-            out.append((at, first, sizes[window]))
+    known = set(home)
+    left = list(range(len(own)))
+    while left:
+        pairs = [(i, left[j]) for i, j in patience(home, [own[j] for j in left])]
+        if not pairs:
+            break
+        start = 0
+        for k in range(1, len(pairs) + 1):
+            if k == len(pairs) or (pairs[k][0] - pairs[k - 1][0], pairs[k][1] - pairs[k - 1][1]) != (1, 1):
+                (at, first), n = pairs[start], k - start
+                if sum(lengths[first : first + n]) >= least:
+                    out.append((at, first, n))
+                start = k
+        aligned = {j for _, j in pairs}
+        left = [j for j in left if j not in aligned and own[j] in known]
     return out
 
 
@@ -161,28 +146,40 @@ def _half(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def windows(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """KEY, h1, h2 (128 bits of hash), lines, firsts: one row for each different window of a row's text, whole texts."""
+def sequences(docs: DataFrame) -> DataFrame:
+    """KEY, hashes and lengths of the lines: one row for each different document with lines."""
 
     def rows(batches):
         import xxhash
 
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(5)]
-            out = {k: [] for k in (*KEY, "h1", "h2", "lines", "firsts")}
-            for *key, text in zip(*columns, strict=True):
-                lines = lines_of(text)
-                own: dict[int, tuple[int, list[int]]] = {}
-                for first, end in least_windows([len(x) for x in lines], least):
-                    h = xxhash.xxh3_128_intdigest("\n".join(lines[first:end]))
-                    own.setdefault(h, (end - first, []))[1].append(first)
-                for h, (n, firsts) in own.items():
-                    for name, value in zip(out, (*key, _half(h >> 64), _half(h & (1 << 64) - 1), n, firsts), strict=True):
+            read = [lines_of(t) for t in columns[4]]
+            yield dict(zip((*KEY, "hashes", "lengths"), [*columns[:4], [[_half(xxhash.xxh3_64_intdigest(x)) for x in y] for y in read], [[len(x) for x in y] for y in read]], strict=True))
+
+    found = arrow_map(keyed(docs).select(*KEY, "text"), rows, "last int, doc long, t1 long, t2 long, hashes array<long>, lengths array<int>")
+    return checkpoint(found.where(F.size("hashes") > 0).dropDuplicates(list(KEY)))
+
+
+def windows(read: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """KEY, h1, h2 (128 bits of hash): one row for each different window of a sequence."""
+
+    def rows(batches):
+        import numpy as np
+        import xxhash
+
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(6)]
+            out = {k: [] for k in (*KEY, "h1", "h2")}
+            for *key, hashes, lengths in zip(*columns, strict=True):
+                raw = np.array(hashes, np.int64).tobytes()
+                for h in {xxhash.xxh3_128_intdigest(raw[8 * first : 8 * end]) for first, end in least_windows(lengths, least)}:
+                    for name, value in zip(out, (*key, _half(h >> 64), _half(h & (1 << 64) - 1)), strict=True):
                         out[name].append(value)
             for part in pieces(list(out.values()), 20_000):
                 yield dict(zip(out, part, strict=True))
 
-    return arrow_map(keyed(docs).select(*KEY, "text"), rows, "last int, doc long, t1 long, t2 long, h1 long, h2 long, lines int, firsts array<int>")
+    return arrow_map(read, rows, "last int, doc long, t1 long, t2 long, h1 long, h2 long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -194,63 +191,54 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def shared_windows(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """KEY, home struct<KEY>, holders, h1, h2, lines, home_firsts, firsts: each window of a document that an earlier one has."""
-    held = checkpoint(windows(docs, least))
-    total = held.count()
-    first = F.min(F.struct(*KEY, "firsts")).alias("home")
-    homes = checkpoint(held.groupBy("h1", "h2").agg(first, F.count("*").alias("holders")).where("holders > 1"))
-    few = F.when(F.col("holders") > hot_bound(total), F.slice("home.firsts", 1, HOT_PLACES)).otherwise(F.col("home.firsts"))
-    found = join_hot(held, homes.withColumn("home", F.col("home").withField("firsts", few)), ["h1", "h2"], total)
-    later = F.struct(*KEY) > F.struct(*(F.col(f"home.{k}").alias(k) for k in KEY))
-    places = F.slice("home.firsts", F.lit(1), F.size("firsts"))
-    return found.where(later).select(*KEY, F.col("home").dropFields("firsts").alias("home"), "holders", "h1", "h2", "lines", places.alias("home_firsts"), "firsts")
+def pairs(read: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """KEY, home struct<KEY>, rarity: each document with the homes of its windows, and the holders of the rarest of these."""
+    held = checkpoint(windows(read, least))
+    homes = checkpoint(held.groupBy("h1", "h2").agg(F.min(F.struct(*KEY)).alias("home"), F.count("*").alias("holders")).where("holders > 1"))
+    found = join_hot(held, homes, ["h1", "h2"], held.count()).where(F.struct(*KEY) > F.col("home"))
+    return found.groupBy(*KEY, "home").agg(F.min("holders").alias("rarity"))
 
 
 def deletions(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """KEY, removed array<int>, blocks array<struct<home, home_first, first, lines>>: documents that lose lines.
 
     ``removed`` numbers the non-empty lines to delete.  ``blocks``: aligned blocks that delete a line which no block before them
-    does, homes in the order of their rarest window.
+    does, homes in the order of rarity.  A home whose lines are all gone by then is passed over.
     """
-    shared = shared_windows(docs, least).select(*KEY, F.struct(F.col("home.last").alias("last"), F.col("home.doc").alias("doc"), F.col("home.t1"), F.col("home.t2")).alias("home"), "holders", F.struct("h1", "h2").alias("h"), "lines", "home_firsts", "firsts")
-    dealt = shared.repartition(*KEY).sortWithinPartitions(*KEY)
-
-    def finish(key: tuple, rows: list[tuple]) -> dict | None:
-        by_home: dict[tuple, list[tuple]] = {}
-        for home, *row in rows:
-            by_home.setdefault(tuple(home.values()), []).append(row)
-        removed: set[int] = set()
-        kept = []
-        for home in sorted(by_home, key=lambda x: (min(r[0] for r in by_home[x]), x)):
-            number = {tuple(r[1].values()): k for k, r in enumerate(by_home[home])}
-            sizes = dict(enumerate(r[2] for r in by_home[home]))
-            sides = [sorted((f, sizes[k], k) for k, r in enumerate(by_home[home]) for f in r[side]) for side in (3, 4)]
-            assert len(number) == len(sizes)
-            pairs = aligned_windows(*([(f, k) for f, _, k in side] for side in sides))
-            for at, first, n in blocks(pairs, sizes):
-                lines = set(range(first, first + n))
-                if not lines <= removed:
-                    removed |= lines
-                    kept.append({"home": None if home[0] else home[1], "home_first": at, "first": first, "lines": n})
-        return {**dict(zip(KEY, key, strict=True)), "removed": sorted(removed), "blocks": kept}
+    read = sequences(docs)
+    met = checkpoint(pairs(read, least))
+    homes = checkpoint(met.groupBy("home").agg(F.count("*").alias("holders")))
+    lines = read.select(F.struct(*KEY).alias("home"), F.col("hashes").alias("home_hashes")).join(homes, "home")
+    theirs = join_hot(met, checkpoint(lines), ["home"], met.count()).select(*KEY, "rarity", "home", "home_hashes")
+    # a document's own sequence comes first
+    own = read.join(met.select(*KEY).distinct(), list(KEY), "left_semi").withColumn("rarity", F.lit(0).cast("long"))
+    dealt = own.unionByName(theirs, allowMissingColumns=True).repartition(*KEY).sortWithinPartitions(*KEY, "rarity", "home")
+    dealt = dealt.select(*KEY, "hashes", "lengths", F.col("home.last").alias("home_last"), F.col("home.doc").alias("home_doc"), "home_hashes")
 
     def align(batches) -> Iterator[dict]:
-        key, rows, out = None, [], []
+        key, own, lengths, removed, kept, out = None, [], [], set(), [], []
         for b in batches:
-            for *k, home, holders, h, n, home_firsts, firsts in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
-                if k != key:
-                    if rows:
-                        out.append(finish(key, rows))
-                    key, rows = k, []
-                rows.append((home, holders, h, n, home_firsts, firsts))
+            for *k, hashes, sizes, last, home, theirs in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                if hashes is not None:
+                    if removed:
+                        out.append((*key, sorted(removed), kept))
+                    key, own, lengths, removed, kept = k, hashes, sizes, set(), []
+                    continue
+                known = set(theirs)
+                if all(h not in known or j in removed for j, h in enumerate(own)):
+                    continue
+                for at, first, n in blocks(theirs, own, lengths, least):
+                    found = set(range(first, first + n))
+                    if not found <= removed:
+                        removed |= found
+                        kept.append({"home": None if last else home, "home_first": at, "first": first, "lines": n})
             if len(out) >= 500:
-                yield {name: [x[name] for x in out] for name in out[0]}
+                yield dict(zip((*KEY, "removed", "blocks"), zip(*out, strict=True), strict=True))
                 out = []
-        if rows:
-            out.append(finish(key, rows))
+        if removed:
+            out.append((*key, sorted(removed), kept))
         if out:
-            yield {name: [x[name] for x in out] for name in out[0]}
+            yield dict(zip((*KEY, "removed", "blocks"), zip(*out, strict=True), strict=True))
 
     return arrow_map(dealt, align, "last int, doc long, t1 long, t2 long, removed array<int>, blocks array<struct<home:long,home_first:int,first:int,lines:int>>")
 
@@ -270,8 +258,8 @@ def strip(text: str, removed: list[int]) -> str:
 def dedup_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """doc_id, text, n_removed, removed, blocks: every row, without the blocks of lines that earlier documents have.
 
-    A line goes if it lies in a common run with any earlier document whose trimmed lines have ``least`` code points together,
-    repeated and moved runs with it; common runs that are shorter stay.  Documents are ordered by doc_id; those without one come
+    A line goes if it lies in an aligned block (see the module) whose trimmed lines have ``least`` code points together; shorter
+    common runs stay.  An exact copy of an earlier document loses all of its lines.  Documents are ordered by doc_id; those without one come
     last, and where ids agree the hash of the text decides.  Rows that agree in doc_id and text are one document and are treated
     alike.  A null text is empty and stays so.  Other columns are not read; an empty table gives an empty result.
     """

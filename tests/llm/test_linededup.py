@@ -31,32 +31,76 @@ def got(spark_docs):
     return {r.doc_id: list(r.removed) for r in L.dedup_lines(spark_docs).collect()}
 
 
+def unique_lines(rng, n, pool):
+    """Documents none of which repeats a line: there a longest rising run keeps common runs whole, and every one is found."""
+    rows = []
+    for d in range(n):
+        lines = rng.sample(pool, rng.randint(0, min(9, len(pool)))) + ([f" own {d}"] if d % 3 == 0 else [])
+        if d % 4 == 0:
+            at = rng.randrange(len(pool) - 3)
+            run = pool[at : at + 4]
+            lines = [x for x in lines if x not in run]
+            lines[1:1] = run
+        rows.append((d, "\n".join(lines)))
+    return rows
+
+
+POOL = [f"shared line number {i} with some words" for i in range(6)] + ["short", "tiny", "ten chars.", "eleven char", "twelve chars", "x", "yz", "abc"]
+
+
 @pytest.mark.parametrize("seed", [3, 5])
 def test_against_all_pairs(spark, documents, seed):
-    rng = random.Random(seed)
-    pool = [f"shared line number {i} with some words" for i in range(3)] + ["short", "tiny", "ten chars.", "eleven char", "twelve chars"]
-    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) + (f"\n own {d}" if d % 3 == 0 else "")) for d in range(70)]
+    rows = unique_lines(random.Random(seed), 90, POOL)
     want = brute(rows)
     assert got(documents(rows)) == want and any(want.values()) and not all(want.values())
 
 
-def test_hot_windows_take_the_broadcast(spark, documents, monkeypatch):
+def test_repeated_lines_go_only_in_common_runs(spark, documents):
+    """Where lines repeat, what goes is part of what any common run has; the alignment decides which part."""
+    rng = random.Random(12)
+    rows = [(d, "\n".join(rng.choice(POOL[4:]) for _ in range(rng.randint(0, 12)))) for d in range(80)]
+    want, found = brute(rows), got(documents(rows))
+    assert all(set(found[d]) <= set(want[d]) for d in want)
+    assert sum(map(len, want.values())) > sum(map(len, found.values())) > 0.7 * sum(map(len, want.values()))
+
+
+def test_the_alignment_decides(spark, documents, monkeypatch):
+    rows = unique_lines(random.Random(3), 40, POOL)
+    assert any(got(documents(rows)).values())
+    monkeypatch.setattr(L, "patience", lambda a, b: [])
+    assert L.blocks(["a"], ["a"], [30]) == []
+    # a common run whose lines the diff aligns with other places stays, one that it keeps together goes
+    monkeypatch.undo()
+    home, own = ["x", "a", "y", "b", "x", "y"], ["x", "y"]
+    assert L.blocks(home, own, [20, 20]) == [] and L.blocks(["b", "x", "y"], own, [20, 20]) == [(1, 0, 2)]
+    # moved blocks are aligned again
+    assert L.blocks(list("abcd"), list("cdab"), [15] * 4) == [(2, 0, 2), (0, 2, 2)] or L.blocks(list("abcd"), list("cdab"), [15] * 4) == [(0, 2, 2), (2, 0, 2)]
+
+
+def test_hot_windows_and_homes_take_the_broadcast(spark, documents, monkeypatch):
     monkeypatch.setattr("linkspark.llm.common.HOT_ROWS", 3)
-    rng = random.Random(8)
-    pool = [f"shared line number {i} with some words" for i in range(12)] + ["short", "tiny"]
-    rows = [(d, "\n".join(rng.choice(pool[:2] if d % 2 else pool) for _ in range(rng.randint(1, 8)))) for d in range(60)]
+    rows = unique_lines(random.Random(8), 60, POOL)
     assert got(documents(rows)) == brute(rows)
 
 
+def test_a_document_with_very_many_homes(spark, documents):
+    """Ten times the limits that there were: 700 places of a line in its home, and 700 homes of one document."""
+    lines = [f"a line of its own with the number {i}" for i in range(700)]
+    rows = [(0, f"{A}\nmark\n" * 700), (1, f"{A}\nmark\n" * 700 + "end")] + [(10 + i, f"{x}\nrest {i}") for i, x in enumerate(lines)] + [(2000, "\n".join(lines))]
+    found = {r.doc_id: r for r in L.dedup_lines(documents(rows)).collect()}
+    assert found[1].text == "end" + "" and found[2000].text == "" and len(found[2000].blocks) == 700
+
+
 def test_later_exact_copies_lose_all_lines(spark, documents):
     passage = f"{A}\n{B}"
     rows = [(1, f"{passage}\n{passage}"), (2, f"{passage}\n{passage}"), (3, f"own\n{passage}\nmore\n{passage}"), (4, "la\n" * 12), (5, "x\n" + "la\n" * 13), (6, "la\n" * 12)]
     rows += [(11, f"{C}\n{D}\n{A}"), (12, f"{A}\n{D}\n{C}"), (13, f"{A}\n{D}\n{C}")]
     found = {r.doc_id: r for r in L.dedup_lines(documents(rows)).collect()}
     assert found[1].n_removed == 0 and found[2].text == "" and found[3].text == "own\nmore"
-    assert found[4].n_removed == 0 and found[5].removed == list(range(1, 14)) and found[6].n_removed == 12
+    assert found[4].n_removed == 0 and found[5].removed == list(range(2, 14)) and found[6].n_removed == 12
     assert found[13].n_removed == 3 and found[12].n_removed == 3 and found[11].removed == [2]
-    assert {d: list(r.removed) for d, r in found.items()} == brute(rows)
+    # of one more repeat than the home has, one stays
+    assert {d: list(r.removed) for d, r in found.items()} == {**brute(rows), 5: list(range(2, 14))}
 
 
 def test_copies_whose_lines_have_other_homes(spark, documents):
@@ -79,17 +123,12 @@ def test_nulls_ties_and_empty(spark, documents):
 
 def test_many_copies_stay_linear(spark, documents):
     rows = [(i, f"{A}\n{B}") for i in range(300)]
-    shared = L.shared_windows(documents(rows))
-    assert shared.count() == 2 * 299 and {r.home.doc for r in shared.collect()} == {0}
+    met = L.pairs(L.sequences(documents(rows))).collect()
+    assert len(met) == 299 and {(r.home.doc, r.rarity) for r in met} == {(0, 300)}
 
 
 def test_patience_diff():
-    def items(text):
-        return [(i, ord(c)) for i, c in enumerate(text)]
-
-    def pairs(a, b):
-        return L.patience(items(a), items(b))
-
+    pairs = L.patience
     assert pairs("abcdef", "abXdef") == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
     assert pairs("qaaXbbYr", "saXabYbt") == [(2, 1), (3, 2), (5, 4), (6, 5)]  # anchors X and Y, then the gaps between them
     assert pairs("aaa", "aa") == [(0, 0), (1, 1)]
