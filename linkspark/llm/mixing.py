@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import WORD, checkpoint
+from linkspark.llm.common import WORD, checkpoint, short
 
 #: Marks that junk lines are full of.
 JUNK = "#$%&*!|"
-#: A source is sorted in ranges of its keys, so many for each doubling of a key.  Keys are exponential, so 0.37 of a source's rows
-#: at most lie in one doubling, whatever its size and quality: no range has more than 0.0008 of a source.
-RANGES = 512
+#: A source is sorted in ranges of its keys, so many for each doubling of a key: one for so many rows of the table, and LEAST_RANGES
+#: at least.  Keys are exponential, so 0.37 of a source's rows at most lie in one doubling, whatever its size and quality.
+RANGE_ROWS = 1 << 18
+LEAST_RANGES = 16
 
 
 def n_words(text: Column) -> Column:
@@ -65,7 +66,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", *(value.alias(column) for column, value in own.items()))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, ranges: int = RANGES, cut: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, ranges: int | None = None, cut: bool = True) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the sampling key: one row per input row.
 
     Sources, by code point and null last, weigh ``weights`` in turn and share ``share`` of all sizes.  ``ranges``: a source is
@@ -76,20 +77,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     result.
     """
     names = {"__id": "doc_id", "__source": "source", "__size": "size", "__key": "key"}
-    rows = checkpoint(keyed(docs.select("doc_id", "source", "text")).select(*(F.col(a).alias(b) for a, b in names.items())))
+    rows = keyed(docs.select("doc_id", "source", "text")).select(*(F.col(a).alias(b) for a, b in names.items()))
+    # rows that agree in all of these follow each other and are placed as one
+    rows = checkpoint(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")))
+    ranges = ranges or max(LEAST_RANGES, rows.count() // RANGE_ROWS)
     rows = rows.withColumn("bin", F.floor(F.log2("key") * ranges).cast("int"))
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    words = F.col("size") * F.col("copies")
+    sums = rows.groupBy("source", "bin").agg(F.sum(words).alias("bin_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("bin_size").over(running), F.lit(0)).alias("base"))
     bases = bases.join(targets, bases["s"].eqNullSafe(targets["source"])).drop("source")
     inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("in_bin", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = rows.withColumn("in_bin", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     joined = placed.join(bases, placed["source"].eqNullSafe(bases["s"]) & (placed["bin"] == bases["b"]))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     goal = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - epochs * F.col("source_size")
-    before = F.col("base") + F.col("in_bin")
+    before = F.col("base") + F.col("in_bin") + F.col("copy") * F.col("size")
     part = F.least(F.greatest(rest - before, F.lit(0)), F.col("size")) if cut else F.when(before + F.col("size") / 2 <= rest, F.col("size")).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "key")
 
@@ -98,20 +104,23 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its whole copies; all columns stay.
 
     The boundary document is taken whole or not at all.  Documents without words are in no mix and go.  Of rows that agree in
-    doc_id, source, size and key, as many are taken once more as the mix takes, in the order of their texts.
+    doc_id, source, size and key, as many are taken once more as the mix takes, in the order of their texts.  Columns of ``docs``
+    may have any names but those that begin with two underscores.
     """
     same = ["__id", "__source", "__size", "__key"]
+    named = [F.col(a).alias(f"__of{b}") for a, b in zip(("doc_id", "source", "size", "key"), same, strict=True)]
     taken = mix(docs, cut=False, **options).where("size > 0")
     copies = (F.col("taken") / F.col("size")).cast("int")
-    times = taken.groupBy(*(F.col(a).alias(b) for a, b in zip(("doc_id", "source", "size", "key"), ("id", "src", "words", "order"), strict=True)))
-    times = checkpoint(times.agg(F.min(copies).alias("__low"), F.max(copies).alias("__high"), F.count("*").alias("n"), F.sum(copies).alias("all")))
+    times = checkpoint(taken.groupBy(*named).agg(F.min(copies).alias("__low"), F.max(copies).alias("__high"), F.count("*").alias("__rows"), F.sum(copies).alias("__all")))
     # equal rows follow each other in the mix and get one more copy up to the target, so they differ only where the target lies:
     # once a source
-    partly = F.broadcast(times.where("__low < __high").withColumn("__more", F.col("all") - F.col("n") * F.col("__low")))
+    partly = times.where("__low < __high").withColumn("__more", F.col("__all") - F.col("__rows") * F.col("__low"))
     rows = keyed(docs)
-    on = lambda side: [rows[a].eqNullSafe(side[b]) for a, b in zip(same, ("id", "src", "words", "order"), strict=True)]
-    whole = rows.join(times.where("__low = __high and __low > 0"), on(times)).withColumn("__n", F.col("__low"))
-    ranked = rows.join(partly, on(partly)).withColumn("__rank", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
-    ranked = ranked.withColumn("__n", F.col("__low") + (F.col("__rank") <= F.col("__more")).cast("int")).where("__n > 0")
-    both = whole.select(*docs.columns, "__n").unionByName(ranked.select(*docs.columns, "__n"))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    on = lambda side: [rows[a].eqNullSafe(side[f"__of{a}"]) for a in same]
+    whole = times.where("__low = __high and __low > 0")
+    kept = rows.join(whole, on(whole)).withColumn("__n", F.col("__low")).select(*docs.columns, "__n")
+    if partly.limit(1).count():
+        ranked = rows.join(short(partly), on(partly)).withColumn("__rank", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
+        ranked = ranked.withColumn("__n", F.col("__low") + (F.col("__rank") <= F.col("__more")).cast("int")).where("__n > 0")
+        kept = kept.unionByName(ranked.select(*docs.columns, "__n"))
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

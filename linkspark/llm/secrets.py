@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,9 +48,6 @@ staging demo temp company internal system manager office orange purple silver go
 matrix ninja mustang corvette ferrari yankees rangers eagles lakers maverick phoenix diamond angel buddy friend family""".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@431!05$7+", "aaeiiosstt")
-#: Blocks that repeat have so many characters at most.  A longer one costs more than the threshold, unless words make it cheap,
-#: and those are found in each copy.
-LONGEST_BLOCK = 64
 BRUTE = 1.0
 """log10 of guesses for a brute-forced character."""
 SEGMENT = 0.3
@@ -120,11 +118,67 @@ def _ends(a: int, b: int, least: int, step: int = 1):
             yield b - n, b
 
 
-def _repeated(codes: np.ndarray, period: int):
-    """The longest stretches in which each character equals the one ``period`` before, twice as long as that at least."""
-    breaks = np.concatenate([[-1], np.flatnonzero(codes[period:] != codes[:-period]), [len(codes) - period]])
-    for k in np.flatnonzero(np.diff(breaks) > period).tolist():
-        yield int(breaks[k]) + 1, int(breaks[k + 1]) + period
+#: Up to this length every period is compared with the whole value; beyond, only where spans as long as the period agree.
+DIRECT = 256
+_PRIME, _BASES = (1 << 31) - 1, (1_000_003, 69_069)
+
+
+def _stretches(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(period, start, end) of all longest stretches in which each character equals the one ``period`` before, twice as long at least."""
+    n = len(codes)
+    if n <= DIRECT:
+        for period in range(1, n // 2 + 1):
+            breaks = np.concatenate([[-1], np.flatnonzero(codes[period:] != codes[:-period]), [n - period]])
+            for k in np.flatnonzero(np.diff(breaks) > period).tolist():
+                yield period, int(breaks[k]) + 1, int(breaks[k + 1]) + period
+        return
+    # a stretch of period p has a multiple of p and the place p further; there the text agrees forwards or backwards over p / 2
+    prefixes = []
+    for base in _BASES:
+        sums, powers = [0], [1]
+        for c in codes.tolist():
+            sums.append((sums[-1] * base + c + 1) % _PRIME)
+            powers.append(powers[-1] * base % _PRIME)
+        prefixes.append((np.array(sums), np.array(powers)))
+
+    def equal(i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the spans of a length from i and from j have equal hashes."""
+        same = np.ones(len(i), bool)
+        for sums, powers in prefixes:
+            same &= (sums[i + length] - sums[i] * powers[length] - sums[j + length] + sums[j] * powers[length]) % _PRIME == 0
+        return same
+
+    def extent(i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        low, high = np.zeros_like(i), most
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            hit = equal(i - middle, j - middle, middle) if back else equal(i, j, middle)
+            low, high = np.where(hit, middle, low), np.where(hit, high, middle - 1)
+        return low
+
+    periods = np.arange(1, n // 2 + 1)
+    counts = (n - 1) // periods
+    for part in np.split(periods, np.searchsorted(np.cumsum(counts), np.arange(1 << 18, counts.sum(), 1 << 18))):
+        p = np.repeat(part, counts[part - 1])
+        i = np.concatenate([np.arange(0, n - x, x) for x in part.tolist()]) if len(part) else p
+        half = (p + 1) // 2
+        ahead, behind = np.minimum(half, n - i - p), np.minimum(half, i)
+        hit = ((ahead == half) & equal(i, i + p, ahead)) | ((behind == half) & equal(i - behind, i + p - behind, behind))
+        i, p = i[hit], p[hit]
+        first, last = i - extent(i, i + p, i, True), i + p + extent(i, i + p, n - i - p, False)
+        long = last - first >= 2 * p
+        yield from sorted(set(zip(p[long].tolist(), first[long].tolist(), last[long].tolist(), strict=True)))
+
+
+def _repeated(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """As ``_stretches``, for blocks of two characters or more that are no repeats themselves."""
+    seen = set()
+    for period, a, b in _stretches(codes):
+        # if the block itself repeats, the stretch is one of the shorter period too
+        if (a, b) not in seen:
+            seen.add((a, b))
+            if period > 1:
+                yield period, a, b
 
 
 def spans(value: str, words: dict[str, int], blocks: dict[str, float]) -> dict[int, list[tuple[int, str, float]]]:
@@ -158,14 +212,13 @@ def spans(value: str, words: dict[str, int], blocks: dict[str, float]) -> dict[i
                     out.setdefault(end, []).append((start, kind, cost(end - start)))
                 a = b
     codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for period in range(2, min(LONGEST_BLOCK, n // 2) + 1):
-        for a, b in _repeated(codes, period):
-            first, last = value[a : a + period], value[b - period : b]
-            for start, end in _ends(a, b, 2 * period, period):
-                block = first if start == a else last
-                if block not in blocks:
-                    blocks[block] = guess_cost(block, words, blocks).cost
-                out.setdefault(end, []).append((start, "repeat", blocks[block] + math.log10((end - start) // period)))
+    for period, a, b in _repeated(codes):
+        first, last = value[a : a + period], value[b - period : b]
+        for start, end in _ends(a, b, 2 * period, period):
+            block = first if start == a else last
+            if block not in blocks:
+                blocks[block] = guess_cost(block, words, blocks).cost
+            out.setdefault(end, []).append((start, "repeat", blocks[block] + math.log10((end - start) // period)))
     return out
 
 

@@ -189,3 +189,36 @@ def test_names_inside_values():
     began = time.process_time()
     assert len(S.find("secret=" * 30_000)) == 1 and S.find("secret secret-" * 30_000) is not None
     assert time.process_time() - began < 60
+
+
+def test_repeats_of_any_period(monkeypatch):
+    """All longest stretches against brute force; the hashed search of long values finds the same ones."""
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(150):
+        k, n = rng.choice([1, 2, 3, 6]), rng.randint(1, 60)
+        value = "".join(rng.choice("abcdef"[:k]) for _ in range(n))
+        value = (value[: rng.randint(1, 20)] * 9)[:n] if rng.random() < 0.5 else value
+        want = set()
+        for p in range(1, len(value) // 2 + 1):
+            a = 0
+            for b in range(p, len(value) + 1):
+                if b == len(value) or value[b] != value[b - p]:
+                    if b - a >= 2 * p:
+                        want.add((p, a, b))
+                    a = b - p + 1
+        codes = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+        assert set(S._stretches(codes)) == want
+        monkeypatch.setattr(S, "DIRECT", 0)
+        assert list(S._stretches(codes)) == sorted(want)
+        monkeypatch.undo()
+
+
+def test_long_blocks_that_repeat_are_cheap():
+    words = S.dictionary(S.default_vocabularies())
+    for n in (32, 33, 330):
+        assert S.find('access_key = "' + ("x" * n + "*" * n) * 6 + '"', words=words) == []
+    rng = random.Random(5)
+    block = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(700))
+    assert S.guess_cost(block * 40, words).cost < S.guess_cost(block, words).cost + 3
