@@ -7,12 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkspark.scale import quantiles
+
 
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation) and max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = rows.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return g.select(*by, "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+    """count, mean, std, min, quartiles (exact, linear interpolation) and max.
+
+    Quartiles come from radix selection, so no task holds a group's values.  Groups with a null key are one group.
+    """
+    named = rows.withColumns({f"__by_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by})
+    keys = [f"__by_{c}" for c in by]
+    g = named.groupBy(*by, *keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(named, value, (0.25, 0.5, 0.75), keys)
+    g = g.join(q, keys, "left") if by else g.join(F.broadcast(q), F.lit(True), "left")  # one row each
+    return g.select(*by, "count", "mean", "std", "min", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def value_counts(rows: DataFrame, value: str, domain: Sequence[str] | None = None) -> DataFrame:
@@ -112,6 +120,16 @@ def calibration(scored: DataFrame, *by: str) -> DataFrame:
     return g.withColumn("gap", gap).withColumn("verdict", F.when(gap >= 0.20, "well separated").when(gap >= 0.10, "partly separated").otherwise("overlapping"))
 
 
+def calibration_of_sums(sums: DataFrame) -> DataFrame:
+    """As ``calibration``, from counts and sums of scores.  sums: is_gold, n, total, square."""
+    side = lambda c, gold: F.sum(F.when(F.col("is_gold") == gold, F.col(c)))
+    mean = {g: side("total", g) / side("n", g) for g in (True, False)}
+    deviation = {g: F.sqrt(F.greatest(side("square", g) / side("n", g) - mean[g] * mean[g], F.lit(0.0))) for g in (True, False)}
+    g = sums.agg(mean[True].alias("tp_mean"), deviation[True].alias("tp_std"), mean[False].alias("fp_mean"), deviation[False].alias("fp_std"))
+    gap = F.col("tp_mean") - F.col("fp_mean")
+    return g.withColumn("gap", gap).withColumn("verdict", F.when(gap >= 0.20, "well separated").when(gap >= 0.10, "partly separated").otherwise("overlapping"))
+
+
 def issue_counts(refs: DataFrame) -> DataFrame:
     return refs.select(F.explode("issues").alias("i")).groupBy(F.col("i.kind").alias("kind")).agg(F.count("*").alias("n"))
 

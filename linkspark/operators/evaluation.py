@@ -2,70 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark import schemas
 from linkspark.functions import metrics as M
 from linkspark.functions import text as X
 
-_NAMES = "array<string>"
-_PAIRS = f"array<{schemas.PAIR}>"
-
-
 def known_elements(columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """db_id, known_tables, known_columns: canonical names of the catalog (tables: db_id, original; columns: table_original, col_original)."""
+    """db_id, known_tables, known_columns: canonical names of the catalog, a row a schema (tables: db_id, original; columns: table_original, col_original)."""
     t = tables.groupBy("db_id").agg(F.collect_set(X.canonical(F.col("original"))).alias("known_tables"))
     c = columns.groupBy("db_id").agg(F.collect_set(F.struct(X.canonical(F.col("table_original")).alias("t"), X.canonical(F.col("col_original")).alias("c"))).alias("known_columns"))
-    return t.join(c, "db_id", "left").select("db_id", "known_tables", F.coalesce("known_columns", F.array().cast(_PAIRS)).alias("known_columns"))
+    return t.join(c, "db_id", "left").select("db_id", "known_tables", F.coalesce("known_columns", F.array().cast(f"array<{schemas.PAIR}>")).alias("known_columns"))
 
 
-def split_hallucinated(items: Column, known: Column, canonical) -> tuple[Column, Column]:
-    """(known, unknown) items, in their own spelling and order, repeats too."""
-    has = lambda x: F.array_contains(known, canonical(x))
-    return F.filter(items, has), F.filter(items, lambda x: ~has(x))
+def known_rows(known: DataFrame) -> DataFrame:
+    """db_id, level, kt, kc: the elements of ``known_elements``, a row each."""
+    t = known.select("db_id", F.lit("table").alias("level"), F.explode("known_tables").alias("kt"), F.lit("").alias("kc"))
+    return t.unionByName(known.select("db_id", F.lit("column").alias("level"), F.explode("known_columns").alias("p")).select("db_id", "level", F.col("p.t").alias("kt"), F.col("p.c").alias("kc")))
 
 
-def _pair(p: Column) -> Column:
-    return F.struct(X.canonical(p["t"]).alias("t"), X.canonical(p["c"]).alias("c"))
+def link_elements(links: DataFrame) -> DataFrame:
+    """question_id, level, pos, raw, kt, kc: the elements of links (question_id, tables, columns), as written and canonical, a row each."""
+    t = links.select("question_id", F.lit("table").alias("level"), F.posexplode("tables").alias("pos", "raw"))
+    c = links.select("question_id", F.lit("column").alias("level"), F.posexplode("columns").alias("pos", "p"))
+    t = t.select("*", X.canonical(F.col("raw")).alias("kt"), F.lit("").alias("kc"))
+    return t.unionByName(c.select("question_id", "level", "pos", F.concat_ws(".", "p.t", "p.c").alias("raw"), X.canonical(F.col("p.t")).alias("kt"), X.canonical(F.col("p.c")).alias("kc")))
 
 
-def per_query(gold: DataFrame, predictions: DataFrame, known: DataFrame, hardness: DataFrame | None = None, method: str = "", tier: str = "") -> DataFrame:
-    """One row per gold question whose schema is known, columns as in schemas.PER_QUERY.
+def counted(flags: DataFrame, *by: str) -> DataFrame:
+    """``by`` and, for each level, tp, fp, fn, predicted_count, gold_count and hallucinated; and raw, the predictions as written.
 
-    gold, predictions: question_id, db_id, tables, columns.  A question without prediction counts as an empty one; predictions
-    without gold are left out.  Predicted elements that the schema lacks are hallucinated: they count in the rate, whose
-    denominator is the raw lists' length, and are removed before the metrics.  hardness: question_id, hardness.
+    flags: level, is_gold, is_predicted, is_known, a row an element; times, how often it was predicted (1 if there is no such column).  Predicted elements that
+    are not known are hallucinated and count in no other way.  One pass, whose counts are summed before they are dealt.
     """
-    p = predictions.select(F.col("question_id").alias("pid"), F.col("tables").alias("pt"), F.col("columns").alias("pc"))
-    rows = gold.join(p, gold["question_id"] == p["pid"], "left").join(known, "db_id")
-    if hardness is not None:
-        h = hardness.select(F.col("question_id").alias("hid"), F.col("hardness").alias("label"))
-        rows = rows.join(h, rows["question_id"] == h["hid"], "left")
-    else:
-        rows = rows.withColumn("label", F.lit(None).cast("string"))
-    rows = rows.select(
-        "question_id", "db_id", F.coalesce("label", F.lit("unknown")).alias("hardness"), "known_tables", "known_columns",
-        F.coalesce("tables", F.array().cast(_NAMES)).alias("gt"), F.coalesce("columns", F.array().cast(_PAIRS)).alias("gc"),
-        F.coalesce("pt", F.array().cast(_NAMES)).alias("pt"), F.coalesce("pc", F.array().cast(_PAIRS)).alias("pc"),
-    )
-    (good_t, bad_t), (good_c, bad_c) = split_hallucinated(F.col("pt"), F.col("known_tables"), X.canonical), split_hallucinated(F.col("pc"), F.col("known_columns"), _pair)
-    rows = rows.select(
-        "question_id", "db_id", "hardness", "pt", "pc", bad_t.alias("bad_t"), bad_c.alias("bad_c"),
-        X.canonical_list(good_t).alias("table_p"), X.canonical_list(F.col("gt")).alias("table_g"), X.canonical_pairs(good_c).alias("column_p"), X.canonical_pairs(F.col("gc")).alias("column_g"),
-    )
+    times = F.col("times") if "times" in flags.columns else F.lit(1)
+    predicted, gold = F.col("is_predicted") & F.col("is_known"), F.col("is_gold")
+    out = []
+    for level in schemas.LEVELS:
+        here = F.col("level") == level
+        n = lambda x: F.count_if(here & x)  # noqa: B023, E731
+        out += [n(predicted & gold).alias(f"{level}_tp"), n(predicted & ~gold).alias(f"{level}_fp"), n(gold & ~predicted).alias(f"{level}_fn"), n(predicted).alias(f"{level}_predicted_count"), n(gold).alias(f"{level}_gold_count")]
+        out.append(F.coalesce(F.sum(F.when(here & F.col("is_predicted") & ~F.col("is_known"), times)), F.lit(0)).cast("long").alias(f"{level}_hallucinated"))
+    return flags.groupBy(*by).agg(*out, F.coalesce(F.sum(F.when(F.col("is_predicted"), times)), F.lit(0)).cast("long").alias("raw"))
+
+
+def measured(counts: DataFrame, method: str = "", tier: str = "") -> DataFrame:
+    """The columns of schemas.PER_QUERY but the lists of names, from ``counted`` by question_id, db_id and hardness."""
     out = [F.col("question_id"), F.col("db_id"), F.lit(method).alias("method"), F.lit(tier).alias("tier"), F.col("hardness")]
-    for level, bad in (("table", "bad_t"), ("column", "bad_c")):
-        m = M.per_query(F.col(f"{level}_p"), F.col(f"{level}_g"))
-        m |= {"predicted_count": F.size(f"{level}_p").cast("long"), "gold_count": F.size(f"{level}_g").cast("long"), "hallucinated": F.size(bad).cast("long")}
-        out += [m[name].alias(f"{level}_{name}") for name in schemas.PER_LEVEL]
-    raw = F.size("pt") + F.size("pc")
-    out += [
-        F.when(raw == 0, 0.0).otherwise((F.size("bad_t") + F.size("bad_c")) / F.nullif(raw, F.lit(0))).alias("hallucination_rate"),
-        F.array_join("bad_t", ",").alias("hallucinated_tables_list"),
-        F.array_join(F.transform("bad_c", lambda x: F.concat_ws(".", x["t"], x["c"])), ",").alias("hallucinated_columns_list"),
-    ]
-    return rows.select(*out)
+    for level in schemas.LEVELS:
+        m = M.from_counts(*(F.col(f"{level}_{n}") for n in ("tp", "fp", "fn"))) | {"srr_hit": F.col(f"{level}_fn") == 0}
+        out += [m.get(name, F.col(f"{level}_{name}")).alias(f"{level}_{name}") for name in schemas.PER_LEVEL]
+    wrong = F.col("table_hallucinated") + F.col("column_hallucinated")
+    return counts.select(*out, F.when(F.col("raw") == 0, 0.0).otherwise(wrong / F.nullif(F.col("raw"), F.lit(0))).alias("hallucination_rate"))
+
+
+def from_flags(flags: DataFrame, method: str = "", tier: str = "") -> DataFrame:
+    """Per-query metrics of elements with question_id, db_id, hardness and the flags of ``counted``."""
+    return measured(counted(flags, "question_id", "db_id", "hardness"), method, tier)
+
+
+def lacking_schema(gold: DataFrame, known: DataFrame) -> DataFrame:
+    """db_id, questions: gold questions whose schema is not known.  ``per_query`` leaves them out; a runner reports their number."""
+    return gold.join(known, "db_id", "left_anti").groupBy("db_id").agg(F.count("*").alias("questions"))
+
+
+def per_query(gold: DataFrame, predictions: DataFrame, known: DataFrame, hardness: DataFrame | None = None, method: str = "", tier: str = "") -> DataFrame:
+    """One row per gold question whose schema is known (see ``lacking_schema``), columns as in schemas.PER_QUERY.
+
+    gold, predictions: question_id, db_id, tables, columns; known: as ``known_elements``.  A question without prediction counts as
+    an empty one; predictions without gold are left out.  Predicted elements that the schema lacks are hallucinated: they count in the
+    rate, whose denominator is the raw lists' length, and are removed before the metrics.  hardness: question_id, hardness.
+
+    Elements are rows with flags until they are counted; only the names of hallucinated ones come together in a question's row.
+    """
+    asked = gold.select("question_id", "db_id").join(known, "db_id", "left_semi")
+    label = hardness.select("question_id", F.col("hardness").alias("label")) if hardness is not None else asked.select("question_id", F.lit(None).cast("string").alias("label"))
+    asked = asked.join(label, "question_id", "left").select("question_id", "db_id", F.coalesce("label", F.lit("unknown")).alias("hardness"))
+    own = link_elements(gold).select("question_id", "level", "kt", "kc", F.lit(True).alias("is_gold"), F.lit(0).alias("times"), F.lit(None).cast("struct<pos:int,raw:string>").alias("as_written"))
+    given = link_elements(predictions).select("question_id", "level", "kt", "kc", F.lit(False).alias("is_gold"), F.lit(1).alias("times"), F.struct("pos", "raw").alias("as_written"))
+    flags = own.unionByName(given).groupBy("question_id", "level", "kt", "kc").agg(F.max("is_gold").alias("is_gold"), F.sum("times").alias("times"), F.collect_list("as_written").alias("as_written"))
+    flags = flags.withColumn("is_predicted", F.col("times") > 0).join(asked, "question_id", "right")
+    have = known_rows(known).distinct().withColumn("is_known", F.lit(True))
+    flags = flags.join(have, ["db_id", "level", "kt", "kc"], "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    flags = flags.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_gold", "is_predicted")})
+    wrong = flags.where("is_predicted and not is_known").select("question_id", "level", F.explode("as_written").alias("w"))
+    names = lambda level: F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.col("w")))), lambda w: w["raw"])
+    lists = wrong.groupBy("question_id").agg(*[F.array_join(names(level), ",").alias(f"hallucinated_{level}s_list") for level in schemas.LEVELS])
+    rows = from_flags(flags, method, tier).join(lists, "question_id", "left")
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c.endswith("_list") else F.col(c) for c in schemas.PER_QUERY])
 
 
 def unpaired(gold: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:

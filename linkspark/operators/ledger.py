@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkspark.scale import running_sum
+
 #: USD per million tokens (input, output, cache write, cache read).
 PRICES = {"claude-haiku-4-5": (1.00, 5.00, 1.25, 0.10)}
 REPORT = ("phase", "cost_usd", "calls", "avg_input_tokens", "avg_output_tokens", "cache_hit_rate")
@@ -59,9 +61,17 @@ def projected(calls: DataFrame, full_size: int) -> DataFrame:
 
 
 def running(calls: DataFrame, cap: float, *order: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds prior_usd and cap_state: blocked (prior total at the cap), exceeded (the call passes it, and is logged), or ok."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = calls.withColumn("prior_usd", F.coalesce(F.sum("cost_usd").over(w), F.lit(0.0)))
+    """Adds prior_usd and cap_state: blocked (prior total at the cap), exceeded (the call passes it, and is logged), or ok.
+
+    Without ``by`` one total runs over all calls, as a prefix scan (``order`` should tell calls apart); with it, one in each group.
+    Costs have six digits, so sums are exact.
+    """
+    cost = F.col("cost_usd").cast("decimal(18,6)")
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = calls.withColumn("prior_usd", F.coalesce(F.sum(cost).over(w), F.lit(0)).cast("double"))
+    else:
+        rows = running_sum(calls, cost, *(F.col(c) for c in order), name="prior_usd").withColumn("prior_usd", F.col("prior_usd").cast("double"))
     return rows.withColumn("cap_state", F.when(F.col("prior_usd") >= cap, "blocked").when(F.col("prior_usd") + F.col("cost_usd") > cap, "exceeded").otherwise("ok"))
 
 

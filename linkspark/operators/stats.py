@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from linkspark import schemas
 
@@ -27,25 +25,56 @@ def statistic(b: Column, c: Column) -> Column:
     return F.when(n < ASYMPTOTIC_FROM, F.least(b, c).cast("double")).otherwise((F.abs(b - c) - 1) * (F.abs(b - c) - 1) / n)
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series at x + 10, less the logarithms of the ten factors."""
+    y = x.cast("double") + 10
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
+    shift = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda s, i: s + F.log(x + i))
+    return (y - 0.5) * F.log(y) - y + math.log(2 * math.pi) / 2 + series - shift
+
+
 def exact_p(b: Column, c: Column) -> Column:
-    """Two-sided binomial p at 1/2, as an expression: twice the lower tail, 1 at most."""
-    n, k = b + c, F.least(b, c)
-    choose = lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(1.0), lambda s, j: F.when(j <= i, s * (n - i + j) / j).otherwise(s))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + choose(i))
-    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
+    """Two-sided binomial p at 1/2: twice the lower tail, 1 at most; for counts of any size.
+
+    The tail's greatest term is taken in logarithms.  The others follow by ratios below 1, whose product falls below any double's
+    precision within seven deviations, so the sum ends there.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    log_last = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * math.log(2)
+    terms = F.least(k, F.ceil(7 * F.sqrt(n)) + 1).cast("int")
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * F.greatest(k - i, F.lit(0.0)) / (n - k + 1 + i)
+        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+
+    series = F.aggregate(F.sequence(F.lit(0), terms), start, step, lambda acc: acc["sum"])
+    return F.least(F.lit(1.0), 2 * F.exp(log_last) * series)
+
+
+def erfc(z: Column) -> Column:
+    """1 - erf(z) for z >= 0: below 2 by erf's series of positive terms, above by a continued fraction from its end."""
+    square = F.exp(-z * z)
+    start = F.struct(z.alias("sum"), z.alias("term"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * 2 * z * z / (2 * i + 1)
+        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+
+    low = 1 - 2 / math.sqrt(math.pi) * square * F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda acc: acc["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(100), F.lit(1)), z, lambda t, i: z + i / 2 / t)
+    return F.when(z < 2, low).otherwise(square / (math.sqrt(math.pi) * fraction))
 
 
-@F.pandas_udf(DoubleType())
-def asymptotic_p(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom; neither engine has erfc, and there is a row per comparison only."""
-    return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v is not None and v == v else None).astype("float64")
+def asymptotic_p(x: Column) -> Column:
+    """Upper tail of chi-square with one degree of freedom."""
+    return erfc(F.sqrt(x / 2))
 
 
 def with_mcnemar(counts: DataFrame) -> DataFrame:
     b, c = F.col("n_a_only"), F.col("n_b_only")
-    few = counts.where(b + c < ASYMPTOTIC_FROM).withColumn("statistic", statistic(b, c)).withColumn("p_value", exact_p(b, c))
-    many = counts.where(b + c >= ASYMPTOTIC_FROM).withColumn("statistic", statistic(b, c)).withColumn("p_value", asymptotic_p("statistic"))
-    return few.unionByName(many)
+    rows = counts.withColumn("statistic", statistic(b, c))
+    return rows.withColumn("p_value", F.when(b + c < ASYMPTOTIC_FROM, exact_p(b, c)).otherwise(asymptotic_p(F.col("statistic"))))
 
 
 def compare(rows: DataFrame, method_a: str, method_b: str) -> DataFrame:

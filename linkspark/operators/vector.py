@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +70,87 @@ def similarity(questions: DataFrame, elements: DataFrame) -> DataFrame:
     return q.join(e, q["db_id"] == e["edb"]).select("question_id", "db_id", "level", "ord", "t", "c", dot(F.col("q_vec"), F.col("e_vec")).alias("score"))
 
 
-def dealt(questions: DataFrame, elements: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides for ``similarity`` where every question meets every element: db_id becomes a block of the elements' ids (ord).
+#: Rows of a block, on average: a task multiplies one block of questions with one of elements.
+BLOCK_ROWS = 2048
 
-    A question goes to all blocks, an element to one, so no block holds more than its share of the elements.
+
+def in_blocks(questions: DataFrame, elements: DataFrame, step: Callable[[np.ndarray, pa.Table, pa.Table], dict[str, object]], schema: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``step`` of every block of questions with every block of elements.
+
+    Both sides carry vec and any other columns; step(scores, questions, elements) gets the products of two blocks as one matrix.
+    Blocks are dealt by hash, as many as the counts ask for, so a task has some ``rows`` of either side whatever the tables' sizes.
+    """
+    sides = []
+    for df in (questions, elements):
+        n = max(1, -(-df.count() // rows))
+        own = F.pmod(F.xxhash64(*[c for c in df.columns if c != "vec"]), F.lit(n)).cast("int")
+        sides.append((df, own, n))
+    (q, q_block, q_blocks), (e, e_block, e_blocks) = sides
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # columns of their own: both sides may be read from one table, whose columns would count as one when unused ones are pruned
+    own = lambda df: [F.col(c).alias(c) for c in df.columns]
+    q = q.select(*own(q), q_block.alias("__q"), every(e_blocks).alias("__e"))
+    e = e.select(*own(e), e_block.alias("__e"), every(q_blocks).alias("__q"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        vectors = table.column("vec").combine_chunks()
+        return vectors.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = pa.schema([(n, t) for n, t in zip(arrow.names, arrow.types, strict=True)])
+        if not left.num_rows or not right.num_rows:
+            return names.empty_table()
+        return pa.table(step(matrix(left) @ matrix(right).T, left, right), schema=names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return q.groupBy("__q", "__e").cogroup(e.groupBy("__q", "__e")).applyInArrow(run, schema)
+
+
+def best_products(questions: DataFrame, elements: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """question_id, ord, score: the k elements of the greatest products with each question, ties by ord; its own ord is left out.
+
+    questions: question_id, vec; elements: ord, vec.  A block gives the k best of each of its questions, so k rows a block are
+    dealt for a question, never a row a pair.
+    """
+
+    def step(scores: np.ndarray, q: pa.Table, e: pa.Table) -> dict[str, object]:
+        ids, ords = q.column("question_id").to_numpy(), e.column("ord").to_numpy()
+        order = np.argsort(ords, kind="stable")
+        scores, ords = np.where(ids[:, None] == ords[None, order], -np.inf, scores[:, order]), ords[order]
+        # a score that the k-th best has may occur beyond it: stable sorting keeps the least ords first
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        kept = np.take_along_axis(scores, best, 1)
+        row, column = np.nonzero(kept > -np.inf)
+        return {"question_id": ids[row], "ord": ords[best[row, column]], "score": kept[row, column]}
+
+    found = in_blocks(questions.select("question_id", "vec"), elements.select("ord", "vec"), step, "question_id long, ord long, score double", rows)
+    return ranked(found, "question_id").where(F.col("rank") <= k)
+
+
+def product_sums(questions: DataFrame, elements: DataFrame, low: float, high: float, bins: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """is_gold, bin, n, total, square: counts and sums of the products of all pairs, by whether their labels agree and by bin.
+
+    questions: question_id, vec, label; elements: ord, vec, label.  Bins are 1 to ``bins`` over [low, high], the last with its right
+    end; 0 and bins + 1 are below and above.  A question's own ord is left out.  A block gives a row a bin.
     """
-    everywhere = questions.withColumn("db_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return everywhere, elements.withColumn("db_id", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
+
+    def step(scores: np.ndarray, q: pa.Table, e: pa.Table) -> dict[str, object]:
+        gold = q.column("label").to_numpy()[:, None] == e.column("label").to_numpy()[None, :]
+        other = q.column("question_id").to_numpy()[:, None] != e.column("ord").to_numpy()[None, :]
+        place = np.floor((scores - low) / (high - low) * bins).astype(np.int64) + 1
+        place = np.where(scores == high, bins, np.clip(place, 0, bins + 1))
+        cell = (gold * (bins + 2) + place)[other]
+        flat = scores[other]
+        sums = [np.bincount(cell, w, 2 * (bins + 2)) for w in (None, flat, flat * flat)]
+        used = np.flatnonzero(sums[0])
+        return {"is_gold": used >= bins + 2, "bin": (used % (bins + 2)).astype(np.int32), "n": sums[0][used].astype(np.int64), "total": sums[1][used], "square": sums[2][used]}
+
+    kept = lambda df, name: df.select(name, "label", "vec")
+    found = in_blocks(kept(questions, "question_id"), kept(elements, "ord"), step, "is_gold boolean, bin int, n long, total double, square double", rows)
+    return found.groupBy("is_gold", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "total", "square")])
 
 
 def ranked(scores: DataFrame, *by: str) -> DataFrame:

@@ -15,8 +15,16 @@ def needed(rule: str, k: int) -> int:
 
 
 def tally(samples: DataFrame, *element: str) -> DataFrame:
-    """Votes and first place of each element.  samples: question_id, sample_idx, pos and the element's columns; an element counts once a sample."""
-    return samples.groupBy("question_id", *element).agg(F.countDistinct("sample_idx").cast("long").alias("votes"), F.min(F.struct("sample_idx", "pos")).alias("first"))
+    """votes, first and bits of each element.  samples: question_id, sample_idx, pos and the element's columns.
+
+    The samples that have an element are a set of bits (words of 64), united by or, so an element counts once a sample and its rows are
+    merged before they are dealt.  votes: the number of bits; first: the lowest one's sample, and the element's first place there.
+    """
+    word = F.expr("cast(sample_idx div 64 as int)")
+    bit = F.expr("shiftleft(1L, cast(sample_idx % 64 as int))")
+    words = samples.groupBy("question_id", *element, word.alias("word")).agg(F.bit_or(bit).alias("bits"), F.min(F.struct("sample_idx", "pos")).alias("first"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])
+    return words.groupBy("question_id", *element).agg(F.sum(F.bit_count("bits")).alias("votes"), F.min("first").alias("first"), lists.alias("bits"))
 
 
 def vote(samples: DataFrame, k: int, rule: str, *element: str) -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from linkspark.functions import metrics as M
 from linkspark.functions import text as X
-from linkspark.operators import analytics, evaluation, graph, ledger, lexical, sqlrefs, stats, tuning, vector, votes
-from linkspark.operators import difficulty as hardness_of
-from linkspark.operators import linkers, prompts, providers
-from linkspark.plans import star
+from linkspark.operators import analytics, evaluation, ledger, lexical, prompts, stats, tuning, vector, votes
+from linkspark.plans.inputs import calls, lexical_inputs, table
+from linkspark.scale import short
 from linkspark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _r(c: str, digits: int = 6):
     return F.round(F.col(c).cast("double"), digits).alias(c)
 
@@ -80,21 +75,15 @@ _EVAL_LONG = _EVAL + """, long as (
 
 
 def _eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    group = F.concat_ws("/", "lang", "source")
-    d = docs.select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
-    mean = d.groupBy("lang", "source").agg(F.avg("n_chars").alias("mean"))
-    d = d.join(mean, ["lang", "source"]).select(group.alias("question_id"), F.lit("docs").alias("db_id"), F.col("doc_id").cast("string").alias("id"), "lang", "quality", "toxic", "n_chars", "mean")
-    pair = F.struct(F.col("lang").alias("t"), F.col("id").alias("c"))
-    gather = lambda t, c: d.groupBy("question_id", "db_id").agg(F.collect_list(F.when(t, F.col("id"))).alias("tables"), F.collect_list(F.when(c, pair)).alias("columns"))
-    gold = gather(F.col("quality") == 1, (F.col("quality") == 1) & (F.col("toxic") == 0))
-    predicted = gather(F.col("n_chars") > F.col("mean"), F.col("n_chars") < F.col("mean"))
-    known = d.where("quality is not null").groupBy("question_id").agg(F.collect_list("id").alias("known_tables"), F.collect_list(pair).alias("known_columns"))
-    # each group is a schema of its own, so no row carries the whole catalog
-    of = lambda x: x.withColumn("db_id", F.col("question_id"))
-    schema = gold.select("question_id").join(known, "question_id", "left").select(F.col("question_id").alias("db_id"), F.coalesce("known_tables", F.array().cast("array<string>")).alias("known_tables"), F.coalesce("known_columns", F.array().cast("array<struct<t:string,c:string>>")).alias("known_columns"))
-    hard = d.groupBy("question_id").agg(F.first("lang").alias("hardness"))
-    return evaluation.per_query(of(gold), of(predicted), schema, hard, "chars", "tier1").withColumn("db_id", F.lit("docs"))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), table(spark, sf_dir, "labels")
+    mean = docs.groupBy("lang", "source").agg(F.avg("n_chars").alias("mean"))  # a row a question
+    d = docs.join(short(mean), ["lang", "source"]).join(labels, "doc_id", "left")
+    good, kind = F.coalesce(F.col("quality") == 1, F.lit(False)), "level string, is_gold boolean, is_predicted boolean"
+    flags = F.array(
+        F.struct(F.lit("table"), good, F.col("n_chars") > F.col("mean")), F.struct(F.lit("column"), good & F.coalesce(F.col("toxic") == 0, F.lit(False)), F.col("n_chars") < F.col("mean")),
+    ).cast(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
+    rows = d.select(F.concat_ws("/", "lang", "source").alias("question_id"), F.lit("docs").alias("db_id"), F.col("lang").alias("hardness"), F.col("quality").isNotNull().alias("is_known"), F.inline(flags))
+    return evaluation.from_flags(rows, "chars", "tier1")
 
 
 @query(_EVAL + " select question_id, db_id, method, tier, hardness, " + ", ".join(f"{lv}_{n}" if n in ("tp", "fp", "fn", "srr_hit", "predicted_count", "gold_count", "hallucinated") else f"round({lv}_{n}, 6) as {lv}_{n}" for lv in ("table", "column") for n in ("tp", "fp", "fn", "precision", "recall", "f1", "srr_hit", "predicted_count", "gold_count", "hallucinated")) + ", round(hallucination_rate, 6) as hallucination_rate from per_query")
@@ -132,7 +121,7 @@ def worst_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select lang, source, count(*) filter (where l.doc_id is not null) as known, count(*) filter (where l.doc_id is null) as hallucinated, count(*) filter (where l.doc_id is null)::double / count(*) as rate from documents d left join labels l on d.doc_id = l.doc_id group by lang, source")
 def hallucination_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), _t(spark, sf_dir, "labels").select("doc_id")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels").select("doc_id")
     n = lambda rows, name: rows.groupBy("lang", "source").agg(F.count("*").alias(name))
     good, bad = n(docs.join(labels, "doc_id", "left_semi"), "known"), n(docs.join(labels, "doc_id", "left_anti"), "hallucinated")
     both = good.join(bad, ["lang", "source"], "full_outer").na.fill(0)
@@ -154,7 +143,7 @@ _PAIRS = "with p as (select d.lang, l.quality = 1 as a, l.toxic = 0 as b from do
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = _t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels")
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
     return d.join(labels, "doc_id").select("doc_id", "lang", (F.col("quality") == 1).alias("hit_a"), (F.col("toxic") == 0).alias("hit_b"))
 
 
@@ -163,15 +152,6 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.with_mcnemar(stats.discordant(_pairs(spark, sf_dir), "lang")).drop("p_value")
 
 
-_PAIR_ROWS = [(b, c) for b, c in ((5, 1), (6, 2), (17, 0), (0, 0), (12, 12), (10, 3), (1, 1), (2, 20))]
-
-
-@query(f"with v as (select * from {star.values(_PAIR_ROWS, 'b', 'c')}), t as (select b, c, (select coalesce(sum(factorial((b + c)::int)::double / factorial(i::int)::double / factorial((b + c - i)::int)::double), 0) from range(0, least(b, c) + 1) r(i)) as tail from v) select b::bigint as b, c::bigint as c, round(least(1.0::double, 2 * tail / pow(2, b + c)), 9) as p from t")
-def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_PAIR_ROWS, "b bigint, c bigint")
-    return rows.select("b", "c", F.round(stats.exact_p(F.col("b"), F.col("c")), 9).alias("p"))
-
-
 @query(_PAIRS + " select lang, n_a_only > n_b_only as a_leads, case when (n_a_only + n_b_only) >= 25 and pow(abs(n_a_only - n_b_only) - 1, 2) / (n_a_only + n_b_only) > 3.841458820694124 then case when n_a_only > n_b_only then 'quality' else 'toxic' end else 'no difference' end as verdict from c where n_a_only + n_b_only >= 25")
 def mcnemar_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.with_mcnemar(stats.discordant(_pairs(spark, sf_dir), "lang")).where("n_a_only + n_b_only >= 25")
@@ -195,23 +175,26 @@ with s as (
   select q.vec_id as question_id, e.vec_id as ord, q.label = e.label as is_gold, list_inner_product(q.embedding::double[], e.embedding::double[]) as score
   from embeddings q join embeddings e on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id
 ), r as (select *, row_number() over (partition by question_id order by score desc, ord) as rank from s)"""
-_BLOCKS = 64
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 20 = 0")
-    q = asked.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vec"))
-    label = F.col("label").cast("string")
-    x = e.select(F.lit("table").alias("level"), F.col("vec_id").alias("ord"), label.alias("t"), F.lit(None).cast("string").alias("c"), F.col("embedding").alias("vec"))
-    own = asked.select(F.col("vec_id").alias("question_id"), label.alias("own"))
-    scores = vector.similarity(*vector.dealt(q, x, _BLOCKS)).where("ord <> question_id")
-    return scores.join(own, "question_id").withColumn("is_gold", F.col("t") == F.col("own"))
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions (question_id, label, vec) and elements (ord, label, vec)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    return e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "question_id"), e.withColumnRenamed("vec_id", "ord")
+
+
+def _best(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k best elements of each question (with is_gold), and how many gold ones there are, itself left out."""
+    q, e = _vectors(spark, sf_dir)
+    own, other = q.select("question_id", F.col("label").alias("own")), e.select("ord", "label")
+    best = vector.best_products(q, e, k).join(own, "question_id").join(other, "ord").withColumn("is_gold", F.col("label") == F.col("own")).withColumn("level", F.lit("table"))
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    return best, q.select("question_id", "label").join(sizes, "label").select("question_id", F.lit("table").alias("level"), "n_gold")
 
 
 @query(_SCORES + " select question_id, ord, rank, round(score, 5) as score from r where rank <= 5 and score >= 0.1")
 def topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vector.top_k(_scores(spark, sf_dir), {"table": 5}, {"table": 0.1})
+    rows = vector.best_products(*_vectors(spark, sf_dir), 5).where("score >= 0.1")
     return rows.select("question_id", "ord", F.col("rank").cast("long").alias("rank"), _r("score", 5))
 
 
@@ -222,39 +205,32 @@ c as (select e.question_id, k, threshold, n_gold, count(r.ord) filter (where is_
 m as (select k, threshold, avg(case when tp + fp = 0 then 1 else tp::double / (tp + fp) end) as p, avg(case when n_gold = 0 then 1 else tp::double / n_gold end) as r, avg(case when fp + n_gold = 0 then 1 else 2.0::double * tp / (tp + fp + n_gold) end) as f from c group by k, threshold)"""
 
 
-def _grid_gold(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("question_id", "level").agg(F.count_if("is_gold").alias("n_gold"))
-
-
 @query(_GRID + " select k, threshold, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1 from m")
 def grid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir)
-    return tuning.level_grid(s, _grid_gold(s), "table", _K, _THR).select("k", "threshold", _r("precision"), _r("recall"), _r("f1"))
+    return tuning.level_grid(*_best(spark, sf_dir, max(_K)), "table", _K, _THR).select("k", "threshold", _r("precision"), _r("recall"), _r("f1"))
 
 
 @query(_GRID + " select a.k as table_top_k, a.threshold as table_threshold, b.k as column_top_k, b.threshold as column_threshold, round((a.f + b.f) / 2, 6) as mean_f1, round((a.r + b.r) / 2, 6) as mean_recall from m a cross join m b")
 def grid_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir)
-    both = s.unionByName(s.withColumn("level", F.lit("column")))
-    rows = tuning.grid(both, _grid_gold(both), {"table": _K, "column": _K}, _THR)
+    both = [x.unionByName(x.withColumn("level", F.lit("column"))) for x in _best(spark, sf_dir, max(_K))]
+    rows = tuning.grid(*both, {"table": _K, "column": _K}, _THR)
     return rows.select("table_top_k", "table_threshold", "column_top_k", "column_threshold", _r("mean_f1"), _r("mean_recall"))
 
 
 @query(_GRID + " select k as table_top_k, round(max(case when threshold = 0.0 then f end), 6) as thr_0, round(max(case when threshold = 0.1 then f end), 6) as thr_10, round(max(case when threshold = 0.2 then f end), 6) as thr_20, round(max(case when threshold = 0.3 then f end), 6) as thr_30 from m group by k")
 def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir)
-    rows = tuning.level_grid(s, _grid_gold(s), "table", _K, _THR).select(F.col("k").alias("table_top_k"), F.format_string("thr_%d", F.round(F.col("threshold") * 100).cast("int")).alias("column"), _r("f1"))
+    rows = tuning.level_grid(*_best(spark, sf_dir, max(_K)), "table", _K, _THR).select(F.col("k").alias("table_top_k"), F.format_string("thr_%d", F.round(F.col("threshold") * 100).cast("int")).alias("column"), _r("f1"))
     return tuning.heat_map(rows, "table_top_k", "column", "f1", [f"thr_{round(100 * x)}" for x in _THR])
 
 
 @query(_SCORES + " select round(avg(score) filter (where is_gold), 6) as tp_mean, round(stddev_pop(score) filter (where is_gold), 6) as tp_std, round(avg(score) filter (where not is_gold), 6) as fp_mean, round(stddev_pop(score) filter (where not is_gold), 6) as fp_std, round(avg(score) filter (where is_gold) - avg(score) filter (where not is_gold), 6) as gap, case when avg(score) filter (where is_gold) - avg(score) filter (where not is_gold) >= 0.2 then 'well separated' when avg(score) filter (where is_gold) - avg(score) filter (where not is_gold) >= 0.1 then 'partly separated' else 'overlapping' end as verdict from s")
 def tp_fp_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.rounded(analytics.calibration(_scores(spark, sf_dir)))
+    return sinks.rounded(analytics.calibration_of_sums(vector.product_sums(*_vectors(spark, sf_dir), 0.0, 1.0, 40)))
 
 
 @query(_SCORES + " select is_gold, least(40, cast(floor(score * 40) as int) + 1) as bin, count(*) as n from s where score between 0 and 1 group by all")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.histogram(_scores(spark, sf_dir), "score", 0.0, 1.0, 40, "is_gold")
+    return vector.product_sums(*_vectors(spark, sf_dir), 0.0, 1.0, 40).where("bin between 1 and 40").select("is_gold", "bin", "n")
 
 
 # ---- lexical: questions are written around a part's name, elements are all names and types of parts
@@ -277,16 +253,8 @@ _LEX_SCORED = _LEX + """, ratios as (
 )"""
 
 
-def _lex_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = _t(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.expr("left(p_name, length(p_name) - 1)")).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit(" and ")))
-    questions = part.select(F.col("p_partkey").alias("question_id"), F.lit("part").alias("db_id"), F.concat(F.lit("Which "), name, F.lit(" by "), "p_brand", F.lit(" is cheapest?")).alias("question"))
-    element = lambda level, column: part.select(F.lit("part").alias("db_id"), F.lit(level).alias("level"), F.lit(0).alias("ord"), F.col(column).alias("t"), (F.lit(None).cast("string") if level == "table" else F.col(column)).alias("c"), F.col(column).alias("name")).distinct()
-    return questions, element("table", "p_name").unionByName(element("column", "p_type"))
-
-
 def _lex(spark: SparkSession, sf_dir: str, fuzzy: str = "levenshtein", least: float = 80) -> DataFrame:
-    return lexical.scores(*_lex_inputs(spark, sf_dir), fuzzy, least)
+    return lexical.scores(*lexical_inputs(spark, sf_dir), fuzzy, least)
 
 
 @query(_LEX + " select question_id, level, name from pairs where strategy = 'substring'")
@@ -314,7 +282,7 @@ c as (select g.question_id, lv.level, fuzzy_threshold, count(s.name) filter (whe
   from gold g cross join t cross join (select unnest(['table', 'column']) as level) lv left join scored s on s.question_id = g.question_id and s.level = lv.level and (s.strategy <> 'fuzzy' or s.score >= fuzzy_threshold) group by all)
 select fuzzy_threshold, round(avg(case when level = 'table' then 2.0::double * tp / (tp + fp + 1) end), 6) as table_f1, round(avg(case when level = 'column' then 2.0::double * tp / (tp + fp + 1) end), 6) as column_f1 from c group by fuzzy_threshold""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), "p_name", "p_type")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gid"), "p_name", "p_type")
     s = _lex(spark, sf_dir, least=min(tuning.FUZZY))
     s = s.join(part, s["question_id"] == part["gid"]).withColumn("is_gold", F.col("t") == F.when(F.col("level") == "table", F.col("p_name")).otherwise(F.col("p_type")))
     gold = part.select(F.col("gid").alias("question_id"), F.explode(F.array(F.lit("table"), F.lit("column"))).alias("level"), F.lit(1).alias("n_gold"))
@@ -325,7 +293,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("question_id"), (F.col("event_id") % 3).cast("int").alias("sample_idx"), F.col("event_id").alias("pos"), F.col("event_type").alias("t"))
 
 
@@ -347,270 +315,55 @@ for _rule in votes.RULES:
 
 @query("with f as (select user_id, list_sort(list(distinct event_type)) as x from events where event_id % 2 = 1 and user_id % 3 <> 0 group by user_id), b as (select user_id, list_sort(list(distinct event_type)) as y from events where event_id % 2 = 0 and user_id % 3 <> 1 group by user_id) select coalesce(f.user_id, b.user_id) as question_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(x, []), coalesce(y, [])))), ',') as tables, len(list_intersect(coalesce(x, []), coalesce(y, []))) as tables_both, len(coalesce(x, [])) - len(list_intersect(coalesce(x, []), coalesce(y, []))) as tables_forward_only, len(coalesce(y, [])) - len(list_intersect(coalesce(x, []), coalesce(y, []))) as tables_backward_only from f full join b on f.user_id = b.user_id")
 def bidirectional_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     side = lambda rest, gap: e.where((F.col("event_id") % 2 == rest) & (F.col("user_id") % 3 != gap)).groupBy(F.col("user_id").alias("question_id")).agg(F.lit("events").alias("db_id"), F.collect_set("event_type").alias("tables"), F.array().cast("array<struct<t:string,c:string>>").alias("columns"))
     return votes.union(side(1, 0), side(0, 1)).select("question_id", F.array_join("tables", ",").alias("tables"), "tables_both", "tables_forward_only", "tables_backward_only")
 
 
 @query("select count(*) as n, round(avg(b), 6) as tables_both_mean, sum(f)::bigint as tables_forward_only_total from (select user_id, len(list_intersect(x, y)) as b, len(x) - len(list_intersect(x, y)) as f from (select user_id, coalesce(list(distinct event_type) filter (where event_id % 2 = 1), []) as x, coalesce(list(distinct event_type) filter (where event_id % 2 = 0), []) as y from events group by user_id))")
 def contribution_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     side = lambda rest: e.where(F.col("event_id") % 2 == rest).groupBy(F.col("user_id").alias("question_id")).agg(F.lit("events").alias("db_id"), F.collect_set("event_type").alias("tables"), F.array().cast("array<struct<t:string,c:string>>").alias("columns"))
     u = votes.union(side(1), side(0))
     return analytics.contributions(u).crossJoin(u.agg(F.count("*").alias("n"))).select("n", _r("tables_both_mean"), "tables_forward_only_total")
 
 
-# ---- graph: the star schema's foreign keys
-
-_WALK = f"""
-with recursive e as (select distinct x, y from (select a as x, b as y from {star.values(star.edge_rows(), 'a', 'b')} union all select b, a from {star.values(star.edge_rows(), 'a', 'b')})),
-n as (select name from {star.values([(t,) for t in star.TABLES], 'name')}),
-walk as (select name as s, name as t, [name] as path from n union all select w.s, e.y, list_append(w.path, e.y) from walk w join e on w.t = e.x where not list_contains(w.path, e.y)),
-best as (select s, t, path, row_number() over (partition by s, t order by len(path), path) as k from walk),
-paths as (select s, t, path from best where k = 1)"""
-
-
-def _routes(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = star.catalog(spark)
-    links, nodes = graph.edges(c.columns, c.keys), star.nodes(spark)
-    return nodes, links, graph.paths(nodes, links)
-
-
-@query(f"select a, b, count(*) as n_keys from {star.values(star.edge_rows(), 'a', 'b')} group by a, b")
-def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = star.catalog(spark)
-    return graph.edges(c.columns, c.keys).select("a", "b", F.size("fk_columns").cast("long").alias("n_keys"))
-
-
-@query(_WALK + " select s, t, array_to_string(path, '>') as path from paths")
-def fk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _routes(spark)[2].select("s", "t", F.array_join("path", ">").alias("path"))
-
-
-@query(_WALK + " select s, t, array_to_string(path, '>') as path from paths")
-def fk_paths_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star.nodes(spark).createOrReplaceTempView("ls_nodes")
-    c = star.catalog(spark)
-    graph.edges(c.columns, c.keys).createOrReplaceTempView("ls_links")
-    return graph.paths_sql(spark, "ls_nodes", "ls_links").select("s", "t", F.array_join("path", ">").alias("path"))
-
-
-@query(_WALK + " select len(path) - 2 as bridges, count(*) as pairs from paths where s < t group by all")
-def bridge_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, routes = _routes(spark)
-    return graph.bridge_histogram(nodes, routes)
-
-
-@query("select 'star' as db_id, 7 as n_nodes, 7 as n_edges, round(14.0::double / 42, 6) as density, 1 as components, 7 as largest, 1.0::double as largest_share, 0 as isolated")
-def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.rounded(graph.stats(*_routes(spark)))
-
-
-_ENDS = [(0, ["region", "orders"]), (1, ["part", "customer", "region"]), (2, ["supplier"]), (3, ["region", "part", "orders"]), (4, ["customer", "supplier", "part"])]
-
-
-def _ends(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, star.DB, e) for i, e in _ENDS], "question_id bigint, db_id string, ends array<string>")
-
-
-_STEINER = _WALK + ", q as (select * from " + star.values([(i, *(e + [None] * 3)[:3]) for i, e in _ENDS], "question_id", "e1", "e2", "e3") + """),
-two as (select q.*, p.path as tree from q join paths p on p.s = e1 and p.t = coalesce(e2, e1)),
-three as (select two.*, p.path as extra, row_number() over (partition by question_id order by len(p.path), p.s, p.path) as k from two left join paths p on p.t = e3 and list_contains(tree, p.s))
-select question_id::bigint as question_id, array_to_string(case when e3 is null then tree else list_sort(list_distinct(list_concat(tree, extra))) end, ',') as tables from three where k = 1"""
-
-
-@query(_STEINER)
-def steiner_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connect(_ends(spark), _routes(spark)[2]).select("question_id", F.array_join("tables", ",").alias("tables"))
-
-
-_TIERS = [(0, ["region", "orders"], ["region", "nation", "customer", "orders"]), (1, ["part", "customer"], ["part", "customer", "orders"]), (2, ["supplier", "nation"], ["supplier", "nation"]), (3, ["region"], ["region", "part", "orders"]), (4, ["customer", "supplier", "part", "nation"], ["customer", "supplier", "part", "nation"])]
-_LISTS = ", ".join(f"({i}, {e!r}, {a!r}, {b!r})" for (i, e), (_, a, b) in zip(_ENDS, _TIERS, strict=True))
-
-
-def _endpoint_rows(spark: SparkSession) -> DataFrame:
-    paths = graph.connect(_ends(spark), _routes(spark)[2]).select("question_id", F.col("tables").alias("path"))
-    tiers = spark.createDataFrame(_TIERS, "question_id bigint, tier1 array<string>, tier2 array<string>")
-    return _ends(spark).select("question_id", F.col("ends").alias("endpoints")).join(paths, "question_id").join(tiers, "question_id")
-
-
-@query(f"select count(*) as n, avg((list_has_all(gold, e))::int) as subset_share, avg((list_has_all(gold, e) and list_has_all(e, gold))::int) as equal_share from (values {_LISTS}) v(id, e, t1, gold)")
-def endpoint_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.endpoint_quality(_endpoint_rows(spark).withColumnRenamed("tier2", "gold"))
-
-
-@query("with p as (" + _STEINER + f"), v as (select * from (values {_LISTS}) v(question_id, e, t1, t2)) select p.question_id, list_has_all(t2, e) and len(list_filter(string_split(tables, ','), lambda x: not list_contains(e, x) and not list_contains(t2, x))) > 0 as pathology, list_has_all(t1, e) and not list_has_all(e, t1) and len(list_filter(string_split(tables, ','), lambda x: not list_contains(e, x) and list_contains(t2, x))) > 0 as rescue from p join v on p.question_id = v.question_id")
-def pathology_and_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.pathology_and_rescue(_endpoint_rows(spark)).select("question_id", "pathology", "rescue")
-
-
-# ---- SQL references of the star questions; the expected rows are written out
-
-
-def _refs(spark: SparkSession, strict: bool = False) -> DataFrame:
-    c = star.catalog(spark)
-    return sqlrefs.analyse(star.questions(spark), sqlrefs.catalogs(c.columns, c.tables), strict)
-
-
-_REFS = [
-    (0, "nation,region", "nation.n_name,nation.n_regionkey,region.r_name,region.r_regionkey", "nation,region", "nation.n_name,region.r_name"),
-    (1, "customer", "", "customer", ""),
-    (2, "part", "part.p_size", "part", "part.p_size"),
-    (3, "orders", "orders.o_orderpriority,orders.o_totalprice", "orders", "orders.o_orderpriority,orders.o_totalprice"),
-    (4, "customer,orders", "customer.c_custkey,customer.c_name,orders.o_custkey", "customer,orders", "customer.c_custkey,customer.c_name,orders.o_custkey"),
-    (5, "customer,supplier", "customer.c_name,supplier.s_name", "customer,supplier", "customer.c_name,supplier.s_name"),
-    (6, "customer,lineitem,nation,orders", "customer.c_custkey,customer.c_nationkey,lineitem.l_extendedprice,lineitem.l_orderkey,nation.n_name,nation.n_nationkey,orders.o_custkey,orders.o_orderkey", "lineitem,nation", "lineitem.l_extendedprice,lineitem.l_orderkey,nation.n_name"),
-    (8, "lineitem,part,supplier", "lineitem.l_partkey,lineitem.l_suppkey,part.p_brand,part.p_partkey,supplier.s_nationkey,supplier.s_suppkey", "part,supplier", "part.p_brand,supplier.s_nationkey"),
-    (9, "part", "part.p_color,part.p_name", "part", "part.p_color,part.p_name"),
-]
-_REFS_SQL = "select question_id::bigint as question_id, {} from " + star.values(_REFS, "question_id", "t2", "c2", "t1", "c1")
-
-
-def _flat(links: DataFrame) -> DataFrame:
-    return links.select("question_id", F.array_join("tables", ",").alias("tables"), F.array_join(F.transform("columns", lambda p: F.concat_ws(".", p["t"], p["c"])), ",").alias("columns"))
-
-
-@query(_REFS_SQL.format("t2 as tables, c2 as columns"))
-def sql_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(sqlrefs.tier2(_refs(spark)))
-
-
-@query(_REFS_SQL.format("t1 as tables, c1 as columns"))
-def sql_tier1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(sqlrefs.tier1(_refs(spark)))
-
-
-@query(_REFS_SQL.format("len(string_split(t2, ',')) - len(string_split(t1, ',')) as join_complexity"))
-def tier_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = _refs(spark)
-    return analytics.tier_gap(sqlrefs.tier1(refs), sqlrefs.tier2(refs)).select("question_id", "join_complexity")
-
-
-@query("select 'parse_error' as kind, 1 as n union all select 'unknown_column', 1 union all select 'unresolved_alias', 1")
-def issue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.issue_counts(_refs(spark))
-
-
-@query("select 'SELECT' as role, 11 as n union all select 'WHERE', 3 union all select 'JOIN_ON', 11 union all select 'multiple', 3")
-def clause_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqlrefs.clause_roles(_refs(spark)).groupBy("role").agg(F.count("*").alias("n"))
-
-
-@query("select 7 as question_id, 'ExtractionError' as error_type")
-def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqlrefs.errors(_refs(spark)).select("question_id", "error_type")
-
-
-_TRIPLES = [(a, n, x) for a in range(5) for n in range(3) for x in range(5)]
-
-
-@query("select clauses::bigint as clauses, nested::bigint as nested, extras::bigint as extras, case when clauses <= 1 and extras = 0 and nested = 0 then 'easy' when (extras <= 2 and clauses <= 1 and nested = 0) or (clauses <= 2 and extras < 2 and nested = 0) then 'medium' when (extras > 2 and clauses <= 2 and nested = 0) or (clauses > 2 and clauses <= 3 and extras <= 2 and nested = 0) or (clauses <= 1 and extras = 0 and nested <= 1) then 'hard' else 'extra' end as hardness from " + star.values(_TRIPLES, "clauses", "nested", "extras"))
-def hardness_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_TRIPLES, "clauses bigint, nested bigint, extras bigint")
-    return rows.withColumn("hardness", hardness_of.label(F.col("clauses"), F.col("nested"), F.col("extras")))
-
-
 # ---- prompts and model answers
 
 
-@query("select 'star' as db_id, '" + "\n\n".join(f"CREATE TABLE {t} (\n" + ",\n".join([f"  {c.split(':')[0]} {prompts.SQL_TYPES[c.split(':')[1]]}" + (" PRIMARY KEY" if c.endswith(":1") else "") for c in cols.split()] + [f"  FOREIGN KEY ({k.split()[0]}) REFERENCES {next(o for o, x in star.TABLES.items() if k.split()[1] + ':' in x)}({k.split()[1]})" for k in star.KEYS if k.split()[0] + ":" in cols]) + "\n);" for t, cols in star.TABLES.items()) + "' as schema_block")
-def ddl_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.catalog(spark).blocks()
-
-
 @query("select conv_id, arg_min(role, turn) as first_role, string_agg(role || ': ' || text, chr(10) order by turn) || chr(10) || 'assistant:' as prompt from conversations group by conv_id")
 def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.conversation_text(_t(spark, sf_dir, "conversations"))
+    return prompts.conversation_text(table(spark, sf_dir, "conversations"))
 
 
 @query("""with r as (select event_id, case event_id % 5 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then 'not json' when 3 then '' else '[' end as raw, cast(json_extract(props, '$.k') as bigint) as k from events)
 select event_id, event_id % 5 < 2 as is_json, case when event_id % 5 < 2 then k end as k, case event_id % 5 when 0 then 'json' when 1 then 'fenced' when 2 then 'prose' when 3 then 'empty' else 'json' end as kind from r""")
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select("event_id", "props")
+    e = table(spark, sf_dir, "events").select("event_id", "props")
     i = F.col("event_id") % 5
     raw = F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i == 2, "not json").when(i == 3, "").otherwise("[")
     rows = e.withColumn("raw", raw).withColumn("v", X.tolerant_json(F.col("raw")))
     return rows.select("event_id", F.col("v").isNotNull().alias("is_json"), F.try_variant_get("v", "$.k", "bigint").alias("k"), X.failure_kind(F.col("raw")).alias("kind"))
 
 
-_ANSWERS = [
-    (0, '{"tables": ["nation"], "columns": [["nation", "n_name"]]}', True), (1, '{"tables": [], "columns": []}', True), (2, '{"tables": ["a", 1], "columns": []}', False),
-    (3, '{"tables": ["a"]}', False), (4, '{"tables": ["a"], "columns": [["a"]]}', False), (5, "prose", False), (6, '```json\n{"tables": ["a"], "columns": []}\n```', True),
-    (7, '{"tables": ["a", "b", "c", "d"], "columns": []}', True), (8, '{"tables": "a", "columns": []}', False), (9, '{"tables": ["a"], "columns": [["a", 2]]}', False),
-]
-
-
-@query("select id::bigint as id, valid from " + star.values([(i, v) for i, _, v in _ANSWERS], "id", "valid"))
-def json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a) for i, a, _ in _ANSWERS], "id bigint, response string")
-    return rows.select("id", X.valid_links(X.tolerant_json(F.col("response"))).alias("valid"))
-
-
-def _replay(spark: SparkSession, version: str, answers: dict[int, list[str]]) -> providers.Provider:
-    messages = prompts.user_messages(star.questions(spark), star.catalog(spark).blocks(), version)
-    scripts = spark.createDataFrame([(i, t, a) for i, turns in answers.items() for t, a in enumerate(turns)], "question_id bigint, turn int, response string")
-    return providers.replay(messages.join(scripts, "question_id").select(F.sha2("user", 256).alias("user_hash"), "turn", "response"))
-
-
-_ONE, _TWO = '{"tables": ["nation"], "columns": [["nation", "n_name"]]}', '{"tables": ["region", "nation"], "columns": []}'
-
-
-@query("select question_id::bigint as question_id, tables, columns, parsed::bigint as n_samples_parsed from " + star.values([(i, *({0: ("nation,region", "nation.n_name", 3), 1: ("nation", "nation.n_name", 2)}.get(i, ("", "", 0)))) for i in range(10)], "question_id", "tables", "columns", "parsed"))
-def forward_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provider = _replay(spark, "forward_v1", {0: [_ONE, _TWO, _ONE], 1: [_ONE, "not json at all", _ONE]})
-    rows = linkers.forward_linker(provider)(star.questions(spark), star.catalog(spark))
-    return rows.select("question_id", F.array_join(F.array_sort("tables"), ",").alias("tables"), F.array_join(F.transform("columns", lambda p: F.concat_ws(".", p["t"], p["c"])), ",").alias("columns"), "n_samples_parsed")
-
-
-@query("select question_id::bigint as question_id, tables, columns from " + star.values([(i, *({0: ("nation,region", "nation.n_name,nation.n_regionkey,region.r_regionkey"), 1: ("customer", "")}.get(i, ("", "")))) for i in range(10)], "question_id", "tables", "columns"))
-def backward_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provider = _replay(spark, "backward_v1", {0: ["```sql\nSELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey\n```"], 1: ["SELECT count(*) FROM customer"], 2: ["SELECT ((("]})
-    return _flat(linkers.backward_linker(provider)(star.questions(spark), star.catalog(spark)))
-
-
-@query("select question_id::bigint as question_id, tables, columns, dropped::bigint as dropped_columns, hallucinated::bigint as hallucinated_endpoints, failure from " + star.values([(i, *({0: ("region,nation,customer,orders", "nation.n_name", 1, 0, None), 1: ("customer", "", 0, 1, None), 2: ("", "", 0, 1, "no_valid_endpoints")}.get(i, ("", "", 0, 0, "parse")))) for i in range(10)], "question_id", "tables", "columns", "dropped", "hallucinated", "failure"))
-def graph_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provider = _replay(spark, "graph_endpoint_v2", {0: ['{"core_tables": ["region", "ORDERS"], "columns": [["nation", "N_NAME"], ["part", "p_size"]]}'], 1: ['{"core_tables": ["customer", "fake"], "columns": []}'], 2: ['{"core_tables": ["fake"], "columns": []}'], 3: ["prose"]})
-    rows = linkers.graph_linker(provider)(star.questions(spark), star.catalog(spark))
-    return rows.select("question_id", F.array_join("tables", ",").alias("tables"), F.array_join(F.transform("columns", lambda p: F.concat_ws(".", p["t"], p["c"])), ",").alias("columns"), "dropped_columns", "hallucinated_endpoints", "failure")
-
-
-@query()
-def lexical_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(linkers.lexical_linker(80)(star.questions(spark), star.catalog(spark)))
-
-
-@query()
-def vector_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkspark.config import TunedVector
-
-    return _flat(linkers.vector_linker(vector.hashing_encoder(), TunedVector(2, 0.1, 3, 0.2))(star.questions(spark), star.catalog(spark)))
-
-
 # ---- ledger: an event is a call, its type the phase, its value the tokens
 
 _CALLS = "with c as (select event_id, user_id, event_type as phase, cast(floor(value * 100) as bigint) as i, cast(floor(value * 10) as bigint) as o, cast(event_id % 7 * 10 as bigint) as r, cast(event_id % 5 * 10 as bigint) as w from events), k as (select *, (i * 1.0::double + o * 5.0::double + w * 1.25::double + r * 0.1::double) / 1000000 as cost from c)"
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
-    rows = e.select("event_id", "user_id", F.col("event_type").alias("phase"), F.lit("claude-haiku-4-5").alias("model"), F.floor(F.col("value") * 100).cast("long").alias("input_tokens"), F.floor(F.col("value") * 10).cast("long").alias("output_tokens"), (F.col("event_id") % 7 * 10).alias("cache_read_input_tokens"), (F.col("event_id") % 5 * 10).alias("cache_creation_input_tokens"))
-    return ledger.with_cost(rows, ledger.prices(spark))
-
-
 @query(_CALLS + " select coalesce(phase, 'total') as phase, round(sum(round_even(cost, 6)), 4) as cost_usd, count(*) as calls, round(sum(i)::double / count(*), 4) as avg_input_tokens, round(sum(o)::double / count(*), 4) as avg_output_tokens, round(sum(r)::double / sum(r + w + i), 6) as cache_hit_rate from k group by rollup(phase)")
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.report(_calls(spark, sf_dir)).select("phase", _r("cost_usd", 4), "calls", _r("avg_input_tokens", 4), _r("avg_output_tokens", 4), _r("cache_hit_rate"))
+    return ledger.report(calls(spark, sf_dir)).select("phase", _r("cost_usd", 4), "calls", _r("avg_input_tokens", 4), _r("avg_output_tokens", 4), _r("cache_hit_rate"))
 
 
 @query(_CALLS + " select count(*) as n, round(avg(round_even(cost, 6)), 6) as mean_usd, round(avg(round_even(cost, 6)) * 1034, 4) as projected_usd from (select * from k order by event_id limit 20)")
 def cost_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.projected(_calls(spark, sf_dir).orderBy("event_id").limit(20), 1034).select("n", _r("mean_usd"), _r("projected_usd", 4))
+    return ledger.projected(calls(spark, sf_dir).orderBy("event_id").limit(20), 1034).select("n", _r("mean_usd"), _r("projected_usd", 4))
 
 
 @query(_CALLS + ", p as (select user_id, event_id, round_even(cost, 6) as cost, coalesce(sum(round_even(cost, 6)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as prior from k) select user_id, count(*) filter (where prior >= 0.02) as blocked, count(*) filter (where prior < 0.02 and prior + cost > 0.02) as exceeded, count(*) filter (where prior + cost <= 0.02) as ok from p group by user_id")
 def cost_cap_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.running(_calls(spark, sf_dir), 0.02, "event_id", by=["user_id"])
+    rows = ledger.running(calls(spark, sf_dir), 0.02, "event_id", by=["user_id"])
     n = lambda s: F.count_if(F.col("cap_state") == s).alias(s)
     return rows.groupBy("user_id").agg(n("blocked"), n("exceeded"), n("ok"))
 
@@ -622,60 +375,53 @@ def cost_cap_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 t as (select text, max(doc_id) as q from documents group by text), i as (select doc_id from documents)
 select a.id, coalesce(t.q, i.doc_id) as question_id, t.q is null as by_id from a left join t on a.text = t.text left join i on i.doc_id = a.id - 3616 where coalesce(t.q, i.doc_id) is not null""")
 def annotation_join_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from linkspark.sources.readers import ANNOTATION_OFFSET
+    from linkspark.sources.readers import ANNOTATION_OFFSET, text_or_id
 
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    notes = docs.where("doc_id % 2 = 1").select((F.col("doc_id") + ANNOTATION_OFFSET).alias("id"), F.xxhash64(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))).alias("h"))
-    by_text = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.max("doc_id").alias("q"))
-    found = notes.join(by_text, "h", "left").join(docs.select("doc_id"), F.col("id") - ANNOTATION_OFFSET == F.col("doc_id"), "left")
-    return found.select("id", F.coalesce("q", "doc_id").alias("question_id"), F.col("q").isNull().alias("by_id")).where("question_id is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))
+    notes = docs.where("doc_id % 2 = 1").select((F.col("doc_id") + ANNOTATION_OFFSET).alias("id"), text.alias("note"))
+    return text_or_id(notes, docs).select("id", "question_id", "by_id")
 
 
 @query("select o_orderkey, case when o_orderkey % 4 = 0 then 'replaced' else o_orderstatus end as o_orderstatus, round(case when o_orderkey % 4 = 0 then o_totalprice * 2 else o_totalprice end, 2) as o_totalprice from orders")
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = o.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("replaced").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
     return sinks.upserted(o, new, ["o_orderkey"]).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("select lang, count(n_chars) as count, round(avg(n_chars), 4) as mean, round(stddev_samp(n_chars), 4) as std, min(n_chars) as min, round(quantile_cont(n_chars, 0.25), 4) as q25, round(quantile_cont(n_chars, 0.5), 4) as q50, round(quantile_cont(n_chars, 0.75), 4) as q75, max(n_chars) as max from documents group by lang")
 def describe_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.rounded(analytics.describe(_t(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars", "lang"), 4)
+    return sinks.rounded(analytics.describe(table(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars", "lang"), 4)
 
 
 @query(r"select doc_id, case when trim(regexp_replace(text, '\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) end as words, length(text) as chars, greatest(1, length(text) // 4) as tokens from documents")
 def length_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", X.n_words(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars"), X.estimated_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.n_words(F.col("text")).alias("words"), F.length("text").cast("long").alias("chars"), X.estimated_tokens(F.col("text")).alias("tokens"))
 
 
 @query("with b as (select l_orderkey, case when count(*) - 1 >= 3 then '3+' else (count(*) - 1)::varchar end as bucket from lineitem group by l_orderkey) select o_orderpriority, round(avg(o_totalprice) filter (where bucket = '0'), 4) as \"0\", round(avg(o_totalprice) filter (where bucket = '1'), 4) as \"1\", round(avg(o_totalprice) filter (where bucket = '2'), 4) as \"2\", round(avg(o_totalprice) filter (where bucket = '3+'), 4) as \"3+\" from orders join b on o_orderkey = l_orderkey group by o_orderpriority")
 def bucket_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(M.bridge_bucket(F.count("*") - 1).alias("bucket"))
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(M.bridge_bucket(F.count("*") - 1).alias("bucket"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     rows = analytics.bucket_means(o.join(b, F.col("o_orderkey") == F.col("l_orderkey")), "o_orderpriority", "bucket", ["0", "1", "2", "3+"], "o_totalprice")
     return sinks.rounded(rows, 4)
 
 
 @query("select question_id, lang from (select doc_id as question_id, lang, row_number() over (partition by lang order by doc_id) as k from documents where doc_id not in (select doc_id from labels)) where k <= case lang when 'en' then 5 when 'de' then 9 when 'fr' then 3 else 3 end")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "lang")
-    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "lang")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"))
     return analytics.stratified(docs, "lang", {"en": 5, "de": 9, "fr": 3, "es": 3}, F.col("question_id"), labels)
 
 
 @query("select event_type, user_id, count(*) as n from events group by all order by n desc, event_type, user_id limit 10")
 def most_frequent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.most_frequent(_t(spark, sf_dir, "events"), ["event_type", "user_id"])
+    return analytics.most_frequent(table(spark, sf_dir, "events"), ["event_type", "user_id"])
 
 
 @query("select 0 as ord, 'click' as event_type, (select count(*) from events where event_type = 'click') as n union all select 1, 'none', 0 union all select 2, 'view', (select count(*) from events where event_type = 'view')")
 def value_counts_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.value_counts(_t(spark, sf_dir, "events"), "event_type", ["click", "none", "view"])
+    return analytics.value_counts(table(spark, sf_dir, "events"), "event_type", ["click", "none", "view"])
 
 
-@query("select level, precision, recall, f1, srr, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn from (values ('tables', round(8.0::double / 9, 6), round(8.0::double / 10, 6), round(16.0::double / 19, 6), 0.75::double, 8, 1, 2)) v(level, precision, recall, f1, srr, tp, fp, fn)")
-def pooled_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = lambda rows: spark.createDataFrame([(i, t.split(",") if t else []) for i, t in rows], "question_id bigint, tables array<string>")
-    gold = links([(0, "a,b"), (1, "a,b,c"), (2, "d,e,f,g,h"), (3, "")])
-    predicted = links([(0, "a,b"), (1, "a"), (2, "d,e,f,g,h,x"), (3, "")])
-    return sinks.rounded(evaluation.pooled(gold, predicted, "tables"))

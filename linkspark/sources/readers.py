@@ -126,6 +126,17 @@ def ledger(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.schema(schemas.LEDGER).json(found).where("model is not null or cost_usd is not null or metadata is not null")
 
 
+def text_or_id(notes: DataFrame, examples: DataFrame) -> DataFrame:
+    """id, question_id, by_id: each note's example by equal text (the last of several), else by id less ANNOTATION_OFFSET.
+
+    notes: id, note; examples: doc_id, text.  Texts are compared themselves, not their hashes; notes that match none are left out.
+    """
+    by_text = examples.where("text is not null").groupBy("text").agg(F.max("doc_id").alias("q"))
+    found = notes.join(by_text, notes["note"] == by_text["text"], "left").select("id", "q")
+    found = found.join(examples.select(F.col("doc_id").alias("i")).distinct(), F.col("id") - ANNOTATION_OFFSET == F.col("i"), "left")
+    return found.select("id", F.coalesce("q", "i").alias("question_id"), F.col("q").isNull().alias("by_id")).where("question_id is not null")
+
+
 def annotation_links(notes: DataFrame, examples: DataFrame, columns: DataFrame, tables: DataFrame, most_bad: float = 0.01) -> DataFrame:
     """question_id, db_id, tables, columns from annotations: by equal question text, else by id less 3616.
 

@@ -7,8 +7,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{ROOT / 'tests'}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")

@@ -2,11 +2,11 @@ import datetime
 import json
 
 import pytest
+import star
 from pyspark.sql import functions as F
 
 from linkspark.config import TunedVector
 from linkspark.operators import analytics, difficulty, ledger, linkers, prompts, providers, tuning, vector, votes
-from linkspark.plans import star
 from linkspark.streaming import ledger as stream
 
 PAIRS = "array<struct<t:string,c:string>>"

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import star
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import metrics as M
 from linkspark.functions import text as X
 from linkspark.operators import analytics, difficulty, evaluation, graph, ledger, sqlrefs, stats, tuning, votes
-from linkspark.plans import star
 from linkspark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
