@@ -158,6 +158,14 @@ def endpoint_quality(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.avg(inside.cast("double")).alias("subset_share"), F.avg(equal.cast("double")).alias("equal_share"))
 
 
+def endpoint_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """question_id, intersects, n_both, n_a_only, n_b_only: the tables of two methods, for the questions that both have."""
+    other = b.select("question_id", F.array_distinct("tables").alias("__other"))
+    rows = a.select("question_id", F.array_distinct("tables").alias("tables")).join(other, "question_id")
+    n = {"n_both": F.array_intersect("tables", "__other"), "n_a_only": F.array_except("tables", "__other"), "n_b_only": F.array_except("__other", "tables")}
+    return rows.select("question_id", F.arrays_overlap("tables", "__other").alias("intersects"), *[F.size(x).cast("long").alias(k) for k, x in n.items()])
+
+
 def pathology_and_rescue(rows: DataFrame) -> DataFrame:
     """Adds pathology (good endpoints, but the path adds tables beyond tier 2) and rescue (endpoints lack tables of tier 1, the path adds some of tier 2).
 

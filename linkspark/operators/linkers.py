@@ -73,13 +73,20 @@ def parse_failures(parsed: DataFrame) -> DataFrame:
 
 
 def forward_linker(provider: providers.Provider, version: str = "forward_v1", k: int = SAMPLES, rule: str = "union", examples: DataFrame | None = None) -> Linker:
-    """k samples, parsed, validated and put to the vote.  What the schema lacks is not filtered."""
+    """k samples, parsed, validated and put to the vote.  What the schema lacks is not filtered.
+
+    samples: all k as answered (sample_idx, response, is_parsed, is_valid, tables, columns, input_tokens, output_tokens), in order.
+    """
 
     def link(questions: DataFrame, catalog: Catalog) -> DataFrame:
         messages = prompts.user_messages(questions, catalog.blocks(), version, examples)
-        parsed = parsed_samples(_asked(provider, messages, k))
-        tally = parsed.groupBy("question_id").agg(F.count_if("is_parsed").alias("n_samples_parsed"), F.count_if("is_valid").alias("n_samples_valid"))
-        return votes.voted_links(parsed, k, rule).join(questions.select("question_id", "db_id"), "question_id").join(tally, "question_id").select("question_id", "db_id", "tables", "columns", "n_samples_parsed", "n_samples_valid")
+        answers = _asked(provider, messages, k)
+        parsed = parsed_samples(answers)
+        whole = parsed.join(answers.select("question_id", "sample_idx", "input_tokens", "output_tokens"), ["question_id", "sample_idx"])
+        sample = F.struct("sample_idx", "response", "is_parsed", "is_valid", "tables", "columns", "input_tokens", "output_tokens")
+        tally = whole.groupBy("question_id").agg(F.count_if("is_parsed").alias("n_samples_parsed"), F.count_if("is_valid").alias("n_samples_valid"), F.array_sort(F.collect_list(sample)).alias("samples"))  # k rows each
+        found = votes.voted_links(parsed, k, rule).join(questions.select("question_id", "db_id"), "question_id").join(tally, "question_id")
+        return found.select("question_id", "db_id", "tables", "columns", "n_samples_parsed", "n_samples_valid", "samples")
 
     return link
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.config import COST_CAPS, PHASES
-from linkspark.operators import difficulty, evaluation, ledger, linkers, stats
+from linkspark.config import COST_CAPS, PHASES, TEMPERATURE
+from linkspark.operators import difficulty, evaluation, ledger, linkers, providers, stats
 from linkspark.sources import readers, sinks
 
 #: Columns beyond the links that a method's trace keeps, where its predictions have them.
@@ -53,11 +53,38 @@ def run(method: str, linker: linkers.Linker, data: Data, folder: str) -> DataFra
     linker(data.questions, data.catalog).write.mode("overwrite").parquet(f"{folder}/{method}")
     out = spark.read.parquet(f"{folder}/{method}")
     sinks.export_links(out, f"{folder}/{method}_predictions.json")
+    if "samples" in out.columns:
+        total = lambda c: F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x[c], F.lit(0))).alias(f"total_{c}")
+        sinks.append_lines(out.select("question_id", "db_id", F.col("samples").alias("sample_predictions"), "n_samples_parsed", "n_samples_valid", total("input_tokens"), total("output_tokens")), f"{folder}/{method}_samples")
     if method in TRACES:
         sinks.append_lines(out.join(data.questions.select("question_id", "question"), "question_id").select("question_id", "db_id", "question", "tables", "columns", *TRACES[method]), f"{folder}/{method}_trace")
     return ledger.run_statistics(failed_share(method, out))
 
 
+@dataclass(frozen=True)
+class Meter:
+    """What a model-backed run may spend, and where its calls are logged; by default the cap of the method."""
+
+    path: str
+    model: str
+    phase: str
+    cap: float | None = None
+    temperature: float = TEMPERATURE
+    most_output: int = 4096
+    prices: dict[str, tuple[float, float, float, float]] | None = None
+
+
+def run_model(method: str, make: Callable[[providers.Provider], linkers.Linker], provider: providers.Provider, meter: Meter, data: Data, folder: str) -> DataFrame:
+    """``run`` with a linker that asks ``provider`` under a cap: every call is logged, none is made once the ledger's total is at the cap.
+
+    Then providers.CapExceeded is raised: no predictions are written, and the ledger has all calls that were made.
+    """
+    price = ledger.prices(data.questions.sparkSession, meter.prices)
+    cap = COST_CAPS[method] if meter.cap is None else meter.cap
+    capped = providers.metered(provider, price, meter.model, meter.temperature, meter.phase, meter.path, cap, meter.most_output, stop=True)
+    return run(method, make(capped), data, folder)
+
+
 def run_vector_scores(scores: DataFrame, questions: DataFrame, folder: str) -> None:
     """The raw scores of every question as JSON lines."""
     sinks.append_lines(sinks.score_lines(scores.join(questions.select("question_id", "question"), "question_id")), f"{folder}/vector_scores")
@@ -78,9 +105,15 @@ def cost_report(spark: SparkSession, paths: Sequence[str], out: str, phases: Seq
 
 
 def evaluate(method: str, predictions: DataFrame, gold: DataFrame, tier: str, data: Data, results: str) -> DataFrame:
-    """Scores a method's links against a tier and replaces its rows in results/main (keyed by method, tier, level) and results/per_query."""
+    """Scores a method's links against a tier and replaces its rows in results/main (keyed by method, tier, level) and results/per_query.
+
+    Questions whose schema the catalog lacks are left out and counted in results/lacking_schema (method, tier, db_id, questions).
+    """
     hardness = difficulty.with_hardness(data.questions).select("question_id", "hardness")
-    rows = evaluation.per_query(gold, predictions, evaluation.known_elements(data.catalog.columns, data.catalog.tables), hardness, method, tier).persist()
+    known = evaluation.known_elements(data.catalog.columns, data.catalog.tables)
+    rows = evaluation.per_query(gold, predictions, known, hardness, method, tier).persist()
+    lacking = evaluation.lacking_schema(gold, known).select(F.lit(method).alias("method"), F.lit(tier).alias("tier"), "db_id", "questions")
+    sinks.append_results(lacking, f"{results}/lacking_schema", ["method", "tier", "db_id"])
     head = evaluation.headline(evaluation.aggregate(rows))
     sinks.append_results(head, f"{results}/main", ["method", "tier", "level"])
     sinks.append_results(rows, f"{results}/per_query", ["method", "tier", "question_id"])

@@ -66,6 +66,19 @@ def foreign_keys(entries: DataFrame) -> DataFrame:
     return entries.select("db_id", F.posexplode("r.foreign_keys").alias("fk_ord", "p")).select("db_id", "fk_ord", F.col("p")[0].alias("from_idx"), F.col("p")[1].alias("to_idx"))
 
 
+#: The files of a folder of annotations.
+ANNOTATION_FILES = ("dev.jsonl", "test.jsonl")
+
+
+def annotation_paths(spark: SparkSession, folder: str, paths: Sequence[str] | None = None) -> list[str]:
+    """``paths``, or the default files of ``folder``; one that does not exist raises FileNotFoundError."""
+    found = [f"{folder}/{name}" for name in ANNOTATION_FILES] if paths is None else list(paths)
+    for path in found:
+        if not exists(spark, path):
+            raise FileNotFoundError(f"no annotations at {path}")
+    return found
+
+
 def annotations(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """id, text, sql, labels: JSON lines whose label keys are looked up in ``meta``; unknown keys and repeated ids raise."""
     raw = spark.read.schema(schemas.ANNOTATION_JSON).json(paths if isinstance(paths, str) else list(paths), mode="FAILFAST").where("id is not null")

@@ -126,19 +126,40 @@ def test_retries_and_scripted_errors(spark):
     assert (got[2].cache_creation_input_tokens, got[2].cache_read_input_tokens) == (7, 9)
 
 
-def test_cap_blocks_later_waves(spark, tmp_path):
-    path = str(tmp_path / "ledger")
-    m = spark.createDataFrame([(i, "d", 0, "s", f"u{i}") for i in range(40)], "question_id bigint, db_id string, sample_idx int, system string, user string")
-    ask = providers.remote(lambda s, u: ("yes", 1_000_000, 0, "end_turn", 0, 1_000_000))
-    capped = providers.metered(ask, ledger.prices(spark), "claude-haiku-4-5", 0.0, "dev_run", path, cap=5.0, waves=20)
-    got = capped(m).collect()
-    asked = [r for r in got if r.response == "yes"]
-    assert len(got) == 40 and {r.stop_reason for r in got} == {"end_turn", "blocked"}
+@pytest.mark.parametrize("cap, output", [(0.002, 100), (0.0015, 7), (1.0, 100)])
+def test_cap_as_if_each_call_were_asked_alone(spark, tmp_path, cap, output):
+    path, n = str(tmp_path / "ledger"), 40
+    m = spark.createDataFrame([(i, "d", k, "s" * 50, f"u{i}" * (1 + i % 5)) for i in range(n // 2) for k in range(2)], "question_id bigint, db_id string, sample_idx int, system string, user string").repartition(3)
+    ask = providers.remote(lambda s, u: ("yes", 20 + len(u), output + len(u) % 3, "end_turn", 0, 10))
+    capped = providers.metered(ask, ledger.prices(spark), "claude-haiku-4-5", 0.0, "dev_run", path, cap, most_output=100 + 3)
+    got = {(r.question_id, r.sample_idx): r.stop_reason for r in capped(m).collect()}
+    spent, want = 0.0, {}
+    for r in m.orderBy("question_id", "sample_idx").collect():
+        want[r.question_id, r.sample_idx] = "blocked" if spent >= cap else "end_turn"
+        spent += 0 if spent >= cap else round(((20 + len(r.user)) * 1.0 + (output + len(r.user) % 3) * 5.0 + 10 * 0.1) / 1e6, 6)
+    assert got == want and len(set(want.values())) == (1 if cap == 1.0 else 2)
     logged = spark.read.json(path)
-    spent = logged.agg({"cost_usd": "sum"}).first()[0]
-    assert logged.count() == len(asked) and spent == pytest.approx(1.1 * len(asked)) and spent >= 5.0
-    assert logged.where("cache_read_input_tokens = 1000000 and latency_ms >= 0").count() == len(asked)
-    assert {r.stop_reason for r in capped(m).collect()} == {"blocked"} and spark.read.json(path).count() == len(asked)
+    assert logged.count() == list(want.values()).count("end_turn") and logged.agg({"cost_usd": "sum"}).first()[0] == pytest.approx(spent)
+    if cap < 1:
+        assert {r.stop_reason for r in capped(m).collect()} == {"blocked"} and spark.read.json(path).count() == logged.count()
+        with pytest.raises(providers.CapExceeded, match="40 calls of dev_run were not made"):
+            providers.metered(ask, ledger.prices(spark), "claude-haiku-4-5", 0.0, "dev_run", path, cap, stop=True)(m)
+
+
+def test_prefixes_are_blocks_of_their_own(spark):
+    assert providers.system_blocks("do", None, True) == "do" and providers.system_blocks("do", "schema", False) == "schema\n\ndo"
+    blocks = providers.system_blocks("do", "schema", True)
+    assert blocks == [{"type": "text", "text": "schema", "cache_control": {"type": "ephemeral"}}, {"type": "text", "text": "do"}]
+    m = spark.createDataFrame([(1, "d", 0, "do", "u", "schema"), (2, "d", 0, "do", "u", None)], "question_id bigint, db_id string, sample_idx int, system string, user string, prefix string")
+    echo = lambda s, u: (json.dumps(s), 1, 1, "end_turn")
+    got = {r.question_id: json.loads(r.response) for r in providers.remote(echo)(m).collect()}
+    assert got == {1: blocks, 2: "do"}
+
+
+def test_endpoint_agreement(spark):
+    t = lambda rows: spark.createDataFrame([(i, x.split()) for i, x in rows], "question_id bigint, tables array<string>")
+    got = {r.question_id: tuple(r)[1:] for r in analytics.endpoint_agreement(t([(1, "a b b"), (2, "c"), (3, "x")]), t([(1, "b d"), (2, "e f"), (4, "x")])).collect()}
+    assert got == {1: (True, 1, 1, 1), 2: (False, 0, 1, 2)}
 
 
 def test_ledger(spark):
