@@ -7,10 +7,11 @@ point midway between them is within 4 of both: they share an index.
 
 At most 4 errors over three segments leave one of these cases:
 
-* segments 1 and 2 have at most 2 errors each: the pair of their indices meets in a composite key;
-* segment 1 (or 2) has 3 or more: the other two have one error between them, so one of these two is equal.
+* segments 1 and 2 have at most 2 errors each: the pair of their indices meets in a composite key of 24 bits;
+* segment 1 (or 2) has 3 or more: the other two have one error between them, so one of these is equal and the other shares an
+  index: they meet in a composite key of the equal segment and the other's index, 33 or 34 bits.
 
-Hence the composite keys and the three plain segment values find every pair within 4 bits.  In a bucket, links are found by
+Hence these composite keys find every pair within 4 bits.  In a bucket, links are found by
 breadth-first search over fingerprints that are not yet reached, so a dense group of m yields m - 1 edges and not m^2.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from linkspark.llm.common import arrow_map, checkpoint, id_text, join_hot
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (equal segment, segment of which an index is shared), if segment 1 has the errors or segment 2 has.
+EXACT = ((1, 2), (2, 1), (0, 2), (2, 0))
 RADIUS = 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
@@ -110,15 +113,21 @@ def near_codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position in fps, key) of all keys."""
+    """(position in fps, key) of all keys; a key's highest bits name its kind."""
     u = fps.view(np.uint64)
     parts = [((u >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-    (one, has_one), (two, has_two) = near_codewords(parts[0]), near_codewords(parts[1])
+    near = [near_codewords(part) for part in parts]
+    (one, has_one), (two, has_two) = near[:2]
     both = (has_one[:, :, None] & has_two[:, None, :]).reshape(len(fps), -1)
     pair = ((one[:, :, None] << 12) | two[:, None, :]).reshape(len(fps), -1)
     at, column = np.nonzero(both)
-    where = np.arange(len(fps))
-    return np.concatenate([at, where, where, where]), np.concatenate([pair[at, column], *(((k + 1) << 40) | p for k, p in enumerate(parts))])
+    places, keys = [at], [pair[at, column]]
+    for kind, (equal, other) in enumerate(EXACT, 1):
+        index, has = near[other]
+        at, column = np.nonzero(has)
+        places.append(at)
+        keys.append(kind << 40 | parts[equal][at] << 12 | index[at, column])
+    return np.concatenate(places), np.concatenate(keys)
 
 
 def _search(fps: np.ndarray, ids: np.ndarray, out: list) -> None:
@@ -238,6 +247,14 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components are not complete after {rounds} rounds")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """fp, root, holders: the different fingerprints of ``fps``, the least one reachable from each (by value), and the rows it has."""
+    reps = checkpoint(fps.groupBy("fp").agg(F.count("*").alias("holders")))
+    # representatives must be distinct even if ids are null or repeated: name a fingerprint by itself
+    roots = components(edges(reps.select("fp", F.col("fp").alias("rep"))))
+    return reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "holders")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long), component_id.
 
@@ -247,26 +264,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own.  An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     fps = checkpoint(fingerprints(docs))
-    reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    # representatives must be distinct even if ids are null or repeated: name a fingerprint by itself
-    links = edges(reps.select("fp", F.col("fp").alias("rep")))
-    roots = components(links)
-    named = reps.join(roots, reps["fp"] == roots["node"], "left").select(reps["fp"], "low", F.coalesce("root", reps["fp"]).alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return fps.join(classes, fps["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id")
+    named = checkpoint(classes(fps))
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    per = named.join(low, "fp")
+    least = checkpoint(per.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps")))
+    found = join_hot(named.select("fp", "root", "holders"), least, ["root"], named.count(), holders="fps")
+    return join_hot(fps, found.select("fp", "component_id", "holders"), ["fp"], fps.count()).select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id.  All columns stay.
+    """``docs`` with one document of each group of near duplicates: that with the smallest doc_id.  All columns stay.
 
-    Of rows that repeat a surviving doc_id, the one with the smallest text stays.  Rows without a doc_id can't be named by
-    another and all stay.
+    Rows without a doc_id come after all others, texts of one doc_id are in the order of their hashes, and of rows that agree in both
+    one stays, by a hash of all columns.
     """
-    near = near_duplicates(docs).where("doc_id is not null and doc_id = component_id")
-    keep = checkpoint(near.groupBy(F.col("doc_id").alias("__kept_id")).count().withColumnRenamed("count", "__kept_rows"))
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["__kept_id"], "left_semi")
-    if keep.where("__kept_rows > 1").limit(1).count():
-        order = Window.partitionBy(kept["doc_id"]).orderBy(kept["text"])
-        kept = kept.withColumn("__kept_rank", F.row_number().over(order)).where("__kept_rank = 1").drop("__kept_rank")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = {"__id": F.col("doc_id").cast("long"), "__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(1))}
+    rows = docs.select("*", *(c.alias(n) for n, c in own.items()))
+
+    def prints(batches):
+        for b in batches:
+            yield {"id": b.column(0), "t1": b.column(1), "t2": b.column(2), "fp": [signed(simhash(t)) for t in b.column(3).to_pylist()]}
+
+    texts = rows.select("__id", "__t1", "__t2", text.cast("binary").alias("text"))
+    fps = checkpoint(arrow_map(texts, prints, "id long, t1 long, t2 long, fp long"))
+    per = fps.groupBy("fp", "id", "t1", "t2").agg(F.count("*").alias("n"))
+    first = per.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2", "n")).alias("first"))
+    keep = checkpoint(classes(fps).join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__kept"), F.col("first.t1").alias("__k1"), F.col("first.t2").alias("__k2"), F.col("first.n").alias("__n")))
+    same = lambda side: rows["__id"].eqNullSafe(side["__kept"]) & (rows["__t1"] == side["__k1"]) & (rows["__t2"] == side["__k2"])
+    once, more = keep.where("__n = 1"), keep.where("__n > 1")
+    kept = rows.join(once, same(once), "left_semi").select(*docs.columns)
+    if more.limit(1).count():
+        every = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+        ranked = rows.join(more, same(more), "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("__id", "__t1", "__t2").orderBy(every)))
+        kept = kept.unionByName(ranked.where("__rank = 1").select(*docs.columns))
+    return kept

@@ -125,6 +125,10 @@ def test_documents(spark, documents):
     assert kept.columns == documents(rows).columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in ids if x is not None) == sorted({r.component_id for r in got if r.component_id is not None}) and ids.count(None) == 1
+    # a row without a doc_id stays only if no other row is like it, and of equal rows one stays
+    again = documents([*rows, (None, base), (None, "solo one"), (None, "alone of its kind"), (3, base.upper())])
+    left = [(r.doc_id, r.text) for r in N.survivors(again).collect()]
+    assert left.count((None, "solo one")) == 1 and (None, "alone of its kind") in left and (None, base) not in left and left.count((3, base.upper())) == 1
     assert N.near_duplicates(documents([])).count() == 0 and N.survivors(documents([])).count() == 0
 
 
