@@ -13,14 +13,14 @@ from linkspark.scale import quantiles
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, std, min, quartiles (exact, linear interpolation) and max.
 
-    Quartiles come from radix selection, so no task holds a group's values.  Groups with a null key are one group.
+    Quartiles come from radix selection, so no task holds a group's values.  Groups with a null key are one group.  A table without
+    rows has no groups.
     """
     named = rows.withColumns({f"__by_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by})
-    keys = [f"__by_{c}" for c in by]
+    named, keys = (named, [f"__by_{c}" for c in by]) if by else (named.withColumn("__every", F.lit("")), ["__every"])
     g = named.groupBy(*by, *keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(named, value, (0.25, 0.5, 0.75), keys)
-    g = g.join(q, keys, "left") if by else g.join(F.broadcast(q), F.lit(True), "left")  # one row each
-    return g.select(*by, "count", "mean", "std", "min", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+    return g.join(q, keys, "left").select(*by, "count", "mean", "std", "min", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def value_counts(rows: DataFrame, value: str, domain: Sequence[str] | None = None) -> DataFrame:

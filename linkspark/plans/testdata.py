@@ -235,7 +235,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- lexical: questions are written around a part's name, elements are all names and types of parts
 
-_LEX = r"""
+LEXICAL_SQL = r"""
 with q as (
   select p_partkey as question_id, lower('Which ' || case when p_partkey % 3 = 0 then left(p_name, length(p_name) - 1) when p_partkey % 3 = 1 then p_name else replace(p_name, ' ', ' and ') end || ' by ' || p_brand || ' is cheapest?') as question from part
 ), qn as (
@@ -245,7 +245,7 @@ en as (select level, name, trim(regexp_replace(replace(lower(name), '_', ' '), '
 pairs as (
   select question_id, level, name, e_text, q_text, case when e_text <> '' and contains(q_text, e_text) then 'substring' when len(e_tokens) > 0 and list_has_all(q_tokens, e_tokens) then 'token' end as strategy from qn cross join en
 )"""
-_LEX_SCORED = _LEX + """, ratios as (
+LEXICAL_SCORED_SQL = LEXICAL_SQL + """, ratios as (
   select e_text, q_text, 100.0::double * (1 - list_min(list_transform(range(1, greatest(1, length(q_text) - length(e_text) + 1) + 1), lambda i: levenshtein(e_text, substr(q_text, i, length(e_text)))))::double / length(e_text)) as score
   from (select distinct e_text, q_text from pairs where strategy is null)
 ), scored as (
@@ -257,17 +257,17 @@ def _lex(spark: SparkSession, sf_dir: str, fuzzy: str = "levenshtein", least: fl
     return lexical.scores(*lexical_inputs(spark, sf_dir), fuzzy, least)
 
 
-@query(_LEX + " select question_id, level, name from pairs where strategy = 'substring'")
+@query(LEXICAL_SQL + " select question_id, level, name from pairs where strategy = 'substring'")
 def lexical_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lex(spark, sf_dir).where("strategy = 'substring'").select("question_id", "level", F.col("t").alias("name"))
 
 
-@query(_LEX + " select question_id, level, name from pairs where strategy = 'token'")
+@query(LEXICAL_SQL + " select question_id, level, name from pairs where strategy = 'token'")
 def lexical_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lex(spark, sf_dir).where("strategy = 'token'").select("question_id", "level", F.col("t").alias("name"))
 
 
-@query(_LEX_SCORED + " select question_id, level, name, strategy, round(score, 6) as score from scored where strategy <> 'fuzzy' or score >= 80")
+@query(LEXICAL_SCORED_SQL + " select question_id, level, name, strategy, round(score, 6) as score from scored where strategy <> 'fuzzy' or score >= 80")
 def lexical_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.matched(_lex(spark, sf_dir), 80).select("question_id", "level", F.col("t").alias("name"), "strategy", _r("score"))
 
@@ -277,7 +277,7 @@ def lexical_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.matched(_lex(spark, sf_dir, "partial_ratio"), 80).select("question_id", "level", F.col("t").alias("name"), "strategy", _r("score"))
 
 
-@query(_LEX_SCORED + """, gold as (select p_partkey as question_id, p_name, p_type from part), t as (select unnest([70, 75, 80, 85, 90, 95]) as fuzzy_threshold),
+@query(LEXICAL_SCORED_SQL + """, gold as (select p_partkey as question_id, p_name, p_type from part), t as (select unnest([70, 75, 80, 85, 90, 95]) as fuzzy_threshold),
 c as (select g.question_id, lv.level, fuzzy_threshold, count(s.name) filter (where s.name = case when lv.level = 'table' then p_name else p_type end) as tp, count(s.name) filter (where s.name <> case when lv.level = 'table' then p_name else p_type end) as fp
   from gold g cross join t cross join (select unnest(['table', 'column']) as level) lv left join scored s on s.question_id = g.question_id and s.level = lv.level and (s.strategy <> 'fuzzy' or s.score >= fuzzy_threshold) group by all)
 select fuzzy_threshold, round(avg(case when level = 'table' then 2.0::double * tp / (tp + fp + 1) end), 6) as table_f1, round(avg(case when level = 'column' then 2.0::double * tp / (tp + fp + 1) end), 6) as column_f1 from c group by fuzzy_threshold""")
@@ -348,20 +348,20 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ledger: an event is a call, its type the phase, its value the tokens
 
-_CALLS = "with c as (select event_id, user_id, event_type as phase, cast(floor(value * 100) as bigint) as i, cast(floor(value * 10) as bigint) as o, cast(event_id % 7 * 10 as bigint) as r, cast(event_id % 5 * 10 as bigint) as w from events), k as (select *, (i * 1.0::double + o * 5.0::double + w * 1.25::double + r * 0.1::double) / 1000000 as cost from c)"
+CALLS_SQL = "with c as (select event_id, user_id, event_type as phase, cast(floor(value * 100) as bigint) as i, cast(floor(value * 10) as bigint) as o, cast(event_id % 7 * 10 as bigint) as r, cast(event_id % 5 * 10 as bigint) as w from events), k as (select *, (i * 1.0::double + o * 5.0::double + w * 1.25::double + r * 0.1::double) / 1000000 as cost from c)"
 
 
-@query(_CALLS + " select coalesce(phase, 'total') as phase, round(sum(round_even(cost, 6)), 4) as cost_usd, count(*) as calls, round(sum(i)::double / count(*), 4) as avg_input_tokens, round(sum(o)::double / count(*), 4) as avg_output_tokens, round(sum(r)::double / sum(r + w + i), 6) as cache_hit_rate from k group by rollup(phase)")
+@query(CALLS_SQL + " select coalesce(phase, 'total') as phase, round(sum(round_even(cost, 6)), 4) as cost_usd, count(*) as calls, round(sum(i)::double / count(*), 4) as avg_input_tokens, round(sum(o)::double / count(*), 4) as avg_output_tokens, round(sum(r)::double / sum(r + w + i), 6) as cache_hit_rate from k group by rollup(phase)")
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.report(calls(spark, sf_dir)).select("phase", _r("cost_usd", 4), "calls", _r("avg_input_tokens", 4), _r("avg_output_tokens", 4), _r("cache_hit_rate"))
 
 
-@query(_CALLS + " select count(*) as n, round(avg(round_even(cost, 6)), 6) as mean_usd, round(avg(round_even(cost, 6)) * 1034, 4) as projected_usd from (select * from k order by event_id limit 20)")
+@query(CALLS_SQL + " select count(*) as n, round(avg(round_even(cost, 6)), 6) as mean_usd, round(avg(round_even(cost, 6)) * 1034, 4) as projected_usd from (select * from k order by event_id limit 20)")
 def cost_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.projected(calls(spark, sf_dir).orderBy("event_id").limit(20), 1034).select("n", _r("mean_usd"), _r("projected_usd", 4))
 
 
-@query(_CALLS + ", p as (select user_id, event_id, round_even(cost, 6) as cost, coalesce(sum(round_even(cost, 6)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as prior from k) select user_id, count(*) filter (where prior >= 0.02) as blocked, count(*) filter (where prior < 0.02 and prior + cost > 0.02) as exceeded, count(*) filter (where prior + cost <= 0.02) as ok from p group by user_id")
+@query(CALLS_SQL + ", p as (select user_id, event_id, round_even(cost, 6) as cost, coalesce(sum(round_even(cost, 6)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as prior from k) select user_id, count(*) filter (where prior >= 0.02) as blocked, count(*) filter (where prior < 0.02 and prior + cost > 0.02) as exceeded, count(*) filter (where prior + cost <= 0.02) as ok from p group by user_id")
 def cost_cap_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.running(calls(spark, sf_dir), 0.02, "event_id", by=["user_id"])
     n = lambda s: F.count_if(F.col("cap_state") == s).alias(s)

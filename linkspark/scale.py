@@ -92,19 +92,18 @@ CUTS = 1024
 def order_statistics(rows: DataFrame, value: str, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by``, rank, value: the value of each wanted rank (0: the least) of a group, by radix selection.
 
-    ranks: ``by`` (no nulls) and rank.  A pass cuts the range in which a rank lies into CUTS buckets, counts them, and goes on
+    ranks: ``by`` (one column at least, no nulls) and rank.  A pass cuts the range in which a rank lies into CUTS buckets, counts them, and goes on
     with the bucket that has the rank, from its least to its greatest value; the search of a rank ends when these are equal.  Counts are
     summed before they are dealt, so a pass ships CUTS rows a task and rank at most, and no task ever holds a group's values.
     """
     by = list(by)
     held = checkpoint(rows.select(*by, F.col(value).alias("__v")).where("__v is not null"))
     ends = held.groupBy(*by).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    state = checkpoint((ranks.join(ends, by) if by else ranks.crossJoin(ends)).withColumn("__less", F.lit(0).cast("long")))
+    state = checkpoint(ranks.join(ends, by).withColumn("__less", F.lit(0).cast("long")))
     done = state.where("__low = __high")
     state = state.where("__low < __high")
     while state.limit(1).count():
-        met = held.join(short(state), by) if by else held.join(F.broadcast(state), F.col("__v").between(F.col("__low"), F.col("__high")))
-        met = met.where(F.col("__v").between(F.col("__low"), F.col("__high")))
+        met = held.join(short(state), by).where(F.col("__v").between(F.col("__low"), F.col("__high")))
         share = (F.col("__v").cast("double") - F.col("__low")) / (F.col("__high").cast("double") - F.col("__low"))
         cut = F.least(F.floor(share * CUTS), F.lit(CUTS - 1)).cast("int")
         key = [*by, "rank", "__less"]
@@ -124,7 +123,7 @@ def quantiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence
     Nulls of ``value`` are left out, and so are groups without a value or with a null key.
     """
     by = list(by)
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__size")).where("__size > 0")
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__size"))
     for c in by:
         sizes = sizes.where(F.col(c).isNotNull())
     at = F.col("share") * (F.col("__size") - 1)
