@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,21 @@ def prices(spark: SparkSession, table: dict[str, tuple[float, float, float, floa
     return spark.createDataFrame(rows, "model string, p_in double, p_out double, p_write double, p_read double")
 
 
-def with_cost(calls: DataFrame, price: DataFrame) -> DataFrame:
-    """Adds cost_usd, rounded half to even to six digits; a model without a price raises."""
+def half_even(usd: Column) -> Column:
+    """Six digits, half to even by the shortest decimal of the double: 0.0157555 is a tie."""
+    return F.bround(usd, 6)
+
+
+def half_even_binary(usd: Column) -> Column:
+    """Six digits, half to even of the double's product with 10^6, as SQL engines round doubles: 0.0157555 is 15755.499999999998 millionths, no tie."""
+    return F.rint(usd * 1e6) / 1e6
+
+
+def with_cost(calls: DataFrame, price: DataFrame, rounded: Callable[[Column], Column] = half_even) -> DataFrame:
+    """Adds cost_usd, rounded to six digits; a model without a price raises."""
     millions = F.col("input_tokens") * F.col("p_in") + F.col("output_tokens") * F.col("p_out") + F.coalesce("cache_creation_input_tokens", F.lit(0)) * F.col("p_write") + F.coalesce("cache_read_input_tokens", F.lit(0)) * F.col("p_read")
     rows = calls.drop("cost_usd").join(F.broadcast(price), "model", "left")
-    return rows.withColumn("cost_usd", F.when(F.col("p_in").isNull(), F.raise_error(F.concat(F.lit("no price for model "), "model")).cast("double")).otherwise(F.bround(millions / 1e6, 6))).drop("p_in", "p_out", "p_write", "p_read")
+    return rows.withColumn("cost_usd", F.when(F.col("p_in").isNull(), F.raise_error(F.concat(F.lit("no price for model "), "model")).cast("double")).otherwise(rounded(millions / 1e6))).drop("p_in", "p_out", "p_write", "p_read")
 
 
 def total_cost(calls: DataFrame) -> DataFrame:
@@ -60,13 +70,16 @@ def projected(calls: DataFrame, full_size: int) -> DataFrame:
     return calls.agg(F.count("*").alias("n"), F.coalesce(F.avg("cost_usd"), F.lit(0.0)).alias("mean_usd")).withColumn("projected_usd", F.col("mean_usd") * full_size)
 
 
-def running(calls: DataFrame, cap: float, *order: str, by: Sequence[str] = ()) -> DataFrame:
+def running(calls: DataFrame, cap: float, *order: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Adds prior_usd and cap_state: blocked (prior total at the cap), exceeded (the call passes it, and is logged), or ok.
 
     Without ``by`` one total runs over all calls, as a prefix scan (``order`` should tell calls apart); with it, one in each group.
-    Costs have six digits, so sums are exact.
+    Costs have six digits, so sums are exact.  With ``exact`` false they are sums of doubles, call by call, as a meter adds them up
+    (0.002541 + 0.017459 is below 0.02 then); only with ``by``.
     """
-    cost = F.col("cost_usd").cast("decimal(18,6)")
+    if not (exact or by):
+        raise ValueError("sums of doubles depend on the ranges of a prefix scan")
+    cost = F.col("cost_usd").cast("decimal(18,6)") if exact else F.col("cost_usd")
     if by:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         rows = calls.withColumn("prior_usd", F.coalesce(F.sum(cost).over(w), F.lit(0)).cast("double"))

@@ -1,12 +1,14 @@
 import datetime
 import json
 
+import duckdb
 import pytest
 import star
 from pyspark.sql import functions as F
 
 from linkspark.config import TunedVector
 from linkspark.operators import analytics, difficulty, ledger, linkers, prompts, providers, tuning, vector, votes
+from linkspark.plans import inputs, testdata
 from linkspark.streaming import ledger as stream
 
 PAIRS = "array<struct<t:string,c:string>>"
@@ -246,3 +248,26 @@ def test_stream(spark, tmp_path):
     w.stop()
     assert spark.sql("select count(*) from windowed").first()[0] == 3
     assert prompts.TEMPLATES
+
+
+def test_a_cap_takes_costs_and_totals_as_its_sql_does(spark, tmp_path):
+    """0.0157555 USD is no tie as a double: 0.015755.  0.002541 + 0.017459 is below 0.02 as doubles, so the third call of user 1 is made."""
+    rows = [(465, 1, 16.93), (774, 1, 116.38), (2818, 1, 28.19), (5706, 1, 5.29), (7, 2, 104.96)]
+    events = spark.createDataFrame([(e, u, "a", v) for e, u, v in rows], "event_id bigint, user_id bigint, event_type string, value double")
+    many = spark.range(10_000, 18_000).selectExpr("id as event_id", "id % 2000 + 100 as user_id", "'a' as event_type", "(id * 7919 % 12000) / 100d as value")
+    path = f"{tmp_path}/events.parquet"
+    events.unionByName(many).write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{path}/*.parquet'")
+    costs = db.execute(testdata.CALLS_SQL + " select event_id, round_even(cost, 6) from k").fetchall()
+    assert {r.event_id: r.cost_usd for r in inputs.calls(spark, str(tmp_path), ledger.half_even_binary).collect()} == dict(costs)
+    got = {tuple(r) for r in testdata.cost_cap_running(spark, str(tmp_path)).select("user_id", "blocked", "exceeded", "ok").collect()}
+    assert got == set(db.execute(testdata.ORACLES["cost_cap_running"]).fetchall())
+
+
+def test_totals_of_doubles_and_exact_ones(spark):
+    calls = spark.createDataFrame([(1, "u", 0.002541), (2, "u", 0.017459), (3, "u", 0.004236)], "i int, u string, cost_usd double")
+    last = lambda **how: ledger.running(calls, 0.02, "i", by=["u"], **how).where("i = 3").first().cap_state
+    assert (last(), last(exact=False)) == ("blocked", "exceeded")
+    with pytest.raises(ValueError):
+        ledger.running(calls, 0.02, "i", exact=False)
