@@ -1,0 +1,33 @@
+"""Searches in shared rows, and Steiner trees by ends that meet: what they write stays small."""
+
+import os
+import random
+
+import pytest
+from test_scale import distances, neighbours
+
+from linkspark.operators import graph
+
+
+def on_disk(spark):
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return sum(os.lstat(os.path.join(d, x)).st_size for d, _, names in os.walk(top.removeprefix("file:")) for x in names if not x.startswith("."))
+
+
+@pytest.fixture(scope="module")
+def web(spark):
+    """1,200 nodes in one component, searched from 130 of them: three blocks of searches."""
+    rng, n = random.Random(3), 1200
+    links = [(i, rng.randrange(i)) for i in range(1, n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(600)]
+    return neighbours(n, links), spark.createDataFrame(links, "a bigint, b bigint").cache(), list(range(0, 1170, 9))
+
+
+def test_distances_write_less_than_pairs(spark, web):
+    near, links, starts = web
+    before = on_disk(spark)
+    got = {r.dist: r.pairs for r in graph.distances(links, spark.createDataFrame([(s, s) for s in starts], "s bigint, node bigint")).collect()}
+    want = {}
+    for s in starts:
+        for d in distances(near, s).values():
+            want[d] = want.get(d, 0) + 1
+    assert got == want and on_disk(spark) - before < 8 * len(near) * len(starts)  # one checkpoint had 40 bytes a pair
