@@ -31,3 +31,13 @@ def test_distances_write_less_than_pairs(spark, web):
         for d in distances(near, s).values():
             want[d] = want.get(d, 0) + 1
     assert got == want and on_disk(spark) - before < 8 * len(near) * len(starts)  # one checkpoint had 40 bytes a pair
+
+
+def test_a_frontier_writes_less_than_pairs(spark, web):
+    near, links, starts = web
+    before = on_disk(spark)
+    rows = graph.frontier(links, spark.createDataFrame([(s, s) for s in starts], "s bigint, node bigint")).collect()
+    assert len(rows) == len(near) * len(starts) and on_disk(spark) - before < 8 * len(rows)
+    for s in starts[::40]:
+        far = distances(near, s)
+        assert {(r.node, r.dist, r.parent) for r in rows if r.s == s} == {(x, d, min(y for y in near[x] if far[y] == d - 1) if d else None) for x, d in far.items()}
