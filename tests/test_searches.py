@@ -41,3 +41,19 @@ def test_a_frontier_writes_less_than_pairs(spark, web):
     for s in starts[::40]:
         far = distances(near, s)
         assert {(r.node, r.dist, r.parent) for r in rows if r.s == s} == {(x, d, min(y for y in near[x] if far[y] == d - 1) if d else None) for x, d in far.items()}
+
+
+def test_all_walks(spark, web):
+    near, links, starts = web
+    before = on_disk(spark)
+    rows = graph.all_walks(links, spark.createDataFrame([(s, s) for s in starts], "s bigint, node bigint")).collect()
+    assert len(rows) == len(near) * len(starts) and on_disk(spark) - before < 40 * len(rows)
+    for s in starts[::40]:
+        far = distances(near, s)
+        for r in rows:
+            if r.s == s:
+                at, way = r.node, [r.node]
+                while at != s:
+                    at = min(y for y in near[at] if far[y] == far[at] - 1)
+                    way.append(at)
+                assert r.path == ">".join(map(str, way[::-1]))
