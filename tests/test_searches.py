@@ -57,3 +57,25 @@ def test_all_walks(spark, web):
                     at = min(y for y in near[at] if far[y] == far[at] - 1)
                     way.append(at)
                 assert r.path == ">".join(map(str, way[::-1]))
+
+
+def test_steiner_trees_search_half_ways(spark, web):
+    """60 questions; a search from every terminal over the whole graph wrote 180 times 1,200 rows."""
+    near, links, _ = web
+    rng = random.Random(5)
+    wanted = {q: rng.sample(range(len(near)), 3) for q in range(60)}
+    before, got = on_disk(spark), {}
+    rows = [(q, k, x) for q, xs in wanted.items() for k, x in enumerate(xs)]
+    for r in graph.steiner_trees(links, spark.createDataFrame(rows, "question_id bigint, ord int, node bigint")).collect():
+        got.setdefault(r.question_id, set()).add(r.node)
+    assert on_disk(spark) - before < 4_000_000
+    for q, xs in wanted.items():
+        tree = {xs[0]}
+        for x in xs[1:]:
+            far = distances(near, x)
+            at = min((far[y], y) for y in tree)[1]
+            while at != x:
+                tree.add(at)
+                at = min(y for y in near[at] if far[y] == far[at] - 1)
+            tree.add(x)
+        assert got[q] == tree
