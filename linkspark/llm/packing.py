@@ -8,11 +8,13 @@ and the search descends to the leftmost non-empty leaf from c on.
 from __future__ import annotations
 
 import base64
-import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ ROW_LENGTH = 2048
 #: Texts are packed in blocks: a block closes at so many tokens or pieces, which bounds a task's memory.
 BLOCK_TOKENS = 1 << 21
 BLOCK_PIECES = 1 << 14
-CACHE = 200_000
+#: Texts are encoded in slices of so many bytes (or one text), and there so many pieces at a time, which bounds memory too.
+SLICE_BYTES = 1 << 22
+GROUP_PIECES = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -31,15 +35,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-#: A space between two characters that are not white (by a rule that holds more for white than the pattern does).
-_CUT = re.compile(r" (?<=\S )(?=\S)")
+#: Bytes that begin a character that is surely not white: no white one begins so (beyond ASCII they begin with C2, E1, E2 or E3).
+_PLAIN = np.ones(256, bool)
+_PLAIN[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Bytes of ``data`` between neighbouring offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def _parts(array: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """The reverse of ``_binary``."""
+    _, offsets, data = array.buffers()
+    return np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64), data or pa.py_buffer(b"")
 
 
 class Tokenizer:
     """Byte-level BPE from a file of ranks.
 
-    The pattern takes a single space together with what follows, if both its neighbours are not white, and never joins it with
-    what stands before.  So a text is cut at such spaces, and the ids of each short piece are remembered.
+    The pattern takes a space together with what follows, if that is not white, and never joins it with what stands before.
+    So texts are cut at such spaces, all at once by their bytes, and of equal pieces one is encoded.
     """
 
     def __init__(self, path: str):
@@ -51,29 +67,72 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = len(ranks)
         self.dtype = np.dtype("<u2") if self.size < 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(x) for x in ranks]
+
+    def _plain(self, text: bytes) -> np.ndarray:
+        return np.asarray(self.encoding.encode_ordinary(text.decode("utf-8")), self.dtype)
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece in binary.  Those that begin at a cut are encoded as one text, as a call costs more than a piece."""
+        at, data = _parts(pieces)
+        raw = np.append(np.frombuffer(data, np.uint8), np.zeros(2, np.uint8))
+        joined = (raw[at[:-1]] == 0x20) & _PLAIN[raw[at[:-1] + 1]] & (np.diff(at) > 1)
+        ends, text = _parts(pieces.filter(pa.array(joined)))
+        ids = self._plain(text.slice(0, ends[-1]).to_pybytes())
+        ends = np.append(0, np.searchsorted(np.cumsum(self.lengths[ids]), ends[1:]) + 1)
+        values = [_binary(ends * self.dtype.itemsize, pa.py_buffer(ids)), pa.array([self._plain(x).tobytes() for x in pieces.filter(pa.array(~joined)).to_pylist()], pa.large_binary())]
+        place = np.empty(len(pieces), np.int64)
+        place[np.argsort(~joined, kind="stable")] = np.arange(len(pieces))
+        return pa.concat_arrays(values).take(pa.array(place))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of each text's ids and their end); a null counts as empty."""
+        bounds, data = _parts(texts.fill_null("").cast(pa.large_binary()))
+        base, end = int(bounds[0]), int(bounds[-1])
+        if base == end:
+            return np.zeros(0, self.dtype), np.zeros(len(bounds), np.int64)
+        raw, bounds = np.frombuffer(data, np.uint8)[base:end], bounds - base
+        cut = raw == 0x20
+        spaces = np.flatnonzero(cut[:-1])
+        cut[spaces[~_PLAIN[raw[spaces + 1]]]] = False
+        cut[bounds[bounds > 0] - 1] = False
+        cut[bounds[bounds < len(raw)]] = True
+        edges = np.append(np.flatnonzero(cut), len(raw))
+        ids, counts = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(edges) - 1, GROUP_PIECES):
+            pieces = _binary(edges[a : a + GROUP_PIECES + 1] + base, data).dictionary_encode()
+            offsets, found = _parts(self._pieces(pieces.dictionary).take(pieces.indices))
+            offsets = offsets // self.dtype.itemsize
+            ids.append(np.frombuffer(found, self.dtype)[offsets[0] : offsets[-1]])
+            counts.append(np.diff(offsets))
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))[np.searchsorted(edges, bounds)]
 
     def encode(self, text: str) -> np.ndarray:
-        first, *rest = _CUT.split(text)
-        known, out = self.known, [self._bytes(first)]
-        if len(known) > CACHE:
-            known.clear()
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._bytes(" " + piece)
-                if len(piece) <= 40:
-                    known[piece] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), self.dtype)
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
 
     def decode(self, ids) -> str:
         return self.encoding.decode_bytes(list(map(int, ids))).decode("utf-8")
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Tokenizer:
+    """The tokenizer of a Python worker, kept from task to task."""
+    return Tokenizer(path)
+
+
+def encoded(doc_ids: pa.Array, texts: pa.Array, tokenizer: Tokenizer) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids of its text) of a batch."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, SLICE_BYTES + (ends[a - 1] if a else 0), "right")))
+        ids, at = tokenizer.encode_all(texts.slice(a, b - a))
+        for k, doc_id in enumerate(doc_ids.slice(a, b - a).to_pylist()):
+            yield doc_id, ids[at[k] : at[k + 1]]
+        a = b
+
+
 class FreeRows:
     """Open rows by free capacity, with search for the least capacity that suffices."""
 
@@ -143,7 +202,7 @@ def pack(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None =
     path = tokenizer or default_tokenizer()
 
     def rows(batches):
-        encoder = Tokenizer(path)
+        encoder = loaded(path)
         end = np.array([encoder.size if end_id is None else end_id], encoder.dtype)
         block: list[tuple[int | None, int, np.ndarray]] = []
         tokens = 0
@@ -163,9 +222,9 @@ def pack(docs: DataFrame, row_length: int = ROW_LENGTH, tokenizer: str | None =
                 yield out
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, ids in encoded(b.column(0), b.column(1), encoder):
                 start = 0
-                for piece in split(np.concatenate([encoder.encode(text), end]), row_length):
+                for piece in split(np.concatenate([ids, end]), row_length):
                     block.append((doc_id, start, piece))
                     start += len(piece)
                 tokens += start
