@@ -6,6 +6,7 @@ import random
 import pytest
 from test_scale import distances, neighbours
 
+from linkspark import scale
 from linkspark.operators import graph
 
 
@@ -79,3 +80,31 @@ def test_steiner_trees_search_half_ways(spark, web):
                 at = min(y for y in near[at] if far[y] == far[at] - 1)
             tree.add(x)
         assert got[q] == tree
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_steiner_trees_share_rows(spark, monkeypatch, hot):
+    """Many parts of few suppliers, as the query has them: searches share rows, which hold no ways (with ways, a row a search, it was over twice as much)."""
+    monkeypatch.setattr(scale, "HOT_ROWS", hot)
+    rng, n, sellers = random.Random(7), 3000, range(10_000, 10_060)
+    links = list({(rng.randrange(n - 1), rng.choice(sellers[:-2])) for _ in range(4500)} | {(n - 1, sellers[-2])})
+    near = neighbours(sellers.stop, links)
+    wanted = {q: [rng.randrange(n), rng.choice(sellers), rng.randrange(n)] for q in range(2000)} | {2000: [5, sellers[0], 5], 2005: [n - 1, sellers[-2], 3]}
+    before, got = on_disk(spark), {}
+    rows = [(q, k, x) for q, xs in wanted.items() for k, x in enumerate(xs)]
+    for r in graph.steiner_trees(spark.createDataFrame(links, "a bigint, b bigint"), spark.createDataFrame(rows, "question_id bigint, ord int, node bigint")).collect():
+        assert r.node not in got.setdefault(r.question_id, set())
+        got[r.question_id].add(r.node)
+    size = on_disk(spark) - before
+    for q, xs in list(wanted.items())[::5] + list(wanted.items())[-2:]:
+        tree = {xs[0]}
+        for x in xs[1:]:
+            far = distances(near, x)
+            ways = sorted((far[y], y) for y in tree if y in far)
+            at = ways[0][1] if ways else x
+            while at != x:
+                tree.add(at)
+                at = min(y for y in near[at] if far[y] == far[at] - 1)
+            tree.add(x)
+        assert got[q] == tree
+    assert size < 2_000_000
